@@ -64,6 +64,7 @@ def _reader(spark: SparkSession, o: CsvOptions):
         # Both stay out of the way: missing-value words are handled column by column below.
         .option("nullValue", "")
         .option("enforceSchema", True)
+        .option("recursiveFileLookup", True)
     )
 
 

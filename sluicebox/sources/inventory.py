@@ -46,13 +46,14 @@ def oversized_files(inventory: DataFrame, max_mb: int = MAX_FILE_MB) -> DataFram
     return inventory.where(F.col("size_bytes") > max_mb * BYTES_PER_MB)
 
 
-def exceeds(df: DataFrame, max_records: int = MAX_RECORDS) -> bool:
-    """Whether the table has more rows than allowed, without counting further than that."""
-    return df.limit(max_records + 1).count() > max_records
+def record_guard(df: DataFrame, max_records: int = MAX_RECORDS) -> DataFrame:
+    """One row: whether the table has more rows than allowed. Counting stops right after the bound."""
+    seen = df.limit(max_records + 1).agg(F.count(F.lit(1)).alias("seen"))
+    return seen.select(F.lit(max_records).cast("bigint").alias("max_records"), (F.col("seen") > max_records).alias("exceeded"))
 
 
 def guarded(df: DataFrame, max_records: int = MAX_RECORDS) -> DataFrame:
     """``df`` itself, or an error if it has more rows than allowed."""
-    if exceeds(df, max_records):
+    if record_guard(df, max_records).first()["exceeded"]:
         raise ValueError(f"more than {max_records} records in one extraction")
     return df

@@ -32,6 +32,7 @@ def read_json(
         df = _read_object(spark, path, schema)
     else:
         reader = spark.read.option("multiLine", layout == "array").option("encoding", encoding)
+        reader = reader.option("recursiveFileLookup", True)
         df = (reader.schema(schema) if schema is not None else reader).json(path)
     if nrows is not None and (nrows or layout == "lines"):
         df = df.limit(nrows)
@@ -42,7 +43,7 @@ def read_json(
 
 def _read_object(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None) -> DataFrame:
     """Each top-level key is a row: ``_key`` and the columns of its value."""
-    documents = spark.read.text(path, wholetext=True)
+    documents = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     rows = documents.select(F.explode(F.from_json("value", "map<string,string>")).alias(KEY, "_value"))
     if schema is None:
         schema = _value_schema(rows)
