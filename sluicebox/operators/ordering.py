@@ -27,9 +27,8 @@ def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
         "_place", F.monotonically_increasing_id()
     )
     by = [*order, "_tie", "_place"]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = (
-        tied.repartitionByRange(parts, *by)
+        tied.repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .drop("_tie", "_place")
         .withColumn("_id", F.monotonically_increasing_id())

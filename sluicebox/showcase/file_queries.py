@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from sluicebox.operators.ordering import page, pages, row_index
 from sluicebox.operators.sinks import write_csv
 from sluicebox.scratch import scratch_path
 from sluicebox.showcase.registry import query, table
-from sluicebox.sources.chunks import with_chunks
+from sluicebox.sources.chunks import map_chunks, with_chunks
 from sluicebox.sources.delimited import merged_options, read_csv, read_csv_quarantined
 from sluicebox.sources.inventory import file_inventory, oversized_files, record_guard
 from sluicebox.sources.json_files import read_json
@@ -159,6 +160,39 @@ def csv_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "csv_chunk_map",
+    f"""WITH n AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, o_orderstatus,
+                  row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey) - 1 AS r FROM orders)
+    SELECT r // {CHUNK_ROWS} AS chunk_id, min(o_orderkey) AS first_key, count(*) AS records,
+           count(*) FILTER (WHERE o_orderstatus = 'P') AS pending FROM n GROUP BY month, chunk_id""",
+)
+def csv_chunk_map(spark: SparkSession, folder: str) -> DataFrame:
+    def summary(piece: pd.DataFrame) -> pd.DataFrame:
+        pending = int((piece["o_orderstatus"] == "P").sum())
+        first = piece.iloc[0]
+        return pd.DataFrame([(first["chunk_id"], first["o_orderkey"], len(piece), pending)])
+
+    scan = read_csv(spark, _monthly_csv(spark, folder), multi_line=False, usecols=("o_orderkey", "o_orderstatus"))
+    schema = "chunk_id bigint, first_key bigint, records bigint, pending bigint"
+    return map_chunks(with_chunks(scan, CHUNK_ROWS), summary, schema)
+
+
+@query(
+    "csv_skiprows",
+    """SELECT s_suppkey, s_name, s_acctbal FROM supplier""",
+)
+def csv_skiprows(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "csv")
+    suppliers = table(spark, folder, "supplier")
+    header = F.lit("exported for a test\nsecond, line, of the preamble, longer\ns_suppkey,s_name,s_acctbal\n")
+    line = F.concat_ws(",", "s_suppkey", "s_name", "s_acctbal")
+    piece = F.floor(F.col("s_suppkey") / ROWS_PER_DOCUMENT).cast("bigint").alias("piece")
+    body = suppliers.groupBy(piece).agg(F.concat(header, F.array_join(F.collect_list(line), "\n")).alias("value"))
+    body.write.partitionBy("piece").text(path)
+    return read_csv(spark, path, skiprows=2, multi_line=False)
+
+
 @query(
     "csv_stream_checks",
     """SELECT 'o_orderstatus_accepted' AS rule_name, count(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F')) AS failed_count,

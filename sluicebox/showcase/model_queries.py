@@ -71,6 +71,21 @@ def execution_duration(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id", ((seconds + whole) * 1_000_000).cast("bigint").alias("duration_us"))
 
 
+@query(
+    "duration_function",
+    f"""WITH {rel.EXECUTIONS_SQL}
+    SELECT o.o_orderkey AS id, epoch_us(e.end_time) - epoch_us(e.start_time) > 0 AS took_time
+    FROM orders o LEFT JOIN executions e ON e.id = o.o_orderkey""",
+)
+def duration_function(spark: SparkSession, folder: str) -> DataFrame:
+    views.register(spark, rel.executions(spark, folder), rel.pipelines(spark, folder), rel.simulations(spark, folder))
+    table(spark, folder, "orders").createOrReplaceTempView("duration_orders")
+    return spark.sql(
+        "SELECT o_orderkey AS id, calculate_execution_duration(o_orderkey) > INTERVAL '0' SECOND AS took_time "
+        "FROM duration_orders"
+    )
+
+
 @query(
     "execution_results",
     f"""WITH {rel.EXECUTIONS_SQL}

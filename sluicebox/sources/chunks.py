@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluicebox.scratch import written
 
 DEFAULT_CHUNK_SIZE = 10_000
 
 
-def with_chunks(scan: DataFrame, chunk_size: int = DEFAULT_CHUNK_SIZE) -> DataFrame:
-    """A file scan with ``_file``, the file of each row, and ``chunk_id``, its piece of ``chunk_size`` rows.
+def numbered(scan: DataFrame) -> DataFrame:
+    """A file scan with ``_file``, the file of each row, and ``row_in_file``, its place there from 0.
 
     The place of a row is its file, the block of the file it was read from, and its order within the block. The scan
     is written down with these, so that the numbering survives a lost executor; then each block adds the number of
@@ -26,7 +28,7 @@ def with_chunks(scan: DataFrame, chunk_size: int = DEFAULT_CHUNK_SIZE) -> DataFr
             F.input_file_block_start().alias("_block"),
             F.monotonically_increasing_id().alias("_seen"),
         ),
-        "chunks",
+        "numbered",
     )
     blocks = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_seen").alias("_first"))
     earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,15 +37,31 @@ def with_chunks(scan: DataFrame, chunk_size: int = DEFAULT_CHUNK_SIZE) -> DataFr
     )
     row = F.col("_before") + F.col("_seen") - F.col("_first")
     return placed.join(offsets, ["_file", "_block"]).select(
-        *[F.col(f"`{c}`") for c in scan.columns],
-        "_file",
-        row.alias("row_in_file"),
-        F.floor(row / F.lit(chunk_size)).cast("bigint").alias("chunk_id"),
+        *[F.col(f"`{c}`") for c in scan.columns], "_file", row.alias("row_in_file")
     )
 
 
+def with_chunks(scan: DataFrame, chunk_size: int = DEFAULT_CHUNK_SIZE) -> DataFrame:
+    """``numbered``, and in ``chunk_id`` the piece of ``chunk_size`` rows of its file that holds the row."""
+    return numbered(scan).withColumn("chunk_id", F.floor(F.col("row_in_file") / F.lit(chunk_size)).cast("bigint"))
+
+
+def map_chunks(
+    chunked: DataFrame, handle: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str
+) -> DataFrame:
+    """Apply ``handle`` to every chunk, in parallel; a chunk is a pandas frame of at most ``chunk_size`` rows in file order."""
+
+    def in_order(piece: pd.DataFrame) -> pd.DataFrame:
+        return handle(piece.sort_values("row_in_file", ignore_index=True))
+
+    return chunked.groupBy("_file", "chunk_id").applyInPandas(in_order, schema)
+
+
 def iterate_chunks(chunked: DataFrame) -> Iterator[DataFrame]:
-    """The chunks one after the other, each as a table of its own; only the chunk numbers visit the driver."""
+    """The chunks one after the other, each as a table of its own; only the chunk numbers visit the driver.
+
+    Each chunk is a separate job. ``map_chunks`` handles many chunks at once.
+    """
     numbers = chunked.select("_file", "chunk_id").distinct().orderBy("_file", "chunk_id")
     for r in numbers.toLocalIterator():
         piece = chunked.where((F.col("_file") == r["_file"]) & (F.col("chunk_id") == r["chunk_id"]))

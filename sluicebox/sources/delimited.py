@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicebox.sources.chunks import numbered
+
 # Words that mean "missing" in a CSV cell. Fixed values.
 NA_WORDS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
@@ -27,8 +30,8 @@ class CsvOptions:
     ``multi_line`` allows line breaks inside quotes, at the price of one task per file; switch it off for large files
     without such cells. ``usecols`` keeps columns (unknown names are an error), ``nrows`` stops after so many rows,
     ``dtype`` sets types by column, ``na_values`` adds missing-value words, ``parse_dates`` names timestamp columns,
-    ``names`` sets column names (then ``header`` says whether a header line is skipped), ``infer`` turns type
-    inference off, ``check_width`` the check for rows with too many fields.
+    ``names`` sets column names (then ``header`` says whether a header line is skipped), ``skiprows`` leaves out the
+    first rows of each file, ``infer`` turns type inference off, ``check_width`` the check for rows with too many fields.
     """
 
     encoding: str = "utf-8"
@@ -42,6 +45,7 @@ class CsvOptions:
     na_values: tuple[str, ...] = ()
     keep_default_na: bool = True
     parse_dates: tuple[str, ...] = ()
+    skiprows: int = 0
     infer: bool = True
     check_width: bool = True
 
@@ -71,7 +75,11 @@ def _reader(spark: SparkSession, o: CsvOptions):
 def _names(spark: SparkSession, path: str | Sequence[str], o: CsvOptions) -> list[str]:
     if o.names:
         return list(o.names)
-    return _reader(spark, o).csv(path).columns
+    if not o.skiprows:
+        return _reader(spark, o).csv(path).columns
+    head = spark.read.option("recursiveFileLookup", True).option("encoding", o.encoding).text(path).limit(o.skiprows + 1)
+    line = head.collect()[-1]["value"]
+    return next(csv.reader([line], delimiter=o.delimiter))
 
 
 def _text_schema(names: Sequence[str]) -> T.StructType:
@@ -154,7 +162,12 @@ def _scan(spark: SparkSession, path: str | Sequence[str], o: CsvOptions) -> tupl
     """The file as text with its raw malformed rows, all its column names, and the chosen ones."""
     names = _names(spark, path, o)
     columns = _chosen(names, o)
-    text = _reader(spark, o).schema(_text_schema([*names, CORRUPT])).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    reader = _reader(spark, replace(o, header=o.header and not o.skiprows))
+    text = reader.schema(_text_schema([*names, CORRUPT])).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    if o.skiprows:
+        kept = F.col("row_in_file") >= o.skiprows + int(o.header)
+        # A skipped row may be malformed, so its raw text goes before any check of it can run.
+        text = numbered(text).withColumn(CORRUPT, F.when(kept, F.col(CORRUPT))).where(kept).select(*names, CORRUPT)
     return text, names, columns
 
 
