@@ -27,9 +27,14 @@ def keyed_hash(seed: int, stream: str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|{stream}|"), key.cast("string")))
 
 
+def number(h: Column, start: int, digits: int) -> Column:
+    """The integer that ``digits`` hex digits of a hash spell, 15 of them at most."""
+    return F.conv(F.substring(h, start, digits), 16, 10).cast("bigint")
+
+
 def draw(seed: int, stream: str, key: Column) -> Column:
     """A uniform integer below 2**48."""
-    return F.conv(F.substring(keyed_hash(seed, stream, key), 1, DRAW_BITS // 4), 16, 10).cast("bigint")
+    return number(keyed_hash(seed, stream, key), 1, DRAW_BITS // 4)
 
 
 def unit(d: Column) -> Column:

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicebox.functions.draws import draw, key_text, keyed_hash, new_seed
-from sluicebox.operators.selection import Hashes, smallest_cutoffs, smallest_hashes
+from sluicebox.functions.draws import draw, key_text, new_seed
+from sluicebox.operators.selection import Hashes, cell_hash, smallest_cutoffs, smallest_hashes
 
 DEFAULT_KINDS = ("nulls", "outliers", "duplicates")
 KINDS = ("nulls", "outliers", "type_errors", "duplicates")  # in the order in which they are applied
@@ -56,8 +56,8 @@ class _Target:
     rows: int
     seed: int
 
-    def hash(self, stream: str) -> Column:
-        return keyed_hash(self.seed, stream, _col(HIDDEN_KEY))
+    def hash(self, stream: str, place: int = 0) -> Column:
+        return cell_hash(self.seed, stream, _col(HIDDEN_KEY), place)
 
 
 @dataclass
@@ -83,7 +83,7 @@ class _Step:
         t = self.target
         cells = t.rows * len(self.columns)
         hits = _distinct_hits(t.df.sparkSession, t.seed, f"{label}-draw", self.count, cells)
-        self.hashes = [(label, t.hash(f"{label}|{c}")) for c in self.columns]
+        self.hashes = [(label, t.hash(label, i)) for i, _ in enumerate(self.columns)]
         self.wanted = {label: hits}
 
 
@@ -121,7 +121,7 @@ class _Duplicates(_Step):
     def apply(self, df: DataFrame, cutoffs: dict[str, str]) -> DataFrame:
         is_hit = self.hashes[0][1] <= cutoffs["duplicate"]
         copies = F.when(is_hit, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        return df.select("*", F.explode(copies).alias("_copy")).drop("_copy")
+        return df.select("*", F.explode_outer(copies).alias("_copy")).drop("_copy")
 
 
 @dataclass
@@ -143,7 +143,7 @@ class _Outliers(_Step):
         names = list(self.columns)
         hits = {names[r["column"]]: r["count"] for r in last.groupBy("column").count().collect()}
         self.columns = [c for c in names if hits.get(c)]
-        self.hashes = [(f"outlier|{c}", t.hash(f"outlier|{c}")) for c in self.columns]
+        self.hashes = [(f"outlier|{c}", t.hash("outlier", names.index(c))) for c in self.columns]
         self.wanted = {f"outlier|{c}": hits[c] for c in self.columns}
         self.ranks = _surviving_ranks(draws, last, names) if self.compound else {}
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.functions import pools
-from sluicebox.functions.draws import draw, key_text, keyed_hash, new_seed, unit
+from sluicebox.functions.draws import draw, key_text, keyed_hash, new_seed, number, unit
 from sluicebox.functions.pools import LOCALES, Locale
 from sluicebox.functions.scalars import uuid_from_hex
 
@@ -121,11 +121,17 @@ def _cents(c: _Cell) -> Column:
 
 
 def _sentence(c: _Cell, suffix: str = "") -> Column:
-    d = c.draw(suffix)
-    words = F.array(*[_nth(F.shiftright(d, 6 * i), c.locale.words) for i in range(8)])
-    length = (c.draw(suffix + "|length") % 5 + 4).cast("int")
-    line = F.concat_ws(" ", F.slice(words, F.lit(1), length))
-    return F.concat(F.upper(F.substring(line, 1, 1)), F.substring(line, 2, 1000), F.lit("."))
+    """Four to eight words: six bits of the draw each, the length from the next digits of the same hash."""
+    h = keyed_hash(c.seed, c.stream + suffix, c.key)
+    length = (number(h, 13, 4) % 5 + 4).cast("int")
+    capitals = tuple(w[0].upper() + w[1:] for w in c.locale.words)
+
+    def word(d: Column, i: Column) -> Column:
+        bits = F.call_function("shiftright", d, i * 6)
+        return F.when(i == 0, _nth(bits, capitals)).otherwise(_nth(bits, c.locale.words))
+
+    # A lambda over the places keeps the generated code small enough to be compiled.
+    return F.concat(F.array_join(F.transform(F.array_repeat(number(h, 1, 12), length), word), " "), F.lit("."))
 
 
 def _text(c: _Cell) -> Column:

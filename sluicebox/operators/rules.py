@@ -223,10 +223,10 @@ def violations(df: DataFrame, rules: Sequence[Rule], key: Sequence[str]) -> Data
     if fused:
         entries = [F.when(r.broken(), F.array(*[_detail(r.name, c) for c in r.columns])) for r in fused]
         found = F.flatten(F.filter(F.array(*entries), lambda e: e.isNotNull()))
-        parts.append(df.where(any_broken(fused)).select(key_text(key).alias("row"), F.inline(found)))
+        parts.append(df.where(any_broken(fused)).select(key_text(key).alias("row"), F.inline_outer(found)))
     for rule in set_rules(rules):
         hit = join_flags(df, rule.keys(df), rule.columns, "bad", "_hit").where("_hit")
-        details = F.inline(F.array(*[_detail(rule.name, c) for c in rule.columns]))
+        details = F.inline_outer(F.array(*[_detail(rule.name, c) for c in rule.columns]))
         parts.append(hit.select(key_text(key).alias("row"), details))
     return reduce(DataFrame.unionByName, parts).select("rule_name", "row", "column", "value")
 

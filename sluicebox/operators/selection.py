@@ -8,37 +8,61 @@ per pass, whatever the size of the table.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX_DIGITS = 4
-BINS = 16**PREFIX_DIGITS  # per label and pass
-HASH_DIGITS = 32
+from sluicebox.functions.draws import keyed_hash
+
+STEP_DIGITS = 4
+BINS = 16**STEP_DIGITS  # per label and pass
+HASH_DIGITS = 16
 ABOVE_HEX = "~"  # sorts after every hex digit
 NOTHING = ""  # sorts before every hash
 
 Hashes = list[tuple[str, Column]]
 
 
-def _cells(df: DataFrame, hashes: Hashes) -> DataFrame:
-    entries = [F.struct(F.lit(label).alias("label"), h.alias("hash")) for label, h in hashes]
-    return df.select(F.explode(F.array(*entries)).alias("e")).select("e.label", "e.hash")
+def cell_hash(seed: int, stream: str, key: Column, place: int = 0) -> Column:
+    """Sixteen hex digits for the ``place``-th cell of a row; two cells share one digest."""
+    return F.substring(keyed_hash(seed, f"{stream}|{place // 2}", key), 1 + HASH_DIGITS * (place % 2), HASH_DIGITS)
 
 
-def _any(conditions: list[Column]) -> Column:
-    result = conditions[0]
-    for other in conditions[1:]:
-        result = result | other
-    return result
+@dataclass
+class _Search:
+    """Where the k-th smallest hash of one label is looked for: above ``low``, below ``high``, by ``digits`` digits.
 
+    Hashes below ``low`` are only counted.
+    """
 
-def _likely_bound(k: int, population: int) -> str:
-    """A prefix that almost surely lies above the k-th smallest of ``population`` uniform hashes."""
-    share = (k + 8 * math.sqrt(k) + 8) / max(population, 1)
-    return ABOVE_HEX if share >= 1 else format(int(share * BINS) + 1, f"0{PREFIX_DIGITS}x") + ABOVE_HEX
+    wanted: int
+    digits: int = STEP_DIGITS
+    low: str = NOTHING
+    high: str = ABOVE_HEX
+
+    def bin(self, h: Column) -> Column:
+        """The bin of a hash; empty below the range."""
+        inside = F.substring(h, 1, self.digits)
+        return F.when(h < self.low, F.lit(NOTHING)).otherwise(inside) if self.low else inside
+
+    @classmethod
+    def around(cls, k: int, population: int) -> _Search:
+        """The range that almost surely holds the k-th smallest of ``population`` uniform hashes, in BINS bins at most."""
+        margin = 8 * math.sqrt(k) + 8
+        low, high = max(0.0, (k - margin) / population), min(1.0, (k + margin) / population)
+        digits = STEP_DIGITS
+        while digits < HASH_DIGITS - STEP_DIGITS and (high - low) * 16 ** (digits + 1) <= BINS:
+            digits += 1
+        return cls(
+            k,
+            digits,
+            format(int(low * 16**digits), f"0{digits}x") if low > 0 else NOTHING,
+            format(int(high * 16**digits) + 1, f"0{digits}x") if high < 1 - 1e-9 else ABOVE_HEX,
+        )
 
 
 def smallest_cutoffs(
@@ -47,49 +71,52 @@ def smallest_cutoffs(
     """For each label, the cutoff c such that exactly ``wanted[label]`` hashes of that label are ``<= c``.
 
     ``hashes`` lists (label, hash column) pairs; columns that share a label are ranked together. All labels are
-    served by the same passes. ``rows``, if known, keeps bins that cannot matter out of the first pass.
+    served by the same passes. With the number of ``rows``, one pass is usually enough.
     """
     cutoffs = {label: NOTHING for label, k in wanted.items() if k <= 0}
-    missing = {label: k for label, k in wanted.items() if k > 0}
-    prefixes = {label: "" for label in missing}
-    width = {label: sum(1 for name, _ in hashes if name == label) for label in missing}
-    bounds = {label: _likely_bound(k, rows * width[label]) if rows else ABOVE_HEX for label, k in missing.items()}
-    while missing:
-        depth = len(next(iter(prefixes.values())))
-        cells = _cells(df, [(label, h) for label, h in hashes if label in missing]).where(
-            _any(
-                [
-                    (F.col("label") == label) & F.col("hash").startswith(prefixes[label]) & (F.col("hash") < bounds[label])
-                    for label in missing
-                ]
-            )
-        )
+    width = Counter(label for label, _ in hashes)
+    search = {
+        label: _Search.around(k, rows * width[label]) if rows else _Search(k) for label, k in wanted.items() if k > 0
+    }
+    while search:
+        open_ = [(label, h, search[label]) for label, h in hashes if label in search]
         bins = (
-            cells.groupBy("label", F.substring("hash", 1, depth + PREFIX_DIGITS).alias("bin"))
+            _exploded(df, [(label, h < s.high, s.bin(h)) for label, h, s in open_], "bin")
+            .groupBy("label", "bin")
             .count()
             .toPandas()  # at most BINS rows per label
             .sort_values(["label", "bin"])
         )
-        found = {label: _crossing(bins[bins["label"] == label], k) for label, k in missing.items()}
-        short = [label for label, crossing in found.items() if crossing is None and bounds[label] != ABOVE_HEX]
-        if short:  # the bound was too low after all: count every bin
-            bounds = dict.fromkeys(missing, ABOVE_HEX)
-            continue
-        bounds = dict.fromkeys(missing, ABOVE_HEX)
-        for label, crossing in found.items():
-            if crossing is None:
-                raise ValueError(f"cannot pick {wanted[label]} out of fewer candidates")
+        for label, s in list(search.items()):
+            crossing = _crossing(bins[bins["label"] == label], s.wanted)
+            if crossing is None or crossing[0] == NOTHING:
+                if s.low == NOTHING and s.high == ABOVE_HEX:
+                    raise ValueError(f"cannot pick {wanted[label]} out of fewer candidates")
+                search[label] = _Search(wanted[label])  # the range missed the cutoff: look everywhere
+                continue
             bin_, needed, size = crossing
             if needed == size:
                 cutoffs[label] = bin_ + ABOVE_HEX
-                del missing[label], prefixes[label]
-            elif depth + PREFIX_DIGITS >= HASH_DIGITS:
+                del search[label]
+            elif s.digits >= HASH_DIGITS:
                 raise ValueError("the key columns do not identify a row: equal keys at the sampling cutoff")
             else:
-                prefixes[label], missing[label] = bin_, needed
+                digits = min(s.digits + STEP_DIGITS, HASH_DIGITS)
+                search[label] = _Search(s.wanted, digits, bin_, bin_ + ABOVE_HEX)
     return cutoffs
 
 
+def _exploded(df: DataFrame, cells: list[tuple[str, Column, Column]], name: str) -> DataFrame:
+    """(label, value) for each cell of each row whose condition holds.
+
+    The cells are built in a projection of their own, where a digest that two of them share is computed once. The
+    outer form of explode keeps the optimizer from testing the cells a second time before the projection.
+    """
+    kept = [F.when(hit, F.struct(F.lit(label).alias("label"), value.alias(name))) for label, hit, value in cells]
+    each = df.select(F.array(*kept).alias("cells")).select(F.explode_outer("cells").alias("cell"))
+    return each.where("cell IS NOT NULL").select("cell.label", f"cell.{name}")
+
+
 def _crossing(bins: pd.DataFrame, k: int) -> tuple[str, int, int] | None:
     """The bin that holds the k-th smallest hash, how many of its rows are needed and how many it has."""
     running = bins["count"].cumsum()
@@ -111,10 +138,9 @@ def smallest_hashes(
     found: dict[str, list[str]] = {label: [] for label in wanted}
     if not asked:
         return found
-    below = _any([(F.col("label") == label) & (F.col("hash") <= cutoffs[label]) for label in asked])
+    below = [(label, h <= cutoffs[label], h) for label, h in hashes if label in asked]
     ranked = (
-        _cells(df, [(label, h) for label, h in hashes if label in asked])
-        .where(below)
+        _exploded(df, below, "hash")
         .withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("hash")))
         .where(F.col("rank") <= max(asked.values()))
     )

@@ -48,7 +48,7 @@ def _digits(d: str, n: int) -> str:
 def _sentence(seed: int, stream: str, key: str, pool: tuple[str, ...]) -> str:
     d = draw_sql(seed, stream, key)
     picks = ", ".join(nth_sql(f"({d} // {64**i})", pool) for i in range(8))
-    length = f"({draw_sql(seed, stream + '|length', key)} % 5 + 4)"
+    length = f"(CAST('0x' || substr({hash_sql(seed, stream, key)}, 13, 4) AS BIGINT) % 5 + 4)"
     line = f"array_to_string(list_slice([{picks}], 1, {length}), ' ')"
     return f"(upper(substr({line}, 1, 1)) || substr({line}, 2) || '.')"
 
@@ -139,8 +139,8 @@ class CorruptionSql:
                      "size AS (SELECT count(*) AS n FROM t0)"]
         self.version = 0
 
-    def _hash(self, stream: str) -> str:
-        return hash_sql(self.seed, stream, "row_key")
+    def _hash(self, stream: str, place: int = 0) -> str:
+        return f"substr({hash_sql(self.seed, f'{stream}|{place // 2}', 'row_key')}, {1 + 16 * (place % 2)}, 16)"
 
     def _next(self, changed: dict[str, str], sources: str = "") -> None:
         v = self.version
@@ -155,7 +155,7 @@ class CorruptionSql:
             f"{hits} AS (SELECT count(DISTINCT {draw_sql(self.seed, label + '-draw', 'j')} % ((SELECT n FROM size) * {len(names)})) AS k "
             f"FROM (SELECT unnest(range({share})) AS j))"
         )
-        cells = " UNION ALL ".join(f"SELECT {self._hash(f'{label}|{c}')} AS h FROM t0" for c in names)
+        cells = " UNION ALL ".join(f"SELECT {self._hash(label, i)} AS h FROM t0" for i in range(len(names)))
         cut = f"{label}_cut{self.version}"
         self.ctes.append(f"{cut} AS (SELECT max(h) AS h FROM (SELECT h FROM ({cells}) ORDER BY h LIMIT (SELECT k FROM {hits})))")
         return cut
@@ -163,14 +163,14 @@ class CorruptionSql:
     def nulls(self, share: str) -> None:
         names = list(self.columns)
         cut = self._cells("null", share, names)
-        keep = {c: f"CASE WHEN {self._hash(f'null|{c}')} > (SELECT h FROM {cut}) THEN {c} END" for c in names}
+        keep = {c: f"CASE WHEN {self._hash('null', i)} > (SELECT h FROM {cut}) THEN {c} END" for i, c in enumerate(names)}
         self._next(keep)
 
     def type_errors(self, share: str, names: list[str], token: str) -> None:
         cut = self._cells("type", share, names)
         spoil = {
-            c: f"CASE WHEN {self._hash(f'type|{c}')} <= (SELECT h FROM {cut}) THEN '{token}' ELSE CAST({c} AS VARCHAR) END"
-            for c in names
+            c: f"CASE WHEN {self._hash('type', i)} <= (SELECT h FROM {cut}) THEN '{token}' ELSE CAST({c} AS VARCHAR) END"
+            for i, c in enumerate(names)
         }
         self._next(spoil)
 
@@ -201,7 +201,7 @@ class CorruptionSql:
                 f"SELECT power + 1, {step} FROM g WHERE power < (SELECT coalesce(max(power), 0) FROM ranked{v} WHERE c = {i})) SELECT * FROM g)"
             )
             self.ctes.append(
-                f"hit{v}_{i} AS (SELECT k.row_key, g.v FROM (SELECT row_key, row_number() OVER (ORDER BY {self._hash(f'outlier|{c}')}) "
+                f"hit{v}_{i} AS (SELECT k.row_key, g.v FROM (SELECT row_key, row_number() OVER (ORDER BY {self._hash('outlier', i)}) "
                 f"AS place FROM t0) k JOIN ranked{v} p ON p.place = k.place AND p.c = {i} JOIN grow{v}_{i} g ON g.power = p.power)"
             )
             grown.append((c, i, kind))

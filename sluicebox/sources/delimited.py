@@ -91,9 +91,12 @@ def na_words(o: CsvOptions) -> list[str]:
 
 
 def _known(c: str, words: Sequence[str]) -> Column:
-    """The cell, or null where it holds a missing-value word."""
+    """The cell, or null where it holds a missing-value word; long cells are not compared at all."""
     col = F.col(f"`{c}`")
-    return F.when(~col.isin(*words), col) if words else col
+    if not words:
+        return col
+    longest = max(len(w.encode()) for w in words)
+    return F.when(~((F.octet_length(col) <= longest) & col.isin(*words)), col)
 
 
 def _as_long(text: Column) -> Column:
@@ -102,8 +105,10 @@ def _as_long(text: Column) -> Column:
 
 def _as_double(text: Column) -> Column:
     """A double, unless the text only parses thanks to a Java type suffix such as ``1d``."""
-    suffixed = F.lower(F.trim(text)).rlike("[df]$") & ~F.lower(F.trim(text)).isin(*INFINITY_WORDS)
-    return F.when(~suffixed, text.try_cast("double"))
+    value = text.try_cast("double")
+    ending = F.lower(F.trim(text))
+    suffixed = ending.rlike("[df]$") & ~ending.isin(*INFINITY_WORDS)
+    return F.when(value.isNotNull() & ~suffixed, value)
 
 
 def _as_boolean(text: Column) -> Column:
