@@ -17,6 +17,9 @@ from sluicebox.functions.scalars import uuid_from_hex
 
 SECONDS_PER_YEAR = 365 * 86_400
 ROW = "_row"
+# Streams of the ready-made tables.
+CUSTOMERS = "customers."
+TRANSACTIONS = "transactions."
 
 
 @dataclass(frozen=True)
@@ -29,9 +32,9 @@ class Choice:
 
 @dataclass(frozen=True)
 class Reference:
-    """UUIDs of another generated table: ``column`` of a table of ``rows`` rows with the same seed."""
+    """UUIDs of another generated table: the column with this ``stream`` of a table of ``rows`` rows, same seed."""
 
-    column: str
+    stream: str
     rows: int
 
 
@@ -213,18 +216,18 @@ def _choice(spec: Choice, c: _Cell) -> Column:
 
 
 def column_for(
-    spec: ColumnSpec, name: str, key: Column, seed: int, as_of: dt.datetime, locale: str | Locale = "es_ES"
+    spec: ColumnSpec, stream: str, key: Column, seed: int, as_of: dt.datetime, locale: str | Locale = "es_ES"
 ) -> Column:
-    """The expression of one synthetic column."""
+    """The expression of one synthetic column; columns with the same seed, stream and key are equal."""
     words = LOCALES.get(locale) if isinstance(locale, str) else locale
     if words is None:
         raise ValueError(f"unknown locale {locale!r}; known: {sorted(LOCALES)}")
-    cell = _Cell(seed, name, key, words, as_of)
+    cell = _Cell(seed, stream, key, words, as_of)
     if isinstance(spec, Choice):
         return _choice(spec, cell)
     if isinstance(spec, Reference):
         row = cell.draw("|reference") % spec.rows
-        return uuid_from_hex(keyed_hash(seed, spec.column, row))
+        return uuid_from_hex(keyed_hash(seed, spec.stream, row))
     if spec not in TYPE_WORDS:
         warnings.warn(f"unknown column type {spec!r}: using integers 0..99", stacklevel=3)
         return cell.draw() % 100
@@ -239,12 +242,16 @@ def generate_for(
     as_of: dt.datetime | None = None,
     locale: str | Locale = "es_ES",
     keep: Sequence[str | Column] = (),
+    stream: str = "",
 ) -> DataFrame:
-    """One synthetic row per row of ``df``, drawn by its key; ``keep`` names columns of ``df`` to carry along."""
+    """One synthetic row per row of ``df``, drawn by its key; ``keep`` names columns of ``df`` to carry along.
+
+    Each column draws from the stream of its name; the prefix ``stream`` sets tables with equal column names apart.
+    """
     seed = new_seed() if seed is None else seed
     as_of = as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     row = key_text(key)
-    made = [column_for(spec, name, row, seed, as_of, locale).alias(name) for name, spec in schema.items()]
+    made = [column_for(spec, stream + name, row, seed, as_of, locale).alias(name) for name, spec in schema.items()]
     return df.select(*keep, *made)
 
 
@@ -255,14 +262,15 @@ def generate(
     seed: int | None = None,
     as_of: dt.datetime | None = None,
     locale: str | Locale = "es_ES",
+    stream: str = "",
 ) -> DataFrame:
     """A table of ``num_records`` rows with one column per schema entry, in schema order."""
     rows = spark.range(num_records).withColumnRenamed("id", ROW)
-    return generate_for(rows, [ROW], schema, seed, as_of, locale)
+    return generate_for(rows, [ROW], schema, seed, as_of, locale, stream=stream)
 
 
 def generate_customers(spark: SparkSession, num_customers: int = 1000, **options) -> DataFrame:
-    return generate(spark, CUSTOMER_SCHEMA, num_customers, **options)
+    return generate(spark, CUSTOMER_SCHEMA, num_customers, stream=CUSTOMERS, **options)
 
 
 def generate_transactions(
@@ -271,9 +279,9 @@ def generate_transactions(
     """Transactions; with ``num_customers``, their customer ids are those of ``generate_customers`` (same seed)."""
     schema = dict(TRANSACTION_SCHEMA)
     if num_customers is not None:
-        schema["customer_id"] = Reference("customer_id", num_customers)
-    return generate(spark, schema, num_transactions, **options)
+        schema["customer_id"] = Reference(CUSTOMERS + "customer_id", num_customers)
+    return generate(spark, schema, num_transactions, stream=TRANSACTIONS, **options)
 
 
 def generate_predefined(spark: SparkSession, name: str, num_records: int = 1000, **options) -> DataFrame:
-    return generate(spark, PREDEFINED_SCHEMAS[name], num_records, **options)
+    return generate(spark, PREDEFINED_SCHEMAS[name], num_records, stream=f"{name}.", **options)

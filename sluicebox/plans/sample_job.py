@@ -23,7 +23,7 @@ def write_samples(
     as_of = as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     options = {"seed": seed, "as_of": as_of}
     # The ids of this table repeat, so its rows are identified by their number, which is left out of the result.
-    clean = generate_for(spark.range(anomalous), ["id"], ANOMALY_SCHEMA, keep=[F.col("id").alias(ROW)], **options)
+    clean = generate_for(spark.range(anomalous), ["id"], ANOMALY_SCHEMA, keep=[F.col("id").alias(ROW)], stream="anomalies.", **options)
     kinds = ["nulls", "outliers", "duplicates"]
     spoiled = inject_anomalies(clean, [ROW], anomaly_rate, kinds, seed, drop_key=True)
     tables = {

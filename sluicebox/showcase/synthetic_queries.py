@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.operators import corrupt
 from sluicebox.operators.generate import (
-    CUSTOMER_SCHEMA, PREDEFINED_SCHEMAS, TRANSACTION_SCHEMA, ColumnSpec, Reference, generate_for,
+    CUSTOMER_SCHEMA, CUSTOMERS, PREDEFINED_SCHEMAS, TRANSACTION_SCHEMA, TRANSACTIONS, ColumnSpec, Reference, generate_for,
 )
 from sluicebox.operators.sinks import write_csv
 from sluicebox.plans.sample_job import ANOMALY_SCHEMA
@@ -22,13 +22,13 @@ SEED = 42
 AS_OF = dt.datetime(2025, 3, 1, 9, 30, 15, 123456)
 
 
-def _add(name: str, schema: dict[str, ColumnSpec], source: str, key: str, locale: str = "es_ES") -> None:
+def _add(name: str, schema: dict[str, ColumnSpec], source: str, key: str, locale: str = "es_ES", stream: str = "") -> None:
     """Register a synthetic table with one row per row of ``source``."""
 
-    @query(name, table_sql(schema, source, key, SEED, AS_OF, locale, keep=f"{key} AS row_id"))
+    @query(name, table_sql(schema, source, key, SEED, AS_OF, locale, f"{key} AS row_id", stream))
     def run(spark: SparkSession, folder: str) -> DataFrame:
         keep = [F.col(key).alias("row_id")]
-        return generate_for(table(spark, folder, source), [key], schema, SEED, AS_OF, locale, keep)
+        return generate_for(table(spark, folder, source), [key], schema, SEED, AS_OF, locale, keep, stream)
 
 
 def _words(*names: str) -> dict[str, ColumnSpec]:
@@ -45,11 +45,12 @@ _add("gen_uuid", _words("uuid"), "orders", "o_orderkey")
 _add("gen_category", _words("category"), "orders", "o_orderkey")
 _add("gen_unknown_word", {"x": "no such type"}, "orders", "o_orderkey")
 _add("gen_locale", _words("name", "email", "phone", "address", "company", "sentence"), "customer", "c_custkey", "en_US")
-_add("gen_customers", CUSTOMER_SCHEMA, "customer", "c_custkey")
-_add("gen_transactions", TRANSACTION_SCHEMA, "orders", "o_orderkey")
-_add("gen_linked_transactions", TRANSACTION_SCHEMA | {"customer_id": Reference("customer_id", 100)}, "orders", "o_orderkey")
+_add("gen_customers", CUSTOMER_SCHEMA, "customer", "c_custkey", stream=CUSTOMERS)
+_add("gen_transactions", TRANSACTION_SCHEMA, "orders", "o_orderkey", stream=TRANSACTIONS)
+LINKED = TRANSACTION_SCHEMA | {"customer_id": Reference(CUSTOMERS + "customer_id", 100)}
+_add("gen_linked_transactions", LINKED, "orders", "o_orderkey", stream=TRANSACTIONS)
 for _name, _source, _key in (("customers", "customer", "c_custkey"), ("transactions", "orders", "o_orderkey"), ("products", "part", "p_partkey")):
-    _add(f"gen_predefined_{_name}", PREDEFINED_SCHEMAS[_name], _source, _key)
+    _add(f"gen_predefined_{_name}", PREDEFINED_SCHEMAS[_name], _source, _key, stream=f"{_name}.")
 
 
 CUSTOMER_COLUMNS = {

@@ -68,7 +68,7 @@ def column_sql(
         return f"CASE {' '.join(bounds)} ELSE {text(spec.values[-1])} END"
     if isinstance(spec, Reference):
         row = f"({draw_sql(seed, name + '|reference', key)} % {spec.rows})"
-        return uuid_sql(hash_sql(seed, spec.column, row))
+        return uuid_sql(hash_sql(seed, spec.stream, row))
     exact = f"TIMESTAMP '{as_of.isoformat(sep=' ')}'"
     whole = f"TIMESTAMP '{as_of.replace(microsecond=0).isoformat(sep=' ')}'"
     cents = f"(1000 + {d} % 999001)"
@@ -123,9 +123,10 @@ def column_sql(
 
 
 def table_sql(
-    schema: dict[str, ColumnSpec], source: str, key: str, seed: int, as_of: dt.datetime, locale: str = "es_ES", keep: str = ""
+    schema: dict[str, ColumnSpec], source: str, key: str, seed: int, as_of: dt.datetime, locale: str = "es_ES", keep: str = "",
+    stream: str = "",
 ) -> str:
-    columns = [f"{column_sql(spec, name, key, seed, as_of, locale)} AS \"{name}\"" for name, spec in schema.items()]
+    columns = [f"{column_sql(spec, stream + name, key, seed, as_of, locale)} AS \"{name}\"" for name, spec in schema.items()]
     return "SELECT " + (f"{keep}, " if keep else "") + ",\n  ".join(columns) + f" FROM {source}"
 
 
