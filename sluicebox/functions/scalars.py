@@ -13,8 +13,8 @@ def col_of(c: str | Column) -> Column:
 
 
 def seconds_between(start: str | Column, end: str | Column) -> Column:
-    """Fractional seconds from ``start`` to ``end``."""
-    return F.timestamp_diff("MICROSECOND", col_of(start), col_of(end)).cast("double") / F.lit(1e6)
+    """Fractional seconds from ``start`` to ``end``, exact to the microsecond and without regard to time zones."""
+    return duration(start, end).cast("interval second").cast("decimal(20,6)").cast("double")
 
 
 def duration(start: str | Column, end: str | Column) -> Column:

@@ -174,6 +174,7 @@ TYPE_WORDS: dict[str, Callable[[_Cell], Column]] = {
     "text": _text,
 }
 
+# Columns and type words of the ready-made tables. Fixed values.
 PREDEFINED_SCHEMAS: dict[str, dict[str, ColumnSpec]] = {
     "customers": {
         "customer_id": "uuid", "first_name": "first_name", "last_name": "last_name", "email": "email",

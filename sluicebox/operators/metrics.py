@@ -17,7 +17,8 @@ def latency_rollup(df: DataFrame, group: str, value: str) -> DataFrame:
     means = df.where(F.col(value).isNotNull()).groupBy(group).agg(
         F.count(F.lit(1)).alias("samples"), F.avg(value).alias("mean")
     )
-    return means.join(percentiles(df, group, value, LATENCY_POINTS), group)
+    places = percentiles(df, group, value, LATENCY_POINTS).withColumnRenamed(group, "_group")
+    return means.join(places, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def latest_metrics(metrics: DataFrame) -> DataFrame:

@@ -221,9 +221,10 @@ def violations(df: DataFrame, rules: Sequence[Rule], key: Sequence[str]) -> Data
     parts = []
     fused = row_rules(rules)
     if fused:
-        entries = [F.when(r.broken(), F.array(*[_detail(r.name, c) for c in r.columns])) for r in fused]
-        found = F.flatten(F.filter(F.array(*entries), lambda e: e.isNotNull()))
-        parts.append(df.where(any_broken(fused)).select(key_text(key).alias("row"), F.inline_outer(found)))
+        found = [F.when(r.broken(), _detail(r.name, c)) for r in fused for c in r.columns]
+        cells = df.select(key_text(key).alias("row"), F.array(*found).alias("cells"))
+        # The outer form of explode keeps the optimizer from evaluating all rules a second time in a filter.
+        parts.append(cells.select("row", F.explode_outer("cells").alias("d")).where("d IS NOT NULL").select("row", "d.*"))
     for rule in set_rules(rules):
         hit = join_flags(df, rule.keys(df), rule.columns, "bad", "_hit").where("_hit")
         details = F.inline_outer(F.array(*[_detail(rule.name, c) for c in rule.columns]))
@@ -284,8 +285,9 @@ def validate(
 def mark(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``df`` with the array of the names of the rules that each row breaks."""
     fused = row_rules(rules)
-    names = F.filter(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in fused]), lambda n: n.isNotNull())
-    out = df.withColumn(MARK, names if fused else F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    names = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in fused])) if fused else none
+    out = df.withColumn(MARK, F.when(any_broken(fused), names).otherwise(none))
     for i, rule in enumerate(set_rules(rules)):
         flag = f"_flag{i}"
         out = join_flags(out, rule.keys(df), rule.columns, "bad", flag)
@@ -294,8 +296,17 @@ def mark(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return out
 
 
+def write_split(df: DataFrame, rules: Sequence[Rule], path: str) -> None:
+    """Write all rows with the rules they break, ``quality=good`` and ``quality=bad`` apart, in one evaluation."""
+    quality = F.when(F.size(MARK) > 0, "bad").otherwise("good")
+    mark(df, rules).withColumn("quality", quality).write.partitionBy("quality").parquet(path)
+
+
 def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantined): the rows that keep every rule, and the others with the names of the rules they break."""
+    """(good, quarantined): the rows that keep every rule, and the others with the names of the rules they break.
+
+    Each of the two evaluates the rules when it is used; ``write_split`` does so once for both.
+    """
     marked = mark(df, rules)
     return marked.where(F.size(MARK) == 0).drop(MARK), marked.where(F.size(MARK) > 0)
 

@@ -51,17 +51,21 @@ class _Search:
 
     @classmethod
     def around(cls, k: int, population: int) -> _Search:
-        """The range that almost surely holds the k-th smallest of ``population`` uniform hashes, in BINS bins at most."""
+        """The range that almost surely holds the k-th smallest of ``population`` uniform hashes.
+
+        A range of no more than BINS hashes is read hash by hash, a longer one in at most BINS bins.
+        """
         margin = 8 * math.sqrt(k) + 8
         low, high = max(0.0, (k - margin) / population), min(1.0, (k + margin) / population)
+        edge = HASH_DIGITS - STEP_DIGITS  # digits that a double still tells apart
         digits = STEP_DIGITS
-        while digits < HASH_DIGITS - STEP_DIGITS and (high - low) * 16 ** (digits + 1) <= BINS:
+        while digits < edge and (high - low) * 16 ** (digits + 1) <= BINS:
             digits += 1
         return cls(
             k,
-            digits,
-            format(int(low * 16**digits), f"0{digits}x") if low > 0 else NOTHING,
-            format(int(high * 16**digits) + 1, f"0{digits}x") if high < 1 - 1e-9 else ABOVE_HEX,
+            HASH_DIGITS if (high - low) * population <= BINS else digits,
+            format(int(low * 16**edge), f"0{edge}x") if low > 0 else NOTHING,
+            format(int(high * 16**edge) + 1, f"0{edge}x") if high < 1 - 1e-9 else ABOVE_HEX,
         )
 
 

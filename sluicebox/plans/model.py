@@ -78,6 +78,7 @@ LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 METRIC_TYPES = ("counter", "gauge", "histogram", "summary")
 
 UNIQUE_COLUMNS = {"pipelines": ["id", "name"], "attack_scenarios": ["id", "name"]}
+# Longest texts. Fixed values.
 MAX_LENGTHS = {
     "pipelines": {"name": 255, "created_by": 100},
     "executions": {"status": 50},

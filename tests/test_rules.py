@@ -144,3 +144,11 @@ def test_run_counters(spark):
     df = spark.createDataFrame([(1, None), (None, None), (3, 4)], "a int, b int")
     row = R.run_counters(df, [R.not_null("a"), R.not_null("b")]).first()
     assert (row.records_processed, row.records_failed) == (3, 2)
+
+
+def test_write_split(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, 5)], "a int, b int")
+    R.write_split(df, [R.not_null("b")], str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert [r.a for r in found.where("quality = 'bad'").collect()] == [1]
+    assert [r.a for r in found.where("quality = 'good'").collect()] == [2]

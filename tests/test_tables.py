@@ -146,6 +146,16 @@ def test_duration_function(spark):
     assert found == {"a": dt.timedelta(seconds=45.2), "b": None, "zzz": None}
 
 
+def test_duration_ignores_the_time_zone(spark):
+    """The clocks change between the two times in many zones; local times still lie a day apart."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT timestamp_ntz'2024-03-09 12:00:00' s, timestamp_ntz'2024-03-10 12:00:00.25' e")
+        assert df.select(scalars.seconds_between("s", "e")).first()[0] == 86400.25
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(" a ", [], 2.5, '{"k": {"n": 4}}'), (None, [1, 2], 3.5, "not json")], "s string, a array<int>, d double, j string")
     a, b = df.select(
@@ -189,6 +199,12 @@ def test_percentiles_of_a_group_that_spans_partitions(spark):
         assert found[r.g] == pytest.approx(tuple(r.p), rel=1e-12)
 
 
+def test_rollup_keeps_the_group_without_a_name(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("b", None)], "g string, v double")
+    rows = {r.g: (r.samples, r["mean"], r.p50) for r in M.latency_rollup(df, "g", "v").collect()}
+    assert rows == {None: (2, 2.0, 2.0), "a": (1, 5.0, 5.0)}
+
+
 def test_row_index_with_ties_and_copies(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.lit("same").alias("x"))
     indexed = ordering.row_index(df, ["k"])
