@@ -121,9 +121,9 @@ def max_length(column: str, limit: int, name: str | None = None) -> RowRule:
 
 
 def fits_decimal(column: str, precision: int, scale: int, name: str | None = None) -> RowRule:
-    """The value has a place in the decimal type once its extra decimals are rounded."""
-    fits = F.col(column).try_cast(f"decimal({precision},{scale})")
-    violation = F.col(column).isNotNull() & fits.isNull()
+    """The number has a place in the decimal type once its extra decimals are rounded."""
+    limit = F.lit(10 ** (precision - scale)).cast(f"decimal({precision - scale + 1},0)")
+    violation = F.abs(F.round(F.col(column), scale)) >= limit
     return RowRule(name or f"{column}_decimal", "fits_decimal", (column,), violation)
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicebox.functions.scalars import seconds_between
 from sluicebox.operators import rules as R
 from sluicebox.operators.sinks import ForeignKey, absent_rows, constants_for_match, with_defaults
 from sluicebox.operators.latest import latest
+from sluicebox.operators.metrics import run_metrics
 
 _S, _I, _B, _TS = T.StringType(), T.IntegerType(), T.BooleanType(), T.TimestampType()
 _MS, _SCORE = T.DecimalType(10, 2), T.DecimalType(5, 2)
@@ -214,6 +216,26 @@ def new_execution(pipelines: DataFrame, name: str = "example_pipeline") -> DataF
     return as_table(picked.withColumnRenamed("id", "pipeline_id"), "executions")
 
 
+def execution_of(
+    df: DataFrame, rules: list[R.Rule], execution_id: str, pipeline_id: str, start: dt.datetime, end: dt.datetime
+) -> DataFrame:
+    """The executions row of a run that checked ``df``: rows seen, rows that broke a row rule, and run metrics."""
+    counters = R.run_counters(df, rules)
+    times = {"start_time": start, "end_time": end}
+    run = counters.select(
+        F.lit(execution_id).alias("id"),
+        F.lit(pipeline_id).alias("pipeline_id"),
+        F.when(F.col("records_failed") > 0, "failed").otherwise("completed").alias("status"),
+        *[F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz").alias(c) for c, t in times.items()],
+        "records_processed",
+        "records_failed",
+    )
+    seconds = seconds_between("start_time", "end_time")
+    return run.withColumn("metrics", run_metrics("records_processed", seconds)).withColumn(
+        "error_message", F.lit(None).cast("string")
+    )
+
+
 def new_validation(executions: DataFrame) -> DataFrame:
     """One example validation result of the newest execution."""
     newest = latest(executions, ["start_time"]).select(F.col("id").alias("execution_id"))

@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluicebox.functions.scalars import json_value
 from sluicebox.operators import rules as R
+from sluicebox.plans import model, views
 from sluicebox.showcase import relations as rel
 from sluicebox.showcase.registry import query, table
 
@@ -276,3 +278,31 @@ def dq_config(spark: SparkSession, folder: str) -> DataFrame:
 )
 def dq_counters(spark: SparkSession, folder: str) -> DataFrame:
     return R.run_counters(table(spark, folder, "lineitem"), _line_rules())
+
+
+@query(
+    "checked_run",
+    "WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE "
+    + " OR ".join(f"coalesce({c}, false)" for _, _, c, _ in LINE_CONDITIONS)
+    + f") AS f FROM lineitem) SELECT 'run-1' AS id, 'lines' AS pipeline_name, "
+    "CASE WHEN f > 0 THEN 'failed' ELSE 'completed' END AS status, 45.2::DOUBLE AS duration_seconds, "
+    f"n AS records_processed, f AS records_failed, {rel.half_up('10000 * f', 'n')} / 100.0::DOUBLE AS failure_rate_percent, "
+    "round(n / 45.2::DOUBLE, 2) AS throughput FROM c",
+)
+def checked_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A run over the line items, from its rules to its row in the execution summary."""
+    start = dt.datetime(2025, 1, 1)
+    run = model.execution_of(
+        table(spark, folder, "lineitem"), _line_rules(), "run-1", "p-1", start, start + dt.timedelta(seconds=45.2)
+    )
+    pipeline = spark.createDataFrame([("p-1", "lines")], "id string, name string")
+    return views.execution_summary(run, pipeline).select(
+        "id",
+        "pipeline_name",
+        "status",
+        "duration_seconds",
+        "records_processed",
+        "records_failed",
+        F.col("failure_rate_percent").cast("double").alias("failure_rate_percent"),
+        json_value("metrics", "$.throughput", "double").alias("throughput"),
+    )

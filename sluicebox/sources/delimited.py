@@ -19,7 +19,6 @@ NA_WORDS = (
 )
 TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
-INFINITY_WORDS = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 CORRUPT = "_corrupt_record"
 
 
@@ -99,16 +98,17 @@ def _known(c: str, words: Sequence[str]) -> Column:
     return F.when(~((F.octet_length(col) <= longest) & col.isin(*words)), col)
 
 
+# Cells are matched before they are cast: a failed cast costs an exception, a failed match does not.
+LONG_TEXT = r"^\s*[+-]?\d{1,19}\s*$"
+DOUBLE_TEXT = r"^\s*[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+
+
 def _as_long(text: Column) -> Column:
-    return text.try_cast("bigint")
+    return F.when(text.rlike(LONG_TEXT), text.try_cast("bigint"))
 
 
 def _as_double(text: Column) -> Column:
-    """A double, unless the text only parses thanks to a Java type suffix such as ``1d``."""
-    value = text.try_cast("double")
-    ending = F.lower(F.trim(text))
-    suffixed = ending.rlike("[df]$") & ~ending.isin(*INFINITY_WORDS)
-    return F.when(value.isNotNull() & ~suffixed, value)
+    return F.when(text.rlike(DOUBLE_TEXT), text.try_cast("double"))
 
 
 def _as_boolean(text: Column) -> Column:
@@ -118,24 +118,31 @@ def _as_boolean(text: Column) -> Column:
 CASTS = {"bigint": _as_long, "double": _as_double, "boolean": _as_boolean}
 
 
-def infer_types(text: DataFrame, columns: Sequence[str], words: Sequence[str]) -> dict[str, str]:
-    """The narrowest of bigint, double, boolean and string for each text column, in one aggregation.
+def _kind(text: Column) -> Column:
+    """1 for an integer, 2 for another number, 3 for a boolean, 4 for any other text."""
+    return (
+        F.when(text.isNull(), None)
+        .when(_as_long(text).isNotNull(), 1)
+        .when(text.rlike(DOUBLE_TEXT), 2)
+        .when(text.isin(*TRUE_WORDS, *FALSE_WORDS), 3)
+        .otherwise(4)
+    )
 
-    A column without any value becomes double. Dates stay text.
-    """
+
+def _type_of(lowest: int | None, highest: int | None) -> str:
+    """The narrowest type for kinds between the two; a column without any value becomes double."""
+    if lowest is None or highest == 2:
+        return "double"
+    return {(1, 1): "bigint", (3, 3): "boolean"}.get((lowest, highest), "string")
+
+
+def infer_types(text: DataFrame, columns: Sequence[str], words: Sequence[str]) -> dict[str, str]:
+    """bigint, double, boolean or string for each text column, in one aggregation. Dates stay text."""
     if not columns:
         return {}
-    measures = []
-    for i, c in enumerate(columns):
-        known = _known(c, words)
-        measures.append(F.count(known).alias(f"n{i}"))
-        measures += [F.count(cast(known)).alias(f"{t}{i}") for t, cast in CASTS.items()]
-    seen = text.agg(*measures).first()
-    types = {}
-    for i, c in enumerate(columns):
-        fits = [t for t in CASTS if seen[f"{t}{i}"] == seen[f"n{i}"]]
-        types[c] = "double" if seen[f"n{i}"] == 0 else (fits[0] if fits else "string")
-    return types
+    kinds = {c: _kind(_known(c, words)) for c in columns}
+    seen = text.agg(*[f(k).alias(f"{f.__name__}{i}") for i, k in enumerate(kinds.values()) for f in (F.min, F.max)]).first()
+    return {c: _type_of(seen[f"min{i}"], seen[f"max{i}"]) for i, c in enumerate(columns)}
 
 
 def _typed(text: DataFrame, columns: Sequence[str], o: CsvOptions) -> DataFrame:

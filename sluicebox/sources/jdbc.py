@@ -84,6 +84,13 @@ def tables_of(catalog: DataFrame, schemas: list[str]) -> DataFrame:
     return catalog.where(F.col("table_schema").isin(schemas)).select("table_name").orderBy("table_name")
 
 
+def list_views(spark: SparkSession, database: str = "default") -> DataFrame:
+    """The names of the tables and views that this session knows, sorted."""
+    return spark.sql("SHOW TABLES IN IDENTIFIER(:name)", args={"name": database}).select(
+        F.col("tableName").alias("table_name")
+    ).orderBy("table_name")
+
+
 def with_parameters(df: DataFrame, **equal: object) -> DataFrame:
     """Equality filters on bound values; a JDBC scan sends them to the database."""
     condition: Column = F.lit(True)

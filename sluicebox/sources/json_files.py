@@ -20,19 +20,21 @@ def read_json(
     nrows: int | None = None,
     schema: T.StructType | str | None = None,
     encoding: str = "utf-8",
+    strict: bool = False,
 ) -> DataFrame:
     """A JSON file or folder as a table.
 
     ``columns`` keeps those that exist, in the given order. ``nrows`` keeps that many rows; for the array and object
-    layouts 0 means all. Files of the array and object layouts are read by one task each.
+    layouts 0 means all. Files of the array and object layouts are read by one task each. A malformed record is kept
+    as text in ``_corrupt_record``; with ``strict`` it is an error.
     """
     if layout not in LAYOUTS:
         raise ValueError(f"unsupported layout {layout!r}: use one of {', '.join(LAYOUTS)}")
     if layout == "object":
-        df = _read_object(spark, path, schema)
+        df = _read_object(spark, path, schema, encoding)
     else:
         reader = spark.read.option("multiLine", layout == "array").option("encoding", encoding)
-        reader = reader.option("recursiveFileLookup", True)
+        reader = reader.option("recursiveFileLookup", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
         df = (reader.schema(schema) if schema is not None else reader).json(path)
     if nrows is not None and (nrows or layout == "lines"):
         df = df.limit(nrows)
@@ -41,9 +43,12 @@ def read_json(
     return df
 
 
-def _read_object(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None) -> DataFrame:
+def _read_object(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None, encoding: str
+) -> DataFrame:
     """Each top-level key is a row: ``_key`` and the columns of its value."""
-    documents = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    documents = files.select(F.decode("content", encoding).alias("value"))
     rows = documents.select(F.explode(F.from_json("value", "map<string,string>")).alias(KEY, "_value"))
     if schema is None:
         schema = _value_schema(rows)

@@ -8,7 +8,9 @@ from sluicebox.operators.sinks import write_csv
 from sluicebox.sources.chunks import iterate_chunks, map_chunks, with_chunks
 from sluicebox.sources.delimited import CsvOptions, merged_options, read_csv, read_csv_quarantined, require_clean
 from sluicebox.sources.inventory import file_inventory, guarded, oversized_files, record_guard
-from sluicebox.sources.jdbc import KeyRange, bound_query, page_ranges, read_jdbc, source_options, tables_of, with_parameters
+from sluicebox.sources.jdbc import (
+    KeyRange, bound_query, list_views, page_ranges, read_jdbc, source_options, tables_of, with_parameters,
+)
 from sluicebox.sources.json_files import read_json
 
 SAMPLE = "id,name,value\n1,Alice,100\n2,Bob,200\n3,Charlie,300\n"
@@ -238,3 +240,32 @@ def test_parameters(spark):
     spark.createDataFrame([("x", True), ("y", False)], "name string, is_active boolean").createOrReplaceTempView("pl")
     assert [r.name for r in bound_query(spark, "SELECT name FROM pl WHERE is_active = :active", {"active": True}).collect()] == ["x"]
     assert with_parameters(spark.table("pl"), name="y").count() == 1
+
+
+def test_session_listing(spark):
+    spark.range(1).createOrReplaceTempView("zz_listed")
+    spark.range(1).createOrReplaceTempView("aa_listed")
+    names = [r.table_name for r in list_views(spark).collect()]
+    assert names == sorted(names) and {"zz_listed", "aa_listed"} <= set(names)
+
+
+def test_json_object_in_another_encoding(spark, tmp_path):
+    (tmp_path / "o.json").write_bytes('{"k": {"name": "Muñoz"}}'.encode("latin-1"))
+    assert read_json(spark, str(tmp_path / "o.json"), "object", encoding="ISO-8859-1").first().name == "Muñoz"
+
+
+def test_json_malformed_lines(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"a":1}\n{"a":\n')
+    assert read_json(spark, str(tmp_path / "l.json")).where("a IS NULL").count() == 1
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        read_json(spark, str(tmp_path / "l.json"), schema="a int", strict=True).collect()
+
+
+def test_numbers_that_only_look_like_numbers(spark, tmp_path):
+    cells = ["1_000", "1d", "2f", "0x1F", "5L", "--1", "1e", "+", "."]
+    for i, cell in enumerate(cells):
+        (tmp_path / f"{i}.csv").write_text(f"a\n{cell}\n")
+        assert types(read_csv(spark, str(tmp_path / f"{i}.csv"))) == {"a": "string"}, cell
+    for i, (cell, kind) in enumerate([(" 7 ", "bigint"), ("+7", "bigint"), ("7.", "double"), (".5e-3", "double"), ("-Infinity", "double")]):
+        (tmp_path / f"n{i}.csv").write_text(f"a\n{cell}\n")
+        assert types(read_csv(spark, str(tmp_path / f"n{i}.csv"))) == {"a": kind}, cell
