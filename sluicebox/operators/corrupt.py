@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -159,14 +160,20 @@ class _Outliers(_Step):
             dtype = df.schema[c].dataType
             value = F.lit(outlier_value(maxima[c], LAST_RANK if self.compound else 1, dtype)).cast(dtype)
             first = smallest.get(label)
-            if first:
-                powers = F.array(*[F.lit(outlier_value(maxima[c], r, dtype)).cast(dtype) for r in self.ranks[c]])
-                at = F.array_position(F.array(*[F.lit(s) for s in first]), h).cast("int")
+            if first and maxima[c] is not None:
+                powers = _constants([outlier_value(maxima[c], r, dtype) for r in self.ranks[c]], dtype)
+                at = F.array_position(_constants(first, T.StringType()), h).cast("int")
                 value = F.when(h <= first[-1], F.element_at(powers, at)).otherwise(value)
             changed[c] = F.when(h <= cutoffs[label], value).otherwise(_col(c))
         return _replace(df, changed)
 
 
+def _constants(values: Sequence[object], dtype: T.DataType) -> Column:
+    """An array literal. It is built from one text, as hundreds of single literals are slow to plan."""
+    shown = [format(v, "f") if isinstance(v, Decimal) else str(v) for v in values]
+    return F.split(F.lit(",".join(shown)), ",").cast(T.ArrayType(dtype))
+
+
 def _surviving_ranks(draws: DataFrame, last: DataFrame, names: list[str]) -> dict[str, list[int]]:
     """Per column, the ranks up to LAST_RANK of the draws that no later draw on the same cell overwrites.
 

@@ -15,7 +15,8 @@ from sluicebox.operators.sinks import ForeignKey, absent_rows, constants_for_mat
 from sluicebox.operators.latest import latest
 from sluicebox.operators.metrics import run_metrics
 
-_S, _I, _B, _TS = T.StringType(), T.IntegerType(), T.BooleanType(), T.TimestampType()
+# Counters are long: one run may see more rows than an integer holds.
+_S, _N, _B, _TS = T.StringType(), T.LongType(), T.BooleanType(), T.TimestampType()
 _MS, _SCORE = T.DecimalType(10, 2), T.DecimalType(5, 2)
 
 
@@ -29,12 +30,12 @@ PIPELINES = _table(
 )
 EXECUTIONS = _table(
     {"id", "pipeline_id", "status"},
-    id=_S, pipeline_id=_S, status=_S, start_time=_TS, end_time=_TS, records_processed=_I, records_failed=_I,
+    id=_S, pipeline_id=_S, status=_S, start_time=_TS, end_time=_TS, records_processed=_N, records_failed=_N,
     error_message=_S, metrics=_S,
 )
 VALIDATION_RESULTS = _table(
     {"id", "execution_id", "rule_name", "rule_type", "passed"},
-    id=_S, execution_id=_S, rule_name=_S, rule_type=_S, passed=_B, failed_count=_I, failure_details=_S, timestamp=_TS,
+    id=_S, execution_id=_S, rule_name=_S, rule_type=_S, passed=_B, failed_count=_N, failure_details=_S, timestamp=_TS,
 )
 AUDIT_LOGS = _table(
     {"id", "level", "module", "event"},
@@ -47,9 +48,9 @@ ATTACK_SCENARIOS = _table(
 )
 SIMULATION_RESULTS = _table(
     {"id", "scenario_id", "attack_type"},
-    id=_S, scenario_id=_S, execution_id=_S, attack_type=_S, start_time=_TS, end_time=_TS, attempts_total=_I,
-    attempts_detected=_I, attempts_blocked=_I, attempts_successful=_I, mttd_avg_ms=_MS, mttd_p50_ms=_MS,
-    mttd_p95_ms=_MS, mttd_p99_ms=_MS, false_positives=_I, vulnerabilities=_S, security_score=_SCORE, report_path=_S,
+    id=_S, scenario_id=_S, execution_id=_S, attack_type=_S, start_time=_TS, end_time=_TS, attempts_total=_N,
+    attempts_detected=_N, attempts_blocked=_N, attempts_successful=_N, mttd_avg_ms=_MS, mttd_p50_ms=_MS,
+    mttd_p95_ms=_MS, mttd_p99_ms=_MS, false_positives=_N, vulnerabilities=_S, security_score=_SCORE, report_path=_S,
 )
 METRICS = _table(
     {"id", "metric_name", "metric_type", "value"},

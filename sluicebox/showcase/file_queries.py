@@ -124,48 +124,49 @@ def csv_quarantine_bad(spark: SparkSession, folder: str) -> DataFrame:
     return bad
 
 
-def _month(c: str) -> Column:
-    return F.date_format(c, "yyyy-MM")
+def _piece(key: str) -> Column:
+    return F.floor(F.col(key) / ROWS_PER_DOCUMENT).cast("bigint")
 
 
-def _monthly_csv(spark: SparkSession, folder: str) -> str:
-    """Orders as one CSV file per month, sorted by key."""
-    path = scratch_path(spark, "monthly")
-    orders = table(spark, folder, "orders").withColumn("month", _month("o_orderdate"))
+def _csv_pieces(spark: SparkSession, folder: str) -> str:
+    """Orders as one CSV file per ROWS_PER_DOCUMENT keys, sorted by key."""
+    path = scratch_path(spark, "pieces")
+    orders = table(spark, folder, "orders").withColumn("piece", _piece("o_orderkey"))
     (
-        orders.repartition("month")
-        .sortWithinPartitions("month", "o_orderkey")
-        .write.partitionBy("month")
+        orders.repartition("piece")
+        .sortWithinPartitions("piece", "o_orderkey")
+        .write.partitionBy("piece")
         .option("header", True)
         .csv(path)
     )
     return path
 
 
-CHUNK_ROWS = 50
+CHUNK_ROWS = 300
+NUMBERED_ORDERS = f"""
+    SELECT o_orderkey // {ROWS_PER_DOCUMENT} AS piece, o_orderkey, o_orderstatus,
+           row_number() OVER (PARTITION BY o_orderkey // {ROWS_PER_DOCUMENT} ORDER BY o_orderkey) - 1 AS r FROM orders"""
 
 
 @query(
     "csv_chunks",
-    f"""WITH n AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey,
-                  row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey) - 1 AS r FROM orders)
-    SELECT month, r // {CHUNK_ROWS} AS chunk_id, count(*) AS records, min(o_orderkey) AS first_key,
+    f"""WITH n AS ({NUMBERED_ORDERS})
+    SELECT piece, r // {CHUNK_ROWS} AS chunk_id, count(*) AS records, min(o_orderkey) AS first_key,
            max(o_orderkey) AS last_key FROM n GROUP BY ALL""",
 )
 def csv_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    scan = read_csv(spark, _monthly_csv(spark, folder), multi_line=False, parse_dates=("o_orderdate",))
+    scan = read_csv(spark, _csv_pieces(spark, folder), multi_line=False, parse_dates=("o_orderdate",))
     chunked = with_chunks(scan, CHUNK_ROWS)
-    return chunked.groupBy(_month("o_orderdate").alias("month"), "chunk_id").agg(
+    return chunked.groupBy(_piece("o_orderkey").alias("piece"), "chunk_id").agg(
         F.count(F.lit(1)).alias("records"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key")
     )
 
 
 @query(
     "csv_chunk_map",
-    f"""WITH n AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, o_orderstatus,
-                  row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey) - 1 AS r FROM orders)
+    f"""WITH n AS ({NUMBERED_ORDERS})
     SELECT r // {CHUNK_ROWS} AS chunk_id, min(o_orderkey) AS first_key, count(*) AS records,
-           count(*) FILTER (WHERE o_orderstatus = 'P') AS pending FROM n GROUP BY month, chunk_id""",
+           count(*) FILTER (WHERE o_orderstatus = 'P') AS pending FROM n GROUP BY piece, chunk_id""",
 )
 def csv_chunk_map(spark: SparkSession, folder: str) -> DataFrame:
     def summary(piece: pd.DataFrame) -> pd.DataFrame:
@@ -173,7 +174,7 @@ def csv_chunk_map(spark: SparkSession, folder: str) -> DataFrame:
         first = piece.iloc[0]
         return pd.DataFrame([(first["chunk_id"], first["o_orderkey"], len(piece), pending)])
 
-    scan = read_csv(spark, _monthly_csv(spark, folder), multi_line=False, usecols=("o_orderkey", "o_orderstatus"))
+    scan = read_csv(spark, _csv_pieces(spark, folder), multi_line=False, usecols=("o_orderkey", "o_orderstatus"))
     schema = "chunk_id bigint, first_key bigint, records bigint, pending bigint"
     return map_chunks(with_chunks(scan, CHUNK_ROWS), summary, schema)
 
@@ -187,8 +188,7 @@ def csv_skiprows(spark: SparkSession, folder: str) -> DataFrame:
     suppliers = table(spark, folder, "supplier")
     header = F.lit("exported for a test\nsecond, line, of the preamble, longer\ns_suppkey,s_name,s_acctbal\n")
     line = F.concat_ws(",", "s_suppkey", "s_name", "s_acctbal")
-    piece = F.floor(F.col("s_suppkey") / ROWS_PER_DOCUMENT).cast("bigint").alias("piece")
-    body = suppliers.groupBy(piece).agg(F.concat(header, F.array_join(F.collect_list(line), "\n")).alias("value"))
+    body = suppliers.groupBy(_piece("s_suppkey").alias("piece")).agg(F.concat(header, F.array_join(F.collect_list(line), "\n")).alias("value"))
     body.write.partitionBy("piece").text(path)
     return read_csv(spark, path, skiprows=2, multi_line=False)
 
@@ -204,8 +204,8 @@ def csv_stream_checks(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "orders").schema
     rules = [R.accepted_values("o_orderstatus", ["O", "F"]), R.in_range("o_totalprice", 1000, 400000)]
     pieces = check_folder(
-        spark, _monthly_csv(spark, folder), schema, rules, scratch_path(spark, "pieces"), scratch_path(spark, "progress"),
-        files_per_piece=40, options={"header": True, "recursiveFileLookup": True},
+        spark, _csv_pieces(spark, folder), schema, rules, scratch_path(spark, "checked"), scratch_path(spark, "progress"),
+        files_per_piece=10, options={"header": True, "recursiveFileLookup": True},
     )
     return pieces.groupBy("rule_name").agg(
         F.sum("failed_count").alias("failed_count"), F.sum("records_processed").alias("records")
@@ -226,7 +226,7 @@ def json_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def _write_documents(df: DataFrame, key: str, document: Column, path: str) -> None:
     """One file per ROWS_PER_DOCUMENT keys with the JSON document of these rows; ``key`` is unique."""
-    pieces = df.groupBy(F.floor(F.col(key) / ROWS_PER_DOCUMENT).cast("bigint").alias("piece")).agg(document.alias("value"))
+    pieces = df.groupBy(_piece(key).alias("piece")).agg(document.alias("value"))
     pieces.write.partitionBy("piece").text(path)
 
 
@@ -259,25 +259,23 @@ def json_object(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "file_inventory",
-    """SELECT c_nationkey::VARCHAR AS nation, CAST(1 AS BIGINT) AS files,
-              CAST(sum(octet_length(encode(c_name)) + 1) AS BIGINT) AS size_bytes,
-              (sum(octet_length(encode(c_name)) + 1) > 1024)::BOOLEAN AS oversized
+    """SELECT c_nationkey::VARCHAR AS nation, CAST(sum(octet_length(encode(c_name)) + 1) AS BIGINT) AS size_bytes,
+              true AS named, true AS larger_than_nothing
        FROM customer GROUP BY c_nationkey""",
 )
 def inventory_of_folders(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "names")
-    customers = table(spark, folder, "customer").select("c_nationkey", "c_name")
-    customers.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    table(spark, folder, "customer").select("c_nationkey", "c_name").write.partitionBy("c_nationkey").text(path)
     found = file_inventory(spark, path, layout="text").where(F.col("file_name").endswith(".txt"))
-    large = oversized_files(found, max_mb=1 / 1024).select("file_path", F.lit(True).alias("oversized"))
+    large = oversized_files(found, max_mb=0).select("file_path", F.lit(True).alias("large"))
     nation = F.regexp_extract("file_path", "c_nationkey=([0-9]+)", 1).alias("nation")
     return (
         found.join(large, "file_path", "left")
         .groupBy(nation)
         .agg(
-            F.count(F.lit(1)).alias("files"),
             F.sum("size_bytes").alias("size_bytes"),
-            F.bool_or(F.coalesce("oversized", F.lit(False))).alias("oversized"),
+            F.bool_and(F.col("file_path").endswith(F.col("file_name"))).alias("named"),
+            F.bool_and(F.coalesce("large", F.lit(False))).alias("larger_than_nothing"),
         )
     )
 

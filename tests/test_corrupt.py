@@ -186,3 +186,25 @@ def test_cutoffs_with_a_wrong_row_count_are_still_exact(spark):
 def test_no_shuffle_of_the_table(spark):
     plan = corrupt.inject_anomalies(table(spark), ["id"], 0.3, seed=5)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_compounding_through_every_number_type(spark):
+    df = spark.range(60).select(
+        "id", F.lit(5).cast("smallint").alias("s"), F.lit(7).alias("i"), F.lit("2.50").cast("decimal(12,2)").alias("d"),
+        F.lit(1.5).cast("float").alias("f"), F.lit(3.0).alias("x"),
+    )
+    spoiled = corrupt.inject_outliers(df, 120, ["id"], seed=4, columns=["s", "i", "d", "f", "x"])
+    assert spoiled.schema.fields[1:] and [f.dataType for f in spoiled.schema.fields] == [f.dataType for f in df.schema.fields]
+    row = spoiled.agg(*[F.max(c).alias(c) for c in ("s", "i", "d", "f", "x")]).first()
+    assert row.s == 2**15 - 1 and row.i == 2**31 - 1 and row.d == 9999999999 and row.f > 1e10 and row.x > 1e10
+    powers = {r.x for r in spoiled.where("x <> 3.0").select("x").collect()}
+    assert all(abs(math.log10(p / 3.0) - round(math.log10(p / 3.0))) < 1e-9 for p in powers)
+
+
+def test_infinity_after_many_hits(spark):
+    df = spark.range(2000).select("id", F.lit(1.0).alias("x"))
+    spoiled = corrupt.inject_outliers(df, 1500, ["id"], seed=4, columns=["x"])
+    finite = spoiled.where("x > 1 AND x < double('inf')").count()
+    infinite = spoiled.where("x = double('inf')").count()
+    assert 120 < finite < 200 and 800 < infinite < 1000
+    assert spoiled.where("x > 1 AND x < double('inf')").select("x").distinct().count() == finite
