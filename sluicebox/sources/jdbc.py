@@ -57,6 +57,11 @@ def read_jdbc(
     return spark.read.format("jdbc").options(**source_options(url, query, table, ranges, connection)).load()
 
 
+def bounds_query(query: str, key: str) -> str:
+    """The smallest and largest key of a query result, found by the database."""
+    return f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM ({query.rstrip().rstrip(';')}) keyed"
+
+
 def read_jdbc_paged(
     spark: SparkSession, url: str, query: str, key: str, page_size: int = DEFAULT_PAGE_SIZE,
     connection: Mapping[str, str] | None = None,
@@ -65,11 +70,9 @@ def read_jdbc_paged(
 
     An empty result keeps its columns.
     """
-    whole = read_jdbc(spark, url, query, connection=connection)
-    low, high = whole.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return whole
-    return read_jdbc(spark, url, query, ranges=page_ranges(key, int(low), int(high), page_size), connection=connection)
+    low, high = read_jdbc(spark, url, bounds_query(query, key), connection=connection).first()
+    ranges = None if low is None else page_ranges(key, int(low), int(high), page_size)
+    return read_jdbc(spark, url, query, ranges=ranges, connection=connection)
 
 
 def list_tables(

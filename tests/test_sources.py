@@ -9,7 +9,7 @@ from sluicebox.sources.chunks import iterate_chunks, map_chunks, with_chunks
 from sluicebox.sources.delimited import CsvOptions, merged_options, read_csv, read_csv_quarantined, require_clean
 from sluicebox.sources.inventory import file_inventory, guarded, oversized_files, record_guard
 from sluicebox.sources.jdbc import (
-    KeyRange, bound_query, list_views, page_ranges, read_jdbc, source_options, tables_of, with_parameters,
+    KeyRange, bound_query, bounds_query, list_views, page_ranges, read_jdbc, source_options, tables_of, with_parameters,
 )
 from sluicebox.sources.json_files import read_json
 
@@ -229,6 +229,10 @@ def test_jdbc_page_ranges():
     assert page_ranges("id", 0, 10**12).partitions == 10_000
 
 
+def test_jdbc_bounds_are_left_to_the_database():
+    assert bounds_query("SELECT * FROM t;", "id") == "SELECT MIN(id) AS low, MAX(id) AS high FROM (SELECT * FROM t) keyed"
+
+
 def test_catalog_listing(spark):
     catalog = spark.createDataFrame(
         [("public", "b"), ("public", "a"), ("other", "c")], "table_schema string, table_name string"
