@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluicebox.operators.skew import join_by_key
 from sluicebox.scratch import written
 
 POSITION_BITS = 33  # of a monotonically increasing id
-RANK_SLICES = 10_000  # parts into which the order of all rows is cut for lookups by rank
 
 
 def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -72,8 +72,8 @@ def page(df: DataFrame, order: Sequence[str | Column], page_size: int, number: i
 def percentiles(df: DataFrame, group: str, value: str, points: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation: one row per group, one column per entry of ``points``.
 
-    Equal values are counted before they are ordered, and a group may span any number of partitions. Each wanted
-    place is looked up by its rank in the order of all rows, so the lookup is spread evenly over slices of that order.
+    Equal values are counted before they are ordered, and a group may span any number of partitions. Once a value
+    knows the place of its group in the order, it can tell by itself whether it is one of the wanted places.
     """
     counted = (
         df.where(F.col(value).isNotNull())
@@ -89,40 +89,17 @@ def percentiles(df: DataFrame, group: str, value: str, points: dict[str, float])
         .join(F.broadcast(offsets), "_part")
         .select("_group", "_value", "_rows", (F.col("_before") + F.col("_inside")).alias("_start"))
     )
-    total = placed.agg(F.sum("_rows")).first()[0] or 0
-    slice_ = F.lit(max(1, -(-total // RANK_SLICES))).cast("bigint")
-
-    groups = spans.groupBy("_group").agg(F.min("_start").alias("_first"), F.sum("_rows").alias("_total"))
-    named = F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(p).alias("_p")) for n, p in points.items()]))
-    places = groups.select("_group", "_first", "_total", named.alias("_e")).select(
-        "_group", "_first", "_e._name", ((F.col("_total") - 1) * F.col("_e._p")).alias("_at")
-    )
-    ends = F.explode(F.array(F.struct(F.lit(0).alias("_end"), F.floor("_at").alias("_place")),
-                             F.struct(F.lit(1).alias("_end"), F.ceil("_at").alias("_place"))))
-    wanted = places.select("_group", "_name", "_at", "_first", ends.alias("_e")).select(
-        "_group", "_name", "_at", "_e._end", (F.col("_first") + F.col("_e._place")).alias("_rank")
-    )
-    last = F.col("_start") + F.col("_rows") - 1
-    sliced = spans.select("_value", "_start", last.alias("_last")).select(
-        "*", F.explode(F.sequence(_div("_start", slice_), _div("_last", slice_))).alias("_slice")
-    )
-    hits = (
-        wanted.withColumn("_slice", _div("_rank", slice_))
-        .join(sliced, "_slice")
-        .where((F.col("_start") <= F.col("_rank")) & (F.col("_rank") <= F.col("_last")))
-    )
-    found = hits.groupBy("_group", "_name", "_at").agg(
-        F.max(F.when(F.col("_end") == 0, F.col("_value"))).alias("_low"),
-        F.max(F.when(F.col("_end") == 1, F.col("_value"))).alias("_high"),
-    )
-    result = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
-    return (
-        found.select("_group", "_name", result.alias("_result"))
-        .groupBy(F.col("_group").alias(group))
-        .pivot("_name", list(points))
-        .agg(F.first("_result"))
+    groups = spans.groupBy("_group").agg(
+        F.min("_start").alias("_first"), F.sum("_rows").alias("_total"), F.count(F.lit(1)).alias("_spans")
     )
+    known = join_by_key(spans, groups, "_group", "_spans")
+    place = F.col("_start") - F.col("_first")
 
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((place <= rank) & (rank < place + F.col("_rows")), F.col("_value")))
 
-def _div(c: str, by: Column) -> Column:
-    return F.call_function("div", F.col(c), by)
+    at = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in points.items()}
+    ends = [e for n, x in at.items() for e in (value_at(F.floor(x)).alias(f"{n}_low"), value_at(F.ceil(x)).alias(f"{n}_high"))]
+    found = known.groupBy("_group").agg(F.max("_total").alias("_total"), *ends)
+    between = {n: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (x - F.floor(x)) for n, x in at.items()}
+    return found.select(F.col("_group").alias(group), *[column.alias(name) for name, column in between.items()])

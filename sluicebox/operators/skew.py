@@ -52,3 +52,18 @@ def join_flags(df: DataFrame, keys: DataFrame, on: Sequence[str], flag: str, nam
 def flag_members(df: DataFrame, members: DataFrame, on: Sequence[str], name: str) -> DataFrame:
     """``df`` with a boolean column that says whether its key is among ``members``."""
     return join_flags(df, membership(df, members, on), on, "found", name)
+
+
+def join_by_key(df: DataFrame, keyed: DataFrame, on: str, weight: str) -> DataFrame:
+    """``df`` with the columns of ``keyed``, which has one row per key of ``df``; a null key counts as a key.
+
+    The keys with the largest ``weight``, HEAVY_KEYS at most, are joined by broadcast and their rows not shuffled.
+    """
+    named = keyed.withColumnRenamed(on, "_key")
+    heavy = named.orderBy(F.desc(weight), "_key").limit(HEAVY_KEYS)
+    same = F.col(on).eqNullSafe(F.col("_key"))
+    in_place = df.join(F.broadcast(heavy), same)
+    known = F.broadcast(heavy.select("_key"))
+    others = named.join(known.withColumnRenamed("_key", "_known"), F.col("_key").eqNullSafe(F.col("_known")), "left_anti")
+    shuffled = df.join(known, same, "left_anti").join(others, same)
+    return in_place.unionByName(shuffled).drop("_key")

@@ -12,7 +12,7 @@ from sluicebox import scratch
 from sluicebox.functions import scalars
 from sluicebox.operators import latest as L
 from sluicebox.operators import metrics as M
-from sluicebox.operators import ordering, profile, sinks
+from sluicebox.operators import ordering, profile, sinks, skew
 from sluicebox.plans import audit, model, views
 from sluicebox.operators import rules as R
 from sluicebox.streaming.folders import check_folder
@@ -187,7 +187,9 @@ def test_percentiles_match_numpy(spark, values):
         assert row[name] == pytest.approx(np.percentile(values, p * 100), rel=1e-12)
 
 
-def test_percentiles_of_a_group_that_spans_partitions(spark):
+@pytest.mark.parametrize("heavy", [1000, 2])
+def test_percentiles_of_a_group_that_spans_partitions(spark, monkeypatch, heavy):
+    monkeypatch.setattr(skew, "HEAVY_KEYS", heavy)
     df = spark.range(20000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"),
         (F.col("id") * 7919 % 10007).cast("double").alias("v"),
