@@ -35,7 +35,7 @@ MAX_REPEAT_PERCENT = 50
 #: A line may stand in so many distinct documents of one host.
 LINE_LIMIT = 10
 #: A document may lose this percentage of its words.
-MAX_LOST_PERCENT = 50
+MAX_LOST_PERCENT = 75
 
 _SYMBOLS = b"#*$%&|<>"
 _GAPS = b" \t\n\v\f\r"

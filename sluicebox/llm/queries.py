@@ -67,7 +67,7 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
       FROM d JOIN w USING (row) LEFT JOIN dups USING (row) LEFT JOIN covered USING (row) LEFT JOIN lost USING (row)),
     ruled AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM base)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-      NOT base_failed AND 100 * lost_words <= 50 * n_words AS kept, n_removed_lines, lost_words
+      NOT base_failed AND 100 * lost_words <= 75 * n_words AS kept, n_removed_lines, lost_words
     FROM ruled
     """,
 )
