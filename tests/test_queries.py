@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
+from sluicebox.showcase.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, name):
     assert name in entry.oracle_sql()
     assert compare(spark, FOLDER, entry.queries()[name], entry.oracle_sql()[name], con) == []
