@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluicebox.llm import chat, classifier, exact_dedup, quality_rules
+from sluicebox.llm import chat, classifier, exact_dedup, html_text, quality_rules, token_store
 from sluicebox.llm.common import query, table
+from sluicebox.scratch import scratch_path
 
 
 @query(
@@ -108,3 +109,17 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality_classifier")
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return classifier.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_html_text")
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
+@query("op6_token_store")
+def op6_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "tokens")
+    token_store.write(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_store.read_documents(spark, path)
