@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluicebox.llm import chat, classifier, exact_dedup, html_text, quality_rules, token_store
+from sluicebox.llm import chat, classifier, exact_dedup, html_text, near_dedup, quality_rules, token_store
 from sluicebox.llm.common import query, table
 from sluicebox.scratch import scratch_path
 
@@ -123,3 +123,32 @@ def op6_token_store(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_store.write(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
     return token_store.read_documents(spark, path)
+
+
+@query(
+    "op9_minhash_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+      FROM documents),
+    positions AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0),
+    shingles AS MATERIALIZED (
+      SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS s FROM positions),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    pairs AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id),
+    links AS MATERIALIZED (
+      SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+      WHERE 100 * common >= 80 * (x.n + y.n - common)),
+    ways AS MATERIALIZED (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT u, v FROM ways UNION SELECT r.u, s.v FROM reach r JOIN ways s ON r.v = s.u),
+    least AS (SELECT u, min(v) AS v FROM reach GROUP BY u)
+    SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, least(w.doc_id, coalesce(l.v, w.doc_id)) AS component_id,
+      w.doc_id <= coalesce(l.v, w.doc_id) AS kept
+    FROM w LEFT JOIN sizes z USING (doc_id) LEFT JOIN least l ON l.u = w.doc_id
+    """,
+)
+def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.deduplicate(table(spark, folder, "documents"), size=2)
