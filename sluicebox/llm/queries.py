@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluicebox.llm import chat, classifier, exact_dedup, html_text, near_dedup, quality_rules, token_store
+from sluicebox.llm import chat, classifier, exact_dedup, html_text, mixing, near_dedup, packing, quality_rules, token_store, warc
 from sluicebox.llm.common import query, table
 from sluicebox.scratch import scratch_path
 
@@ -152,3 +152,108 @@ def op6_token_store(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.deduplicate(table(spark, folder, "documents"), size=2)
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+_CANONICAL = r"""
+      SELECT *, regexp_replace(regexp_replace(trim(raw, ' '), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM urls),
+    cut AS (
+      SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(bare, '^([^/?]*)', 1), '^.*@', '')),
+          '^www\d*\.', ''), ':(80|443)$', '') AS host,
+        regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+        array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '')), '&') AS asked
+      FROM bares),
+    keyed AS (
+      SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN asked = '' THEN '' ELSE '?' || asked END AS url_key
+      FROM cut)"""
+
+
+@query(
+    "op4_warc_revisits",
+    rf"""
+    WITH urls AS (
+      SELECT page_id, url AS raw, coalesce(html, '') AS body, md5(coalesce(html, '')) AS tag, 1704067200 + page_id * 60 AS first,
+        1704067200 + page_id * 60 + CASE WHEN page_id % 7 = 0 THEN -30 ELSE 30 END AS again
+      FROM pages),
+    bares AS ({_CANONICAL},
+    stamped AS (
+      SELECT *, strftime(make_timestamp(first * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS first_time,
+        strftime(make_timestamp(again * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS again_time,
+        CASE WHEN page_id % 5 = 0 THEN 'other' ELSE tag END AS shown FROM keyed),
+    found AS (
+      SELECT v.*, r.page_id AS of, r.tag AS of_tag, r.body AS of_body, r.first_time AS of_time
+      FROM stamped v ASOF LEFT JOIN stamped r ON v.url_key = r.url_key AND v.again > r.first)
+    SELECT '<urn:again:' || page_id || '>' AS revisit_id, url_key, again_time AS captured,
+      CASE WHEN of IS NULL THEN 'orphan' WHEN shown = of_tag THEN 'resolved' ELSE 'changed' END AS resolution,
+      '<urn:page:' || of || '>' AS response_id, of_time AS response_time,
+      CASE WHEN shown = of_tag THEN 'content-type: text/html; charset=utf-8' || chr(10) || 'content-length: ' || strlen(of_body) || chr(10)
+        || 'date: ' || again_time || chr(10) || 'etag: W/"' || shown || '"' || chr(10) || 'cache-control: max-age=600' END AS headers,
+      CASE WHEN shown = of_tag THEN length(of_body) END AS payload_chars, CASE WHEN shown = of_tag THEN of_tag END AS payload_md5
+    FROM found
+    """,
+)
+def op4_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.resolve(warc.archive(table(spark, folder, "pages")))
+
+
+_FILL = """
+    {name}_ordered AS (
+      SELECT c.*, p.budget AS parent_budget,
+        coalesce(sum(c.capacity) OVER (PARTITION BY {above} ORDER BY c.capacity::DOUBLE / c.weight, c.{level}
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS used,
+        sum(c.weight) OVER (PARTITION BY {above} ORDER BY c.capacity::DOUBLE / c.weight, c.{level}
+          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS open
+      FROM {name}_children c JOIN {parents} p ON {on}),
+    {name}_full AS (SELECT *, capacity * open <= (parent_budget - used) * weight AS satisfied FROM {name}_ordered),
+    {name}_dealt AS (
+      SELECT *, min(used) FILTER (NOT satisfied) OVER (PARTITION BY {within}) AS first_used,
+        max(open) FILTER (NOT satisfied) OVER (PARTITION BY {within}) AS first_open FROM {name}_full),
+    {name} AS (
+      SELECT *, (CASE WHEN satisfied THEN capacity ELSE (parent_budget - first_used) * weight // first_open END)::HUGEINT AS budget
+      FROM {name}_dealt)"""
+
+
+@query(
+    "op8_source_mix",
+    r"""
+    WITH d AS MATERIALIZED (
+      SELECT doc_id, 'domain' || (('0x' || substr(md5(coalesce(source, '')), 1, 1))::INT // 4) AS domain, coalesce(lang, '') AS lang,
+        coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens
+      FROM documents),
+    leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS words, 2 * sum(n_tokens)::HUGEINT AS capacity FROM d GROUP BY ALL),
+    root AS (SELECT (sum(words) * 75 // 100)::HUGEINT AS budget FROM leaves),
+    a_children AS (SELECT domain, sum(capacity)::HUGEINT AS capacity, 1::HUGEINT AS weight FROM leaves GROUP BY ALL),"""
+    + _FILL.format(name="a", above="1", within="1", level="domain", parents="root", on="true")
+    + """,
+    b_children AS (
+      SELECT domain, lang, sum(capacity)::HUGEINT AS capacity,
+        (CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END)::HUGEINT AS weight
+      FROM leaves GROUP BY ALL),"""
+    + _FILL.format(name="b", above="c.domain", within="domain", level="lang", parents="a", on="c.domain = p.domain")
+    + """,
+    c_children AS (SELECT domain, lang, source, words, capacity, 1::HUGEINT AS weight FROM leaves),"""
+    + _FILL.format(
+        name="c", above="c.domain, c.lang", within="domain, lang", level="source", parents="b", on="c.domain = p.domain AND c.lang = p.lang"
+    )
+    + """,
+    plan AS (
+      SELECT domain, lang, source, budget::BIGINT AS leaf_budget, CASE WHEN words > 0 THEN budget // words ELSE 0 END AS whole,
+        budget - CASE WHEN words > 0 THEN budget // words ELSE 0 END * words AS rest
+      FROM c),
+    ordered AS (
+      SELECT d.*, plan.leaf_budget, plan.whole, plan.rest,
+        ('0x' || substr(md5('17:' || plan.whole || ':' || d.doc_id), 1, 15))::BIGINT AS h
+      FROM d JOIN plan USING (domain, lang, source)),
+    started AS (
+      SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h
+        RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ordered)
+    SELECT doc_id, domain, lang, source, n_tokens, leaf_budget, (whole + CASE WHEN start < rest THEN 1 ELSE 0 END)::BIGINT AS copies
+    FROM started
+    """,
+)
+def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
