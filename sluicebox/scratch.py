@@ -1,35 +1,29 @@
 """Shared scratch space: where a job writes the tables it reads again.
 
-Everything two executors must agree on goes to the folder that the cluster names in ``spark.checkpoint.dir``.
-Only a local session without that setting falls back to a folder of its own machine.
+Everything two executors must agree on goes to the folder that the cluster names in ``spark.checkpoint.dir``, or,
+where none is named, to a folder inside the warehouse, which driver and executors share as well.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: str | None = None
+_made: dict[str, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of this session; an error on a cluster that names none."""
-    global _local_root
+    """The shared folder of this session."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_root is None:
-        _local_root = "file://" + tempfile.mkdtemp(prefix="sluicebox-")
-    return _local_root
+    return (configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing else uses."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, label: str = "table") -> DataFrame:
@@ -42,3 +36,14 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what this application wrote to the shared folder, once its results are saved; gives the number of paths."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = hadoop.Path(name)
+        path.getFileSystem(settings).delete(path, True)
+    return len(paths)

@@ -271,15 +271,20 @@ def test_stream_resumes_and_repeats_safely(spark, tmp_path):
     assert second.agg(F.sum("records_processed"), F.sum("failed_count")).first()[:] == (35, 5)
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+def test_scratch_is_a_shared_folder():
     class Fake:
         class conf:
-            get = staticmethod(lambda name, default=None: None)
+            get = staticmethod({"spark.checkpoint.dir": "hdfs:///shared/", "spark.sql.warehouse.dir": "hdfs:///w"}.get)
 
-        class sparkContext:
-            master = "yarn"
-
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch.scratch_root(Fake())
-    monkeypatch.setattr(Fake.conf, "get", staticmethod(lambda name, default=None: "hdfs:///shared/"))
     assert scratch.scratch_root(Fake()) == "hdfs:///shared"
+    Fake.conf.get = staticmethod(lambda name, default=None: {"spark.sql.warehouse.dir": "hdfs:///w"}.get(name, default))
+    assert scratch.scratch_root(Fake()) == "hdfs:///w/_scratch"
+
+
+def test_scratch_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "_made", {})
+    monkeypatch.setattr(scratch, "scratch_root", lambda spark: str(tmp_path))
+    scratch.written(spark.range(3))
+    assert len(list(tmp_path.iterdir())) == 1
+    assert scratch.drop_scratch(spark) == 1 and not list(tmp_path.iterdir())
+    assert scratch.drop_scratch(spark) == 0
