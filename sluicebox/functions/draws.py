@@ -17,9 +17,15 @@ def new_seed() -> int:
 
 
 def key_text(keys: Sequence[str | Column]) -> Column:
-    """One text per row from its key columns; a null part becomes ``~``."""
-    parts = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("~")) for k in keys]
-    return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
+    """One text per row from its key columns, different for different keys.
+
+    A single key is its own text. Of several, a backslash stands before each separator and backslash; a null part is
+    ``\\0``, which no text can be.
+    """
+    texts = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    if len(texts) == 1:
+        return F.coalesce(texts[0], F.lit("\\0"))
+    return F.concat_ws("|", *[F.coalesce(F.regexp_replace(t, r"([|\\])", r"\\$1"), F.lit("\\0")) for t in texts])
 
 
 def keyed_hash(seed: int, stream: str, key: Column) -> Column:

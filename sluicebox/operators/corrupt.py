@@ -151,7 +151,7 @@ class _Outliers(_Step):
     def apply(self, df: DataFrame, cutoffs: dict[str, str]) -> DataFrame:
         if not self.columns:
             return df
-        maxima = df.agg(*[F.max(_comparable(df, c)).alias(c) for c in self.columns]).first().asDict()
+        maxima = df.agg(*[F.max(comparable(df, c)).alias(c) for c in self.columns]).first().asDict()
         labels = {c: f"outlier|{c}" for c in self.columns}
         wanted = {labels[c]: len(r) for c, r in self.ranks.items()}
         smallest = smallest_hashes(df, self.hashes, cutoffs, wanted)
@@ -188,7 +188,7 @@ def _surviving_ranks(draws: DataFrame, last: DataFrame, names: list[str]) -> dic
     return ranks
 
 
-def _comparable(df: DataFrame, c: str) -> Column:
+def comparable(df: DataFrame, c: str) -> Column:
     """The column without NaN, which would otherwise be the maximum."""
     floating = isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))
     return F.when(~F.isnan(_col(c)), _col(c)) if floating else _col(c)

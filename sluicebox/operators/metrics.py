@@ -14,11 +14,7 @@ LATENCY_POINTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 def latency_rollup(df: DataFrame, group: str, value: str) -> DataFrame:
     """Rows, mean and exact 50th, 95th and 99th percentile of ``value`` per group."""
-    means = df.where(F.col(value).isNotNull()).groupBy(group).agg(
-        F.count(F.lit(1)).alias("samples"), F.avg(value).alias("mean")
-    )
-    places = percentiles(df, group, value, LATENCY_POINTS).withColumnRenamed(group, "_group")
-    return means.join(places, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    return percentiles(df, group, value, LATENCY_POINTS)
 
 
 def latest_metrics(metrics: DataFrame) -> DataFrame:
@@ -39,6 +35,9 @@ def run_metrics(records: str | Column, seconds: str | Column) -> Column:
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Append metric rows, partitioned by day so that time filters skip whole folders."""
+    """Append metric rows, partitioned by day so that time filters skip whole folders.
+
+    The rows of a day are brought together before they are written; a large day is split again by size.
+    """
     days = metrics.withColumn("metric_date", F.to_date("timestamp"))
-    days.write.mode("append").partitionBy("metric_date").parquet(path)
+    days.hint("rebalance", "metric_date").write.mode("append").partitionBy("metric_date").parquet(path)

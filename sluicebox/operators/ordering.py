@@ -7,11 +7,11 @@ position. Everything after that only adds per-partition offsets, one small row p
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluicebox.operators.skew import join_by_key
 from sluicebox.scratch import written
 
 POSITION_BITS = 33  # of a monotonically increasing id
@@ -65,15 +65,34 @@ def pages(df: DataFrame, order: Sequence[str], page_size: int = 10_000, name: st
 
 
 def page(df: DataFrame, order: Sequence[str | Column], page_size: int, number: int) -> DataFrame:
-    """One page: ``LIMIT page_size OFFSET number * page_size`` after a total order."""
-    return df.orderBy(*order).offset(page_size * number).limit(page_size)
+    """One page: ``LIMIT page_size OFFSET number * page_size`` after a total order, in that order.
+
+    The rows are put into ranges of the order and written down; the ranges' sizes say which of them hold the page, and
+    only these are read. No task holds more than a range, however far back the page is.
+    """
+    if page_size <= 0:
+        return df.limit(0)
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    place = F.monotonically_increasing_id()
+    ranged = df.withColumn("_id", place).repartitionByRange(*columns, "_id").sortWithinPartitions(*columns, "_id")
+    numbered = ranged.withColumn("_id", place)
+    rows = written(numbered.select(
+        *[F.col(f"`{c}`") for c in df.columns], F.shiftright("_id", POSITION_BITS).cast("int").alias("_part"),
+        (F.col("_id") % F.lit(2**POSITION_BITS)).alias("_pos"),
+    ), "page")
+    first, end = number * page_size, (number + 1) * page_size
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    held = _offsets(sizes, "_n").join(sizes, "_part").where((F.col("_before") < F.lit(end)) & (F.col("_before") + F.col("_n") > F.lit(first)))
+    indexed = rows.join(F.broadcast(held.drop("_n")), "_part").withColumn("_index", F.col("_before") + F.col("_pos"))
+    inside = indexed.where((F.col("_index") >= F.lit(first)) & (F.col("_index") < F.lit(end)))
+    return inside.orderBy("_index").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def percentiles(df: DataFrame, group: str, value: str, points: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation: one row per group, one column per entry of ``points``.
+    """Exact percentiles with linear interpolation: one row per group with ``samples``, ``mean`` and a column per point.
 
-    Equal values are counted before they are ordered, and a group may span any number of partitions. Once a value
-    knows the place of its group in the order, it can tell by itself whether it is one of the wanted places.
+    Equal values are counted before they are ordered, in one scan of ``df``, and a group may span any number of ranges.
+    The rows of each group in each range give its place in the order; only ranges that hold a wanted place are read again.
     """
     counted = (
         df.where(F.col(value).isNotNull())
@@ -81,25 +100,33 @@ def percentiles(df: DataFrame, group: str, value: str, points: dict[str, float])
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     placed = _ranged(counted, ["_group", "_value"])
-    within = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = _offsets(placed.groupBy("_part").agg(F.sum("_rows").alias("_n")), "_n")
-    inside = F.coalesce(F.sum("_rows").over(within), F.lit(0))
-    spans = (
-        placed.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), "_part")
-        .select("_group", "_value", "_rows", (F.col("_before") + F.col("_inside")).alias("_start"))
+    # Sums of six decimals are exact whatever their order; what is smaller, or too large, is summed as it is.
+    exact = F.col("_value").try_cast("decimal(20,6)")
+    rest = F.col("_value") - F.coalesce(exact.cast("double"), F.lit(0.0))
+    totals = placed.groupBy("_group", "_part").agg(
+        F.sum("_rows").alias("_n"), F.coalesce(F.sum(exact * F.col("_rows").cast("decimal(17,0)")), F.lit(0)).alias("_exact"),
+        F.sum(rest * F.col("_rows")).alias("_rest"),
     )
-    groups = spans.groupBy("_group").agg(
-        F.min("_start").alias("_first"), F.sum("_rows").alias("_total"), F.count(F.lit(1)).alias("_spans")
+    spans = Window.partitionBy("_group")
+    earlier = spans.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    known = totals.select(
+        "_group", "_part", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(spans).alias("samples"), ((F.sum("_exact").over(spans).cast("double") + F.sum("_rest").over(spans)) / F.sum("_n").over(spans)).alias("mean"),
     )
-    known = join_by_key(spans, groups, "_group", "_spans")
-    place = F.col("_start") - F.col("_first")
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((place <= rank) & (rank < place + F.col("_rows")), F.col("_value")))
-
-    at = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in points.items()}
-    ends = [e for n, x in at.items() for e in (value_at(F.floor(x)).alias(f"{n}_low"), value_at(F.ceil(x)).alias(f"{n}_high"))]
-    found = known.groupBy("_group").agg(F.max("_total").alias("_total"), *ends)
-    between = {n: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (x - F.floor(x)) for n, x in at.items()}
-    return found.select(F.col("_group").alias(group), *[column.alias(name) for name, column in between.items()])
+    at = {name: (F.col("samples") - 1) * F.lit(float(p)) for name, p in points.items()}
+    ends = {f"{n}_{end}": f(x) for n, x in at.items() for end, f in (("low", F.floor), ("high", F.ceil))}
+    hit = reduce(lambda a, b: a | b, [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_n")) for r in ends.values()])
+    held = known.where(hit).select(F.col("_group").alias("_of"), F.col("_part").alias("_at"), "_before", "samples", "mean")
+    same = F.col("_group").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_at"))
+    within = Window.partitionBy("_of", "_at").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("_before") + F.coalesce(F.sum("_rows").over(within), F.lit(0))
+    rows = placed.join(held, same).withColumn("_start", place)
+    found = [
+        F.max(F.when((F.col("_start") <= r) & (r < F.col("_start") + F.col("_rows")), F.col("_value"))).alias(n)
+        for n, r in ends.items()
+    ]
+    each = rows.groupBy("_of").agg(F.first("samples").alias("samples"), F.first("mean").alias("mean"), *found)
+    between = {
+        n: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (x - F.floor(x)) for n, x in at.items()
+    }
+    return each.select(F.col("_of").alias(group), "samples", "mean", *[column.alias(name) for name, column in between.items()])

@@ -7,23 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.operators.corrupt import numeric_columns
+from sluicebox.operators.corrupt import comparable, numeric_columns
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """One row per column: rows, nulls and the maximum of numeric columns, in a single pass."""
+    """One row per column: rows, nulls and the maximum of numeric columns, in a single pass.
+
+    The maximum is the text of a value of the column's own type, so that no digit is lost; NaN is no maximum.
+    """
     numeric = set(numeric_columns(df))
     measures = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
         measures.append(F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}"))
         if c in numeric:
-            measures.append(F.max(f"`{c}`").cast("double").alias(f"m{i}"))
+            measures.append(F.max(comparable(df, c)).cast("string").alias(f"m{i}"))
     entries = [
         F.struct(
             F.lit(c).alias("column"),
             F.col("rows").alias("rows"),
             F.col(f"n{i}").alias("nulls"),
-            (F.col(f"m{i}") if c in numeric else F.lit(None).cast("double")).alias("maximum"),
+            (F.col(f"m{i}") if c in numeric else F.lit(None).cast("string")).alias("maximum"),
         )
         for i, c in enumerate(df.columns)
     ]

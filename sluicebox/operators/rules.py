@@ -13,12 +13,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicebox.functions.draws import key_text
 from sluicebox.functions.scalars import null_or, sum_of, trimmed_length
-from sluicebox.operators.skew import join_flags, key_counts, membership
+from sluicebox.operators.skew import flag_keys, key_counts, present
 
 MARK = "_violations"
 
@@ -44,12 +44,16 @@ class UniqueRule:
     columns: tuple[str, ...]
     kind: str = "unique"
 
-    def keys(self, df: DataFrame) -> DataFrame:
-        """Each key with its number of rows; counting starts inside each task."""
-        return key_counts(df, self.columns).withColumn("bad", F.col("rows") > 1)
-
     def failed(self, df: DataFrame) -> DataFrame:
-        return self.keys(df).where("bad")
+        """The keys that occur more than once, with their number of rows; counting starts inside each task."""
+        return key_counts(df, self.columns).where(F.col("rows") > 1)
+
+    def broken_rows(self, df: DataFrame) -> DataFrame:
+        return df.join(self.failed(df).select(*self.columns), list(self.columns), "left_semi")
+
+    def flag(self, rows: DataFrame, df: DataFrame, name: str) -> DataFrame:
+        """``rows``, which come from ``df``, with a boolean column: the row breaks the rule. Only bad keys are joined."""
+        return flag_keys(rows, self.failed(df), self.columns, name)
 
 
 @dataclass(frozen=True)
@@ -62,13 +66,17 @@ class ReferenceRule:
     parent_columns: tuple[str, ...]
     kind: str = "references"
 
-    def keys(self, df: DataFrame) -> DataFrame:
-        """Each key with its number of rows; a frequent key is a single row before the join."""
-        return membership(df, self._parents(), self.columns).withColumn("bad", ~F.col("found"))
-
     def failed(self, df: DataFrame) -> DataFrame:
+        """The missing keys with their number of rows; a frequent key is a single row before the join."""
         return key_counts(df, self.columns).join(self._parents(), list(self.columns), "left_anti")
 
+    def broken_rows(self, df: DataFrame) -> DataFrame:
+        return df.where(present(self.columns)).join(self._parents(), list(self.columns), "left_anti")
+
+    def flag(self, rows: DataFrame, df: DataFrame, name: str) -> DataFrame:
+        found = flag_keys(rows, self._parents().distinct(), self.columns, name)
+        return found.withColumn(name, present(self.columns) & ~F.col(name))
+
     def _parents(self) -> DataFrame:
         return self.parent.select(*[F.col(p).alias(c) for p, c in zip(self.parent_columns, self.columns)])
 
@@ -122,8 +130,7 @@ def max_length(column: str, limit: int, name: str | None = None) -> RowRule:
 
 def fits_decimal(column: str, precision: int, scale: int, name: str | None = None) -> RowRule:
     """The number has a place in the decimal type once its extra decimals are rounded."""
-    limit = F.lit(10 ** (precision - scale)).cast(f"decimal({precision - scale + 1},0)")
-    violation = F.abs(F.round(F.col(column), scale)) >= limit
+    violation = F.col(column).isNotNull() & F.col(column).try_cast(f"decimal({precision},{scale})").isNull()
     return RowRule(name or f"{column}_decimal", "fits_decimal", (column,), violation)
 
 
@@ -158,23 +165,39 @@ CONFIGURABLE: dict[str, Callable[..., Rule]] = {
 }
 
 
-def rules_from_config(config: str | Mapping, columns: Sequence[str]) -> list[Rule]:
+def rules_from_config(
+    config: str | Mapping, columns: Sequence[str], tables: Mapping[str, DataFrame] | None = None
+) -> list[Rule]:
     """Rules named by a JSON configuration.
 
     ``{"validations": ["not_null", "unique"]}`` applies each rule to each of ``columns``. An entry may also be an
-    object: ``{"rule": "range", "args": ["amount", 0, 100]}``.
+    object: ``{"rule": "range", "args": ["amount", 0, 100]}``. ``references`` names one of ``tables``:
+    ``{"rule": "references", "args": ["customer_id", "customers", "id"]}``.
     """
     parsed = json.loads(config) if isinstance(config, str) else config
     rules: list[Rule] = []
     for entry in parsed.get("validations", []):
         word, args = (entry, None) if isinstance(entry, str) else (entry["rule"], entry.get("args"))
+        if word == "references" and args:
+            if args[1] not in (tables or {}):
+                raise ValueError(f"unknown table {args[1]!r}")
+            rules.append(references(args[0], tables[args[1]], *args[2:]))
+            continue
         if word not in CONFIGURABLE:
-            raise ValueError(f"unknown rule {word!r}; known: {sorted(CONFIGURABLE)}")
+            raise ValueError(f"unknown rule {word!r}; known: {sorted([*CONFIGURABLE, 'references'])}")
         build = CONFIGURABLE[word]
         rules += [build(c) for c in columns] if args is None else [build(*args)]
     return rules
 
 
+def named_once(rules: Sequence[Rule]) -> None:
+    """A name tells the results of one rule from those of another."""
+    names = [r.name for r in rules]
+    repeated = sorted({n for n in names if names.count(n) > 1})
+    if repeated:
+        raise ValueError(f"rules need different names; repeated: {repeated}")
+
+
 def row_rules(rules: Sequence[Rule]) -> list[RowRule]:
     return [r for r in rules if isinstance(r, RowRule)]
 
@@ -203,6 +226,7 @@ def row_counts(df: DataFrame, rules: Sequence[RowRule]) -> DataFrame:
 
 def failed_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(rule_name, rule_type, failed_count): one scan for all row rules, one shuffle of keys per set rule."""
+    named_once(rules)
     parts = []
     fused = row_rules(rules)
     if fused:
@@ -218,6 +242,7 @@ def violations(df: DataFrame, rules: Sequence[Rule], key: Sequence[str]) -> Data
 
     ``row`` is the text key of the row, ``value`` the offending value as text.
     """
+    named_once(rules)
     parts = []
     fused = row_rules(rules)
     if fused:
@@ -226,9 +251,8 @@ def violations(df: DataFrame, rules: Sequence[Rule], key: Sequence[str]) -> Data
         # The outer form of explode keeps the optimizer from evaluating all rules a second time in a filter.
         parts.append(cells.select("row", F.explode_outer("cells").alias("d")).where("d IS NOT NULL").select("row", "d.*"))
     for rule in set_rules(rules):
-        hit = join_flags(df, rule.keys(df), rule.columns, "bad", "_hit").where("_hit")
         details = F.inline_outer(F.array(*[_detail(rule.name, c) for c in rule.columns]))
-        parts.append(hit.select(key_text(key).alias("row"), details))
+        parts.append(rule.broken_rows(df).select(key_text(key).alias("row"), details))
     return reduce(DataFrame.unionByName, parts).select("rule_name", "row", "column", "value")
 
 
@@ -237,60 +261,51 @@ def _detail(rule: str, column: str) -> Column:
     return F.struct(F.lit(rule).alias("rule_name"), F.lit(column).alias("column"), value.alias("value"))
 
 
-def failure_details(df: DataFrame, rules: Sequence[Rule], key: Sequence[str], limit: int) -> DataFrame:
-    """(rule_name, failure_details): the first ``limit`` violations of each rule as a JSON list, by row key.
+def result_id(execution_id: str | int, rule: Column) -> Column:
+    """The id of a rule's result in a run."""
+    return F.md5(F.concat_ws("|", F.lit(str(execution_id)), rule))
 
-    The bound is applied inside each task before the shuffle; ``violations`` has the complete list.
-    """
-    first = Window.partitionBy("rule_name").orderBy("row", "column")
-    kept = violations(df, rules, key).withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit)
-    listed = F.array_sort(F.collect_list(F.struct("n", "row", "column", "value")))
-    shown = F.transform(listed, lambda d: F.struct(d["row"].alias("row"), d["column"].alias("column"), d["value"].alias("value")))
-    as_json = F.to_json(shown, {"ignoreNullFields": "false"})
-    return kept.groupBy("rule_name").agg(as_json.alias("failure_details"))
-
-
-def validate(
-    df: DataFrame,
-    rules: Sequence[Rule],
-    execution_id: str | int,
-    run_time: dt.datetime,
-    key: Sequence[str] | None = None,
-    details: int = 0,
-) -> DataFrame:
+
+def failure_rows(df: DataFrame, rules: Sequence[Rule], key: Sequence[str], execution_id: str | int) -> DataFrame:
+    """Every violation as a row that belongs to a result of ``validate``: (result_id, rule_name, row, column, value)."""
+    return violations(df, rules, key).select(result_id(execution_id, F.col("rule_name")).alias("result_id"), "*")
+
+
+def validate(df: DataFrame, rules: Sequence[Rule], execution_id: str | int, run_time: dt.datetime) -> DataFrame:
     """The rules' results in the shape of the validation_results table.
 
-    With ``details`` and ``key``, each failed rule also shows its first violations.
+    ``failure_details`` sums up all violations of a failed rule by column; ``failure_rows`` has them one by one.
     """
-    counts = failed_counts(df, rules)
-    if details and key:
-        counts = counts.join(failure_details(df, rules, key, details), "rule_name", "left")
-        shown = F.coalesce("failure_details", F.lit("[]"))
-    else:
-        shown = F.lit("[]")
     moment = F.lit(run_time.isoformat(sep=" ")).cast("timestamp_ntz")
-    identity = F.concat_ws("|", F.lit(str(execution_id)), F.col("rule_name"))
-    return counts.select(
-        F.md5(identity).alias("id"),
+    columns = F.lit(None).cast("array<string>")
+    for rule in rules:
+        columns = F.when(F.col("rule_name") == rule.name, F.array(*map(F.lit, rule.columns))).otherwise(columns)
+    entry = F.transform(columns, lambda c: F.struct(c.alias("column"), F.col("failed_count").alias("count")))
+    return failed_counts(df, rules).select(
+        result_id(execution_id, F.col("rule_name")).alias("id"),
         F.lit(execution_id).alias("execution_id"),
         "rule_name",
         "rule_type",
         (F.col("failed_count") == 0).alias("passed"),
         "failed_count",
-        shown.alias("failure_details"),
+        F.when(F.col("failed_count") > 0, F.to_json(entry)).otherwise("[]").alias("failure_details"),
         moment.alias("timestamp"),
     )
 
 
 def mark(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``df`` with the array of the names of the rules that each row breaks."""
+    """``df`` with the array of the names of the rules that each row breaks.
+
+    A set rule adds one join with its bad keys or its parents; adaptive execution splits frequent keys of ``df``.
+    """
+    named_once(rules)
     fused = row_rules(rules)
     none = F.array().cast("array<string>")
     names = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in fused])) if fused else none
     out = df.withColumn(MARK, F.when(any_broken(fused), names).otherwise(none))
     for i, rule in enumerate(set_rules(rules)):
         flag = f"_flag{i}"
-        out = join_flags(out, rule.keys(df), rule.columns, "bad", flag)
+        out = rule.flag(out, df, flag)
         extended = F.concat(F.col(MARK), F.array(F.lit(rule.name)))
         out = out.withColumn(MARK, F.when(F.col(flag), extended).otherwise(F.col(MARK))).drop(flag)
     return out
@@ -312,6 +327,9 @@ def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
 
 
 def run_counters(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(records_processed, records_failed) of a run: a failed row breaks at least one row rule."""
-    broken = any_broken(row_rules(rules))
-    return df.agg(F.count(F.lit(1)).alias("records_processed"), F.count_if(broken).alias("records_failed"))
+    """(records_processed, records_failed) of a run: a failed row breaks at least one rule."""
+    if set_rules(rules):
+        rows, broken = mark(df, rules), F.size(MARK) > 0
+    else:
+        rows, broken = df, any_broken(row_rules(rules))
+    return rows.agg(F.count(F.lit(1)).alias("records_processed"), F.count_if(broken).alias("records_failed"))

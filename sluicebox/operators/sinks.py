@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicebox.operators.skew import flag_members, present
+from sluicebox.operators.skew import flag_keys, present
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", encoding: str = "utf-8", mode: str = "overwrite") -> None:
@@ -63,12 +63,12 @@ def upsert(
 ) -> DataFrame:
     """Overwrite the columns of ``changes`` on matching rows and set ``stamp`` on them.
 
-    A null in ``changes`` is written as a null. Rows without a match are added unless ``insert`` is off. A key that
-    occurs twice in ``changes`` is an error, raised when the result is computed.
+    A null in ``changes`` is written as a null. Rows without a match are added unless ``insert`` is off; a null key
+    matches nothing. A key that occurs twice in ``changes`` is an error, raised when the result is computed.
     """
     keys = list(keys)
     fields = [c for c in changes.columns if c not in keys]
-    once = changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"), F.first(F.struct(*fields, *keys)).alias("_new"))
+    once = changes.where(present(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"), F.first(F.struct(*fields, *keys)).alias("_new"))
     twice = F.raise_error(F.lit("a key occurs twice in the changes")).cast("boolean")
     checked = once.withColumn("_changed", F.when(F.col("_times") > 1, twice).otherwise(F.lit(True))).drop("_times")
     joined = target.join(checked, keys, "full_outer" if insert else "left")
@@ -84,7 +84,15 @@ def upsert(
         else:
             value = F.col(c)
         out.append(value.alias(c))
-    return joined.select(*out)
+    changed = joined.select(*out)
+    if not insert:
+        return changed
+    unmatched = changes.where(~present(keys))
+    added = [
+        moment.alias(c) if c == stamp else F.col(c).cast(f.dataType).alias(c) if c in changes.columns else F.lit(None).cast(f.dataType).alias(c)
+        for c, f in zip(target.columns, target.schema.fields, strict=True)
+    ]
+    return changed.unionByName(unmatched.select(*added))
 
 
 def _moment(now: dt.datetime | Column | None, target: DataFrame, stamp: str | None) -> Column:
@@ -111,29 +119,31 @@ def delete(
     Children are deleted or lose their key as their foreign key says, and so on down to their own children.
     """
     out = dict(tables)
-    _delete(out, foreign_keys, table, deleted.select(key).distinct(), key)
+    _delete(out, foreign_keys, table, deleted.select(key).distinct(), key, tables[table])
     return out
 
 
 def _delete(
-    tables: dict[str, DataFrame], foreign_keys: Sequence[ForeignKey], table: str, gone: DataFrame, key: str
+    tables: dict[str, DataFrame], foreign_keys: Sequence[ForeignKey], table: str, gone: DataFrame, key: str, before: DataFrame
 ) -> None:
+    """Remove the rows of ``table`` whose ``key`` is in ``gone``; ``before``: the table that still has them.
+
+    Each table is read once for its own rows, and once more if rows of it take others with them. Frequent keys of a
+    table are split by adaptive execution, as the other side of each join has each key once.
+    """
     tables[table] = tables[table].join(gone, key, "left_anti").select(*tables[table].columns)
     for fk in foreign_keys:
         if fk.parent != table or fk.child not in tables:
             continue
         child = tables[fk.child]
-        # Many children may share one parent, hence the join that keeps a frequent key in place.
-        flagged = flag_members(child, gone.select(F.col(key).alias(fk.column)), [fk.column], "_orphan")
+        keys = gone if fk.key == key else before.join(gone, key, "left_semi").select(fk.key).where(present([fk.key])).distinct()
+        orphans = keys.select(F.col(fk.key).alias(fk.column))
         if fk.on_delete == "set_null":
+            flagged = flag_keys(child, orphans, [fk.column], "_orphan")
             cleared = F.when(~F.col("_orphan"), F.col(fk.column)).alias(fk.column)
             tables[fk.child] = flagged.select(*[cleared if c == fk.column else F.col(c) for c in child.columns])
-            continue
-        own_key = next((other.key for other in foreign_keys if other.parent == fk.child), None)
-        if own_key is None:
-            tables[fk.child] = flagged.where(~F.col("_orphan")).drop("_orphan")
         else:
-            _delete(tables, foreign_keys, fk.child, flagged.where("_orphan").select(own_key).distinct(), own_key)
+            _delete(tables, foreign_keys, fk.child, orphans, fk.column, child)
 
 
 def with_defaults(df: DataFrame, schema: T.StructType, defaults: Mapping[str, Column]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins whose work stays spread out when a few keys hold most of the rows."""
+"""Keys of a table: counted before they move, and joined without losing rows."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEAVY_KEYS = 1000
-
 
 def present(columns: Sequence[str]) -> Column:
     """None of the columns is null."""
@@ -21,49 +19,10 @@ def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.where(present(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def membership(df: DataFrame, members: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The keys of ``df`` with their ``rows`` and whether they are ``found`` in ``members``.
-
-    A frequent key is a single row before it meets the members.
-    """
-    known = members.select(*on).distinct().withColumn("_known", F.lit(True))
-    found = F.coalesce(F.col("_known"), F.lit(False))
-    return key_counts(df, on).join(known, list(on), "left").withColumn("found", found).drop("_known")
-
-
-def join_flags(df: DataFrame, keys: DataFrame, on: Sequence[str], flag: str, name: str) -> DataFrame:
-    """``df`` with boolean column ``name``: the ``flag`` that ``keys`` holds for the key of the row.
-
-    ``keys`` has one row per key of ``df``, its number of ``rows`` and the boolean ``flag``. The most frequent keys,
-    HEAVY_KEYS at most, reach every task by broadcast; their rows and those with a null key are answered in place
-    and not shuffled. Any other key holds less than one HEAVY_KEYS-th of the rows.
-    """
-    on = list(on)
-    heavy = keys.orderBy(F.desc("rows"), *on).limit(HEAVY_KEYS).select(*on, F.col(flag).alias("_heavy"))
-    tagged = df.join(F.broadcast(heavy), on, "left")
-    in_place = F.col("_heavy").isNotNull() | ~present(on)
-    flagged = keys.where(flag).select(*on).join(F.broadcast(heavy), on, "left_anti")
-    shuffled = tagged.where(~in_place).join(flagged.withColumn(name, F.lit(True)), on, "left")
-    kept = tagged.where(in_place).withColumn(name, F.col("_heavy"))
-    both = kept.unionByName(shuffled)
-    return both.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col(name), F.lit(False)).alias(name))
-
-
-def flag_members(df: DataFrame, members: DataFrame, on: Sequence[str], name: str) -> DataFrame:
-    """``df`` with a boolean column that says whether its key is among ``members``."""
-    return join_flags(df, membership(df, members, on), on, "found", name)
-
-
-def join_by_key(df: DataFrame, keyed: DataFrame, on: str, weight: str) -> DataFrame:
-    """``df`` with the columns of ``keyed``, which has one row per key of ``df``; a null key counts as a key.
+def flag_keys(df: DataFrame, keys: DataFrame, on: Sequence[str], name: str) -> DataFrame:
+    """``df`` with boolean column ``name``: the key of the row is among ``keys``, which has each key once.
 
-    The keys with the largest ``weight``, HEAVY_KEYS at most, are joined by broadcast and their rows not shuffled.
+    An outer join that keeps all rows of ``df``; adaptive execution broadcasts few keys and splits a frequent one.
     """
-    named = keyed.withColumnRenamed(on, "_key")
-    heavy = named.orderBy(F.desc(weight), "_key").limit(HEAVY_KEYS)
-    same = F.col(on).eqNullSafe(F.col("_key"))
-    in_place = df.join(F.broadcast(heavy), same)
-    known = F.broadcast(heavy.select("_key"))
-    others = named.join(known.withColumnRenamed("_key", "_known"), F.col("_key").eqNullSafe(F.col("_known")), "left_anti")
-    shuffled = df.join(known, same, "left_anti").join(others, same)
-    return in_place.unionByName(shuffled).drop("_key")
+    joined = df.join(keys.select(*on, F.lit(True).alias(name)), list(on), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col(name), F.lit(False)).alias(name))

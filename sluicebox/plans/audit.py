@@ -73,8 +73,11 @@ def audited_extraction(
 
 
 def write_audit(logs: DataFrame, path: str) -> None:
-    """Append audit rows, partitioned by day so that time filters skip whole folders."""
-    logs.withColumn("log_date", F.to_date("timestamp")).write.mode("append").partitionBy("log_date").parquet(path)
+    """Append audit rows, partitioned by day so that time filters skip whole folders.
+
+    The rows of a day are brought together before they are written; a large day is split again by size.
+    """
+    logs.withColumn("log_date", F.to_date("timestamp")).hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").parquet(path)
 
 
 def find_audit(

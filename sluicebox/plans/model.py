@@ -220,7 +220,7 @@ def new_execution(pipelines: DataFrame, name: str = "example_pipeline") -> DataF
 def execution_of(
     df: DataFrame, rules: list[R.Rule], execution_id: str, pipeline_id: str, start: dt.datetime, end: dt.datetime
 ) -> DataFrame:
-    """The executions row of a run that checked ``df``: rows seen, rows that broke a row rule, and run metrics."""
+    """The executions row of a run that checked ``df``: rows seen, rows that broke a rule, and run metrics."""
     counters = R.run_counters(df, rules)
     times = {"start_time": start, "end_time": end}
     run = counters.select(
@@ -244,7 +244,7 @@ def new_validation(executions: DataFrame) -> DataFrame:
 
 
 def validate_table(
-    table: str, tables: Mapping[str, DataFrame], execution_id: str, run_time: dt.datetime, details: int = 0
+    table: str, tables: Mapping[str, DataFrame], execution_id: str, run_time: dt.datetime
 ) -> DataFrame:
     """Results of all rules of one model table."""
-    return R.validate(tables[table], table_rules(table, tables), execution_id, run_time, ["id"], details)
+    return R.validate(tables[table], table_rules(table, tables), execution_id, run_time)

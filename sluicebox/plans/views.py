@@ -50,15 +50,19 @@ def execution_duration(executions: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("id").join(durations, "id", "left")
 
 
-def register(spark: SparkSession, executions: DataFrame, pipelines: DataFrame, simulations: DataFrame) -> None:
-    """The views as temporary views, and ``calculate_execution_duration(id)`` as an SQL function."""
-    execution_summary(executions, pipelines).createOrReplaceTempView("execution_summary")
-    security_posture(simulations).createOrReplaceTempView("security_posture")
-    executions.createOrReplaceTempView("executions")
+def register(
+    spark: SparkSession, executions: DataFrame, pipelines: DataFrame, simulations: DataFrame, prefix: str = ""
+) -> None:
+    """The views as temporary views, and ``calculate_execution_duration(id)`` as an SQL function.
+
+    ``prefix`` stands before every name, so that they need not replace views of the session.
+    """
+    execution_summary(executions, pipelines).createOrReplaceTempView(f"{prefix}execution_summary")
+    security_posture(simulations).createOrReplaceTempView(f"{prefix}security_posture")
+    executions.createOrReplaceTempView(f"{prefix}executions")
     id_type = executions.schema["id"].dataType.simpleString()
     spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION calculate_execution_duration(execution_uuid "
-        + id_type
-        + ") RETURNS INTERVAL DAY TO SECOND RETURN "
-        "(SELECT max(e.end_time - e.start_time) FROM executions e WHERE e.id = execution_uuid)"
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}calculate_execution_duration(execution_uuid {id_type}) "
+        "RETURNS INTERVAL DAY TO SECOND RETURN "
+        f"(SELECT max(e.end_time - e.start_time) FROM {prefix}executions e WHERE e.id = execution_uuid)"
     )

@@ -14,6 +14,7 @@ from sluicebox.showcase.registry import query, table
 from sluicebox.sources.chunks import map_chunks, with_chunks
 from sluicebox.sources.delimited import merged_options, read_csv, read_csv_quarantined
 from sluicebox.sources.inventory import file_inventory, oversized_files, record_guard
+from sluicebox.sources.jdbc import tables_of
 from sluicebox.sources.json_files import read_json
 from sluicebox.streaming.folders import check_folder
 
@@ -257,27 +258,95 @@ def json_object(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("price", F.col("price").cast("double"))
 
 
+@query(
+    "json_object_broken",
+    f"""WITH p AS (SELECT o_orderkey // {ROWS_PER_DOCUMENT} AS piece, o_orderkey, o_orderstatus FROM orders)
+        SELECT 'order-' || o_orderkey AS _key, o_orderstatus AS status, NULL::BIGINT AS broken_chars, NULL::VARCHAR AS broken_start
+        FROM p WHERE piece % 2 = 0
+        UNION ALL SELECT NULL, NULL, sum(length(o_orderkey::VARCHAR) + 24)::BIGINT, '{{"order-' FROM p WHERE piece % 2 = 1 GROUP BY piece""",
+)
+def json_object_broken(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second document is cut off by its last character."""
+    path = scratch_path(spark, "json")
+    orders = table(spark, folder, "orders")
+    entry = F.struct(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")), F.struct(F.col("o_orderstatus").alias("status")))
+    whole = F.to_json(F.map_from_entries(F.collect_list(entry)))
+    cut = F.when(F.first(_piece("o_orderkey")) % 2 == 0, whole).otherwise(F.regexp_replace(whole, r"\}$", ""))
+    _write_documents(orders, "o_orderkey", cut, path)
+    found = read_json(spark, path, layout="object", schema="status string, _corrupt_record string")
+    broken = F.regexp_replace(F.col("_corrupt_record"), r"\s+$", "")
+    return found.select(
+        "_key", "status", F.length(broken).cast("bigint").alias("broken_chars"), F.substring(broken, 1, 8).alias("broken_start")
+    )
+
+
+@query(
+    "csv_nrows",
+    """SELECT * FROM (SELECT s_suppkey, s_name, s_acctbal FROM supplier ORDER BY s_suppkey LIMIT 7)""",
+)
+def csv_nrows(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "csv")
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal").orderBy("s_suppkey")
+    write_csv(suppliers, path)
+    return read_csv(spark, path, nrows=7)
+
+
+@query(
+    "json_nrows",
+    """SELECT 'lines' AS layout, least(count(*), 5) AS records, 0::BIGINT AS records_of_none FROM customer
+       UNION ALL SELECT 'array', least(count(*), 5), count(*) FROM customer
+       UNION ALL SELECT 'object', least(count(*), 5), count(*) FROM customer""",
+)
+def json_nrows(spark: SparkSession, folder: str) -> DataFrame:
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name")
+    paths = {layout: scratch_path(spark, "json") for layout in ("lines", "array", "object")}
+    customers.write.json(paths["lines"])
+    _write_documents(customers, "c_custkey", F.to_json(F.collect_list(F.struct("c_custkey", "c_name"))), paths["array"])
+    entry = F.struct(F.col("c_custkey").cast("string"), F.struct("c_name"))
+    _write_documents(customers, "c_custkey", F.to_json(F.map_from_entries(F.collect_list(entry))), paths["object"])
+
+    def rows(layout: str, nrows: int, name: str) -> DataFrame:
+        return read_json(spark, paths[layout], layout=layout, nrows=nrows).agg(F.count(F.lit(1)).alias(name))
+
+    counts = [
+        rows(n, 5, "records").crossJoin(rows(n, 0, "records_of_none")).select(F.lit(n).alias("layout"), "records", "records_of_none")
+        for n in paths
+    ]  # single rows
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query(
+    "catalog_tables",
+    """SELECT DISTINCT lower(p_brand) AS table_name FROM part WHERE p_size IN (1, 2, 3)""",
+)
+def catalog_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """A catalogue of tables in schemas, as a database keeps it, listed by schema."""
+    catalog = table(spark, folder, "part").select(
+        F.concat(F.lit("s"), F.col("p_size")).alias("table_schema"), F.lower("p_brand").alias("table_name")
+    ).distinct()
+    return tables_of(catalog, ["s1", "s2", "s3"]).distinct()
+
+
 @query(
     "file_inventory",
     """SELECT c_nationkey::VARCHAR AS nation, CAST(sum(octet_length(encode(c_name)) + 1) AS BIGINT) AS size_bytes,
-              true AS named, true AS larger_than_nothing
-       FROM customer GROUP BY c_nationkey""",
+              round_even(sum(octet_length(encode(c_name)) + 1) / 1048576.0, 2)::DOUBLE AS size_mb,
+              sum(octet_length(encode(c_name)) + 1) > 512 AS over, NULL::VARCHAR AS error
+       FROM customer GROUP BY c_nationkey
+       UNION ALL SELECT NULL, NULL, NULL, NULL, 'File not found'""",
 )
 def inventory_of_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """One file per nation, and a path that does not exist."""
     path = scratch_path(spark, "names")
-    table(spark, folder, "customer").select("c_nationkey", "c_name").write.partitionBy("c_nationkey").text(path)
+    names = table(spark, folder, "customer").select("c_nationkey", "c_name")
+    names.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
     found = file_inventory(spark, path, layout="text").where(F.col("file_name").endswith(".txt"))
-    large = oversized_files(found, max_mb=0).select("file_path", F.lit(True).alias("large"))
-    nation = F.regexp_extract("file_path", "c_nationkey=([0-9]+)", 1).alias("nation")
-    return (
-        found.join(large, "file_path", "left")
-        .groupBy(nation)
-        .agg(
-            F.sum("size_bytes").alias("size_bytes"),
-            F.bool_and(F.col("file_path").endswith(F.col("file_name"))).alias("named"),
-            F.bool_and(F.coalesce("large", F.lit(False))).alias("larger_than_nothing"),
-        )
-    )
+    missing = file_inventory(spark, scratch_path(spark, "no such folder"))
+    large = oversized_files(found, max_mb=512 / 1024**2).select("file_path", F.lit(True).alias("over"))
+    both = found.join(large, "file_path", "left").unionByName(missing, allowMissingColumns=True)
+    nation = F.nullif(F.regexp_extract("file_path", "c_nationkey=([0-9]+)", 1), F.lit(""))
+    over = F.when(nation.isNotNull(), F.coalesce("over", F.lit(False)))
+    return both.select(nation.alias("nation"), "size_bytes", F.col("size_mb").cast("double").alias("size_mb"), over.alias("over"), "error")
 
 
 @query("table_pages", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS page_id FROM orders")
@@ -318,4 +387,4 @@ def first_rows(spark: SparkSession, folder: str) -> DataFrame:
 )
 def extraction_guard(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
-    return record_guard(lines).unionByName(record_guard(lines, 1000))
+    return record_guard(lines, 1_000_000).unionByName(record_guard(lines, 1000))

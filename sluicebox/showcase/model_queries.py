@@ -78,10 +78,10 @@ def execution_duration(spark: SparkSession, folder: str) -> DataFrame:
     FROM orders o LEFT JOIN executions e ON e.id = o.o_orderkey""",
 )
 def duration_function(spark: SparkSession, folder: str) -> DataFrame:
-    views.register(spark, rel.executions(spark, folder), rel.pipelines(spark, folder), rel.simulations(spark, folder))
+    views.register(spark, rel.executions(spark, folder), rel.pipelines(spark, folder), rel.simulations(spark, folder), "checked_")
     table(spark, folder, "orders").createOrReplaceTempView("duration_orders")
     return spark.sql(
-        "SELECT o_orderkey AS id, calculate_execution_duration(o_orderkey) > INTERVAL '0' SECOND AS took_time "
+        "SELECT o_orderkey AS id, checked_calculate_execution_duration(o_orderkey) > INTERVAL '0' SECOND AS took_time "
         "FROM duration_orders"
     )
 
@@ -256,10 +256,10 @@ def audit_redacted(spark: SparkSession, folder: str) -> DataFrame:
     "profile_nulls",
     """WITH j AS (SELECT coalesce(v.vec_id, l.doc_id) AS id, v.label, l.quality, l.toxic
                   FROM embeddings v FULL JOIN labels l ON v.vec_id = l.doc_id)
-       SELECT 'id' AS "column", count(*) AS "rows", count(*) - count(id) AS nulls, max(id)::DOUBLE AS maximum FROM j
-       UNION ALL SELECT 'label', count(*), count(*) - count(label), max(label)::DOUBLE FROM j
-       UNION ALL SELECT 'quality', count(*), count(*) - count(quality), max(quality)::DOUBLE FROM j
-       UNION ALL SELECT 'toxic', count(*), count(*) - count(toxic), max(toxic)::DOUBLE FROM j""",
+       SELECT 'id' AS "column", count(*) AS "rows", count(*) - count(id) AS nulls, max(id)::VARCHAR AS maximum FROM j
+       UNION ALL SELECT 'label', count(*), count(*) - count(label), max(label)::VARCHAR FROM j
+       UNION ALL SELECT 'quality', count(*), count(*) - count(quality), max(quality)::VARCHAR FROM j
+       UNION ALL SELECT 'toxic', count(*), count(*) - count(toxic), max(toxic)::VARCHAR FROM j""",
 )
 def profile_nulls(spark: SparkSession, folder: str) -> DataFrame:
     return profile(_labelled(spark, folder))
@@ -344,8 +344,9 @@ def insert_constants(spark: SparkSession, folder: str) -> DataFrame:
                     ELSE (CAST(round(value * 100) AS BIGINT) + 50) // 100 END)::DOUBLE AS half_even,
               (CAST(round(value * 100) AS BIGINT) + 50) // 100 AS half_up,
               CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-              true AS clock_runs, CAST(36 AS INTEGER) AS uuid_length, CAST(3 AS INTEGER) AS numeric_columns
-       FROM events""",
+              now()::DATE > ts::DATE AS clock_runs, length(uuid()::VARCHAR)::INTEGER AS uuid_length, n AS numeric_columns
+       FROM events CROSS JOIN (
+         SELECT CAST(count(*) AS INTEGER) AS n FROM (DESCRIBE events) WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE'))""",
 )
 def scalar_functions(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
@@ -361,7 +362,7 @@ def scalar_functions(spark: SparkSession, folder: str) -> DataFrame:
         money_round("value", 0).cast("double").alias("half_even"),
         F.round(F.col("value").cast("decimal(20,2)"), 0).cast("bigint").alias("half_up"),
         json_value("props", "$.k", "bigint").alias("k"),
-        (F.current_timestamp() > F.lit("2024-01-01").cast("timestamp")).alias("clock_runs"),
+        (F.current_date() > F.col("ts").cast("date")).alias("clock_runs"),
         F.length(F.uuid()).alias("uuid_length"),
         F.lit(len(numeric_columns(events))).alias("numeric_columns"),
     )

@@ -108,6 +108,19 @@ def dq_decimal(spark: SparkSession, folder: str) -> DataFrame:
     return R.failed_counts(table(spark, folder, "lineitem"), [R.fits_decimal("l_extendedprice", 6, 2)])
 
 
+@query(
+    "dq_decimal_wide",
+    " UNION ALL ".join(
+        _one(f"{c}_decimal", "fits_decimal", f"{c} >= {bound}", "(SELECT c_custkey * 1e17 AS value, c_custkey * 1e35 AS large FROM customer)")
+        for c, bound in (("value", "1e20"), ("large", "1e38"))
+    ),
+)
+def dq_decimal_wide(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("c_custkey").cast("double")
+    values = table(spark, folder, "customer").select((key * 1e17).alias("value"), (key * 1e35).alias("large"))
+    return R.failed_counts(values, [R.fits_decimal("value", 38, 18), R.fits_decimal("large", 38, 0)])
+
+
 @query(
     "dq_array_not_empty",
     _one("large_not_empty", "not_empty", "len(list_filter(embedding, lambda x: x > 0.3::FLOAT)) = 0", "embeddings"),
@@ -173,7 +186,10 @@ DQ_RESULTS = (
     + " UNION ALL ".join(_one(n, k, c, "lineitem") for n, k, c, _ in LINE_CONDITIONS)
     + f" UNION ALL {UNIQUE_PAIRS}) "
     "SELECT md5('run-1|' || rule_name) AS id, 'run-1' AS execution_id, rule_name, rule_type, failed_count = 0 AS passed, "
-    "failed_count, '[]' AS failure_details, TIMESTAMP '2025-01-01' AS timestamp FROM r"
+    "failed_count, CASE WHEN failed_count = 0 THEN '[]' ELSE '[' || array_to_string(list_transform(CASE rule_name "
+    + " ".join(f"WHEN '{n}' THEN {c}" for n, _, _, c in LINE_CONDITIONS)
+    + " ELSE ['l_orderkey', 'l_linenumber'] END, lambda c: '{\"column\":\"' || c || '\",\"count\":' || failed_count || '}'), ',') || ']' END "
+    "AS failure_details, TIMESTAMP '2025-01-01' AS timestamp FROM r"
 )
 
 
@@ -190,20 +206,15 @@ DETAIL_RULES = [
 
 @query(
     "dq_details",
-    "WITH v AS ("
-    + " UNION ALL ".join(
-        f"SELECT '{n}' AS rule_name, CAST(c_custkey AS VARCHAR) AS row, '{c}' AS col, {v} AS value FROM {CUSTOMERS} WHERE {w}"
+    " UNION ALL ".join(
+        f"SELECT md5('run-1|{n}') AS result_id, '{n}' AS rule_name, CAST(c_custkey AS VARCHAR) AS row, '{c}' AS \"column\", "
+        f"{v} AS value FROM {CUSTOMERS} WHERE {w}"
         for n, w, c, v in DETAIL_RULES
-    )
-    + "), f AS (SELECT *, row_number() OVER (PARTITION BY rule_name ORDER BY row) AS n FROM v QUALIFY n <= 3) "
-    "SELECT rule_name, '[' || string_agg('{\"row\":\"' || row || '\",\"column\":\"' || col || '\",\"value\":' || "
-    "coalesce('\"' || value || '\"', 'null') || '}', ',' ORDER BY n) || ']' AS failure_details FROM f GROUP BY rule_name",
+    ),
 )
 def dq_details(spark: SparkSession, folder: str) -> DataFrame:
     customers = _customers(spark, folder).withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(12,2)"))
-    rules = [R.min_value("c_acctbal", 0), R.not_null("segment")]
-    results = R.validate(customers, rules, "run-1", dt.datetime(2025, 1, 1), key=["c_custkey"], details=3)
-    return results.where("not passed").select("rule_name", "failure_details")
+    return R.failure_rows(customers, [R.min_value("c_acctbal", 0), R.not_null("segment")], ["c_custkey"], "run-1")
 
 
 @query(
@@ -261,20 +272,25 @@ def dq_good_rows(spark: SparkSession, folder: str) -> DataFrame:
     + f" UNION ALL SELECT 'segment_unique', 'unique', CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM {CUSTOMERS} "
     "WHERE segment IS NOT NULL GROUP BY segment HAVING count(*) > 1) "
     "UNION ALL SELECT 'c_custkey_unique', 'unique', count(*) - count(DISTINCT c_custkey) FROM customer "
-    "UNION ALL " + _one("c_acctbal_range", "range", "NOT c_acctbal BETWEEN 0 AND 5000", "customer"),
+    "UNION ALL " + _one("c_acctbal_range", "range", "NOT c_acctbal BETWEEN 0 AND 5000", "customer")
+    + " UNION ALL SELECT 'c_custkey_references', 'references', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
 )
 def dq_config(spark: SparkSession, folder: str) -> DataFrame:
     config = (
-        '{"source": "postgresql", "validations": ["not_null", "unique", {"rule": "range", "args": ["c_acctbal", 0, 5000]}]}'
+        '{"source": "postgresql", "validations": ["not_null", "unique", {"rule": "range", "args": ["c_acctbal", 0, 5000]}, '
+        '{"rule": "references", "args": ["c_custkey", "orders", "o_custkey"]}]}'
     )
-    return R.failed_counts(_customers(spark, folder), R.rules_from_config(config, ["segment", "c_custkey"]))
+    rules = R.rules_from_config(config, ["segment", "c_custkey"], {"orders": table(spark, folder, "orders")})
+    return R.failed_counts(_customers(spark, folder), rules)
+
+
+_BROKEN = " OR ".join(f"coalesce({c}, false)" for _, _, c, _ in LINE_CONDITIONS) + " OR times > 1"
+_TIMED_LINES = "(SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS times FROM lineitem)"
 
 
 @query(
     "dq_counters",
-    "SELECT count(*) AS records_processed, count(*) FILTER (WHERE "
-    + " OR ".join(f"coalesce({c}, false)" for _, _, c, _ in LINE_CONDITIONS)
-    + ") AS records_failed FROM lineitem",
+    f"SELECT count(*) AS records_processed, count(*) FILTER (WHERE {_BROKEN}) AS records_failed FROM {_TIMED_LINES}",
 )
 def dq_counters(spark: SparkSession, folder: str) -> DataFrame:
     return R.run_counters(table(spark, folder, "lineitem"), _line_rules())
@@ -282,9 +298,8 @@ def dq_counters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "checked_run",
-    "WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE "
-    + " OR ".join(f"coalesce({c}, false)" for _, _, c, _ in LINE_CONDITIONS)
-    + f") AS f FROM lineitem) SELECT 'run-1' AS id, 'lines' AS pipeline_name, "
+    f"WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE {_BROKEN}) AS f FROM {_TIMED_LINES}) "
+    "SELECT 'run-1' AS id, 'lines' AS pipeline_name, "
     "CASE WHEN f > 0 THEN 'failed' ELSE 'completed' END AS status, 45.2::DOUBLE AS duration_seconds, "
     f"n AS records_processed, f AS records_failed, {rel.half_up('10000 * f', 'n')} / 100.0::DOUBLE AS failure_rate_percent, "
     "round(n / 45.2::DOUBLE, 2) AS throughput FROM c",

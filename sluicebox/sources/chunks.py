@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,30 +14,41 @@ from sluicebox.scratch import written
 DEFAULT_CHUNK_SIZE = 10_000
 
 
+BLOCK_BITS = 33  # rows of a scanned block, in a monotonically increasing id
+
+
+def placed(scan: DataFrame) -> DataFrame:
+    """A file scan with ``_file``, the file of each row, ``_block``, where its block starts there, and ``_place`` in order.
+
+    Within a task rows are numbered in the order in which they are read, so the place orders the rows of a block.
+    """
+    return scan.select(
+        *[F.col(f"`{c}`") for c in scan.columns],
+        F.input_file_name().alias("_file"),
+        F.input_file_block_start().alias("_block"),
+        F.monotonically_increasing_id().alias("_place"),
+    )
+
+
 def numbered(scan: DataFrame) -> DataFrame:
     """A file scan with ``_file``, the file of each row, and ``row_in_file``, its place there from 0.
 
-    The place of a row is its file, the block of the file it was read from, and its order within the block. The scan
-    is written down with these, so that the numbering survives a lost executor; then each block adds the number of
-    rows before it. Rows are not moved between tasks for the numbering.
+    The scan is written down with its places, so that the numbering survives a lost executor. Then one small row a
+    block says where the block's rows begin: a map from the first place of the block to the rows before it. The
+    blocks that share a task's numbers are looked up by that task number, so the join moves no rows as long as the
+    blocks are few enough to be broadcast, which Spark checks by size; beyond that both sides are dealt by task number.
     """
-    placed = written(
-        scan.select(
-            *[F.col(f"`{c}`") for c in scan.columns],
-            F.input_file_name().alias("_file"),
-            F.input_file_block_start().alias("_block"),
-            F.monotonically_increasing_id().alias("_seen"),
-        ),
-        "numbered",
-    )
-    blocks = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_seen").alias("_first"))
+    rows = written(placed(scan), "numbered").withColumn("_task", F.shiftright("_place", BLOCK_BITS).cast("int"))
+    blocks = rows.groupBy("_task", "_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
     earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "_file", "_block", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
+    offsets = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    starts = offsets.groupBy(F.col("_task").alias("_of")).agg(
+        F.array_sort(F.collect_list(F.struct("_first", "_before"))).alias("_starts")
     )
-    row = F.col("_before") + F.col("_seen") - F.col("_first")
-    return placed.join(offsets, ["_file", "_block"]).select(
-        *[F.col(f"`{c}`") for c in scan.columns], "_file", row.alias("row_in_file")
+    # The last block of the task that starts at or before the row; a task reads few blocks.
+    own = F.element_at(F.filter("_starts", lambda b: b["_first"] <= F.col("_place")), -1)
+    return rows.join(starts, F.col("_task") == F.col("_of")).select(
+        *[F.col(f"`{c}`") for c in scan.columns], "_file", (own["_before"] + F.col("_place") - own["_first"]).alias("row_in_file")
     )
 
 
@@ -55,14 +66,3 @@ def map_chunks(
         return handle(piece.sort_values("row_in_file", ignore_index=True))
 
     return chunked.groupBy("_file", "chunk_id").applyInPandas(in_order, schema)
-
-
-def iterate_chunks(chunked: DataFrame) -> Iterator[DataFrame]:
-    """The chunks one after the other, each as a table of its own; only the chunk numbers visit the driver.
-
-    Each chunk is a separate job. ``map_chunks`` handles many chunks at once.
-    """
-    numbers = chunked.select("_file", "chunk_id").distinct().orderBy("_file", "chunk_id")
-    for r in numbers.toLocalIterator():
-        piece = chunked.where((F.col("_file") == r["_file"]) & (F.col("chunk_id") == r["chunk_id"]))
-        yield piece.orderBy("row_in_file").drop("_file", "row_in_file", "chunk_id")

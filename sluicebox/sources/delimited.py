@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicebox.sources.chunks import numbered
+from sluicebox.scratch import written
+from sluicebox.sources.chunks import placed
 
 # Words that mean "missing" in a CSV cell. Fixed values.
 NA_WORDS = (
@@ -27,7 +28,7 @@ class CsvOptions:
     """How to read a CSV file.
 
     ``multi_line`` allows line breaks inside quotes, at the price of one task per file; switch it off for large files
-    without such cells. ``usecols`` keeps columns (unknown names are an error), ``nrows`` stops after so many rows,
+    without such cells. ``usecols`` keeps columns (unknown names are an error), ``nrows`` takes so many rows, by file, block and place,
     ``dtype`` sets types by column, ``na_values`` adds missing-value words, ``parse_dates`` names timestamp columns,
     ``names`` sets column names (then ``header`` says whether a header line is skipped), ``skiprows`` leaves out the
     first rows of each file, ``infer`` turns type inference off, ``check_width`` the check for rows with too many fields.
@@ -177,12 +178,31 @@ def _scan(spark: SparkSession, path: str | Sequence[str], o: CsvOptions) -> tupl
     reader = _reader(spark, replace(o, header=o.header and not o.skiprows))
     text = reader.schema(_text_schema([*names, CORRUPT])).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     if o.skiprows:
-        kept = F.col("row_in_file") >= o.skiprows + int(o.header)
-        # A skipped row may be malformed, so its raw text goes before any check of it can run.
-        text = numbered(text).withColumn(CORRUPT, F.when(kept, F.col(CORRUPT))).where(kept).select(*names, CORRUPT)
+        text = _without_first(text, o.skiprows + int(o.header), names)
     return text, names, columns
 
 
+def _without_first(text: DataFrame, rows: int, names: Sequence[str]) -> DataFrame:
+    """``text`` without the first rows of each file. Only the start of a file is numbered; no row is moved.
+
+    The skipped rows are among the first of the file's first block, which one task reads in order.
+    """
+    marked = placed(text)
+    start = F.col("_block") == 0
+    first = marked.where(start).groupBy("_file").agg(F.min("_place").alias("_first"))
+    firsts = written(first, "starts").select(F.col("_file").alias("_of"), "_first")
+    kept = ~start | F.col("_first").isNull() | (F.col("_place") - F.col("_first") >= rows)
+    joined = marked.join(firsts, (F.col("_file") == F.col("_of")) & start, "left")
+    # A skipped row may be malformed, so its raw text goes before any check of it can run.
+    return joined.withColumn(CORRUPT, F.when(kept, F.col(CORRUPT))).where(kept).select(*names, CORRUPT)
+
+
+def _first_rows(text: DataFrame, rows: int) -> DataFrame:
+    """The first rows by file, block and place, written down: types are inferred from the very rows that are returned."""
+    ordered = placed(text).orderBy("_file", "_block", "_place").limit(rows)
+    return written(ordered.drop("_file", "_block", "_place"), "first")
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], options: CsvOptions = CsvOptions(), **call) -> DataFrame:
     """A CSV file or folder as a typed table. Short rows are padded with nulls, long rows are an error.
 
@@ -195,7 +215,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], options: CsvOptions
         complaint = F.raise_error(F.concat(F.lit("row has too many fields: "), F.col(CORRUPT))).cast("boolean")
         text = text.where(F.when(_too_long(names, o), complaint).otherwise(F.lit(True)))
     if o.nrows is not None:
-        text = text.limit(o.nrows)
+        text = _first_rows(text, o.nrows)
     return _typed(text.select(*[F.col(f"`{c}`") for c in columns]), columns, o)
 
 

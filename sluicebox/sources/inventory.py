@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 BYTES_PER_MB = 1024 * 1024
-MAX_RECORDS = 1_000_000
-MAX_FILE_MB = 500
 
 INVENTORY_SCHEMA = (
     "file_path string, file_name string, size_bytes bigint, size_mb decimal(20,2), modified_time timestamp, "
@@ -26,7 +24,9 @@ def file_inventory(
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     try:
         files = reader.load(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         shown = path if isinstance(path, str) else ",".join(path)
         return spark.createDataFrame([(shown, None, None, None, None, None, None, None, "File not found")], INVENTORY_SCHEMA)
     return files.select(
@@ -42,17 +42,17 @@ def file_inventory(
     )
 
 
-def oversized_files(inventory: DataFrame, max_mb: int = MAX_FILE_MB) -> DataFrame:
+def oversized_files(inventory: DataFrame, max_mb: float) -> DataFrame:
     return inventory.where(F.col("size_bytes") > max_mb * BYTES_PER_MB)
 
 
-def record_guard(df: DataFrame, max_records: int = MAX_RECORDS) -> DataFrame:
-    """One row: whether the table has more rows than allowed. Counting stops right after the bound."""
-    seen = df.limit(max_records + 1).agg(F.count(F.lit(1)).alias("seen"))
+def record_guard(df: DataFrame, max_records: int) -> DataFrame:
+    """One row: whether the table has more rows than allowed."""
+    seen = df.agg(F.count(F.lit(1)).alias("seen"))
     return seen.select(F.lit(max_records).cast("bigint").alias("max_records"), (F.col("seen") > max_records).alias("exceeded"))
 
 
-def guarded(df: DataFrame, max_records: int = MAX_RECORDS) -> DataFrame:
+def guarded(df: DataFrame, max_records: int) -> DataFrame:
     """``df`` itself, or an error if it has more rows than allowed."""
     if record_guard(df, max_records).first()["exceeded"]:
         raise ValueError(f"more than {max_records} records in one extraction")

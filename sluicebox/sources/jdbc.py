@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_PAGE_SIZE = 10_000
-MAX_PARTITIONS = 10_000
 CATALOG_TABLES = "information_schema.tables"
 
 
@@ -33,9 +32,8 @@ class KeyRange:
 
 
 def page_ranges(column: str, low: int, high: int, page_size: int = DEFAULT_PAGE_SIZE) -> KeyRange:
-    """Ranges of about ``page_size`` keys each. More keys than MAX_PARTITIONS pages make the pages larger."""
-    wanted = max(1, math.ceil((high - low + 1) / page_size))
-    return KeyRange(column, low, high + 1, min(wanted, MAX_PARTITIONS))
+    """Ranges of about ``page_size`` keys each."""
+    return KeyRange(column, low, high + 1, max(1, math.ceil((high - low + 1) / page_size)))
 
 
 def source_options(

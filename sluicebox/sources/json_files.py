@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 LAYOUTS = ("lines", "array", "object")
 KEY = "_key"
+CORRUPT = "_corrupt_record"
 
 
 def read_json(
@@ -31,33 +32,54 @@ def read_json(
     if layout not in LAYOUTS:
         raise ValueError(f"unsupported layout {layout!r}: use one of {', '.join(LAYOUTS)}")
     if layout == "object":
-        df = _read_object(spark, path, schema, encoding)
+        df = _read_object(spark, path, schema, encoding, strict)
     else:
         reader = spark.read.option("multiLine", layout == "array").option("encoding", encoding)
         reader = reader.option("recursiveFileLookup", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
         df = (reader.schema(schema) if schema is not None else reader).json(path)
     if nrows is not None and (nrows or layout == "lines"):
-        df = df.limit(nrows)
+        df = df.limit(nrows)  # any so many rows: the types are known already
     if columns:
         df = df.select(*[F.col(f"`{c}`") for c in columns if c in df.columns])
     return df
 
 
 def _read_object(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None, encoding: str
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None, encoding: str, strict: bool
 ) -> DataFrame:
-    """Each top-level key is a row: ``_key`` and the columns of its value."""
+    """Each top-level key is a row: ``_key`` and the columns of its value.
+
+    A document that is no object of objects is one row with its text in ``_corrupt_record``; the column is there if
+    there is such a document, or if ``schema`` names it.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    documents = files.select(F.decode("content", encoding).alias("value"))
-    rows = documents.select(F.explode(F.from_json("value", "map<string,string>")).alias(KEY, "_value"))
+    documents = files.select(F.col("path").alias("_path"), F.decode("content", encoding).alias("_text"))
+    entries = F.from_json("_text", "map<string,string>")
+    whole = F.try_parse_json("_text").isNotNull() & entries.isNotNull()
+    if strict:
+        complaint = F.raise_error(F.concat(F.lit("malformed JSON document: "), F.col("_path"))).cast("boolean")
+        whole = F.when(whole, F.lit(True)).otherwise(complaint)
+    found = documents.withColumn("_entries", F.when(whole, entries))
+    rows = found.where("_entries IS NOT NULL").select(F.explode("_entries").alias(KEY, "_value"))
     if schema is None:
         schema = _value_schema(rows)
-    return rows.select(KEY, F.from_json("_value", schema).alias("_row")).select(KEY, "_row.*")
+    parsed = T.StructType.fromDDL(schema.removeprefix("STRUCT<").removesuffix(">")) if isinstance(schema, str) else schema
+    names = [f.name for f in parsed.fields]
+    fields = T.StructType([f for f in parsed.fields if f.name != CORRUPT])
+    good = rows.select(KEY, F.from_json("_value", fields).alias("_row")).select(KEY, "_row.*")
+    broken = found.where("_entries IS NULL")
+    if strict or (CORRUPT not in names and broken.isEmpty()):
+        return good
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields.fields]
+    bad = broken.select(F.lit(None).cast("string").alias(KEY), *nothing, F.col("_text").alias(CORRUPT))
+    return good.withColumn(CORRUPT, F.lit(None).cast("string")).unionByName(bad)
 
 
 def _value_schema(rows: DataFrame) -> str:
     """The common schema of all values, found by one aggregation."""
     found = rows.agg(F.schema_of_variant_agg(F.parse_json("_value"))).first()[0]
+    if found == "VOID":  # no whole document
+        return "STRUCT<>"
     if not found.startswith("OBJECT<"):
         raise ValueError(f"the values of the object layout must be objects, not {found}")
     return "STRUCT<" + found[len("OBJECT<"):].replace("OBJECT<", "STRUCT<")

@@ -90,18 +90,45 @@ def test_empty_table(spark):
 
 def test_result_shape_and_details(spark):
     df = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(10)], "id int, email string")
-    row = R.validate(df, [R.not_null("email")], "run", NOW, ["id"], details=2).first()
-    assert row.rule_name == "email_not_null" and row.rule_type == "not_null" and not row.passed and row.failed_count == 5
-    assert json.loads(row.failure_details) == [
-        {"row": "1", "column": "email", "value": None}, {"row": "3", "column": "email", "value": None},
-    ]
+    row = R.validate(df, [R.not_null("email"), R.not_null("id")], "run", NOW).where("NOT passed").first()
+    assert row.rule_name == "email_not_null" and row.rule_type == "not_null" and row.failed_count == 5
+    assert json.loads(row.failure_details) == [{"column": "email", "count": 5}]
     assert row.timestamp == NOW and row.execution_id == "run"
+    each = R.failure_rows(df, [R.not_null("email")], ["id"], "run").collect()
+    assert sorted((r.result_id, r.row, r.column, r.value) for r in each) == [(row.id, str(i), "email", None) for i in range(1, 10, 2)]
 
 
-def test_details_are_bounded_before_the_shuffle(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    found = R.failure_details(df, [R.in_range("l_quantity", 0, 10)], ["l_orderkey"], 3)
-    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+def test_rules_need_different_names(spark):
+    rules = [R.in_range("id", 0, 5), R.in_range("id", 0, 4)]
+    for use in (R.failed_counts, R.mark, lambda df, r: R.violations(df, r, ["id"]), lambda df, r: R.validate(df, r, "e", NOW)):
+        with pytest.raises(ValueError, match="id_range"):
+            use(spark.range(3), rules)
+
+
+@pytest.mark.parametrize(("precision", "scale"), [(38, 18), (38, 0), (38, 38), (5, 2)])
+def test_wide_decimals(spark, precision, scale):
+    whole = 10 ** (precision - scale)
+    values = [(Decimal(v),) for v in ("0.4", "-0.4", "0")] + [(None,)]
+    df = spark.createDataFrame(values, "n decimal(38,18)").select("n", F.col("n").cast("double").alias("d"))
+    assert count(df, R.fits_decimal("n", precision, scale)) == 0
+    too_large = spark.sql(f"SELECT CAST('{whole}' AS DOUBLE) * 1.01D AS d, CAST('NaN' AS DOUBLE) AS e")
+    assert count(too_large, R.fits_decimal("d", precision, scale)) == count(too_large, R.fits_decimal("e", precision, scale)) == 1
+
+
+def scans(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Final Plan") : plan.index("Initial Plan")] if "Final Plan" in plan else plan
+    return plan.count("FileScan")
+
+
+def test_marking_reads_the_table_once_more_for_each_unique_rule(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    good, bad = R.split(lines, [R.in_range("l_quantity", 1, 45), R.unique("l_orderkey", "l_linenumber")])
+    assert scans(bad.select("l_orderkey")) <= 2 and scans(good.select("l_orderkey")) <= 2
+    good, _ = R.split(lines, [R.references("l_orderkey", orders, "o_orderkey")])
+    assert scans(good.select("l_orderkey")) == 2
 
 
 def test_config(spark):
@@ -109,6 +136,10 @@ def test_config(spark):
     assert [r.name for r in rules] == ["a_not_null", "b_not_null", "a_unique", "b_unique"]
     (only,) = R.rules_from_config({"validations": [{"rule": "range", "args": ["a", 0, 9]}]}, [])
     assert only.kind == "range"
+    (linked,) = R.rules_from_config({"validations": [{"rule": "references", "args": ["a", "parents", "id"]}]}, [], {"parents": spark.range(3)})
+    assert linked.kind == "references" and linked.parent_columns == ("id",)
+    with pytest.raises(ValueError, match="unknown table"):
+        R.rules_from_config({"validations": [{"rule": "references", "args": ["a", "none", "id"]}]}, [])
     with pytest.raises(ValueError, match="unknown rule"):
         R.rules_from_config({"validations": ["nope"]}, ["a"])
 
@@ -126,24 +157,30 @@ def test_split_is_complete(spark):
     ]
 
 
-def test_heavy_keys_stay_in_place(spark, monkeypatch):
-    """One key holds a third of the rows, another third has no key, and there are more keys than heavy ones."""
-    monkeypatch.setattr(skew, "HEAVY_KEYS", 3)
-    k = F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 3 == 1, F.col("id") % 400)
-    df = spark.range(3000).select(k.alias("k"), F.col("id").alias("v"))
+def test_a_key_with_half_of_the_rows(spark):
+    """Half of the rows share one key, and others have none."""
+    k = F.when(F.col("id") % 2 == 0, F.lit(-1)).when(F.col("id") % 3 == 1, F.col("id") % 400)
+    df = spark.range(6000).select(k.alias("k"), F.col("id").alias("v"))
     members = spark.range(100).select(F.col("id").alias("k")).union(spark.range(1).select(F.lit(-1)))
-    flagged = skew.flag_members(df, members, ["k"], "hit")
-    wrong = flagged.where(F.col("hit") != F.coalesce(F.col("k") < 100, F.lit(False)))
-    assert flagged.count() == 3000 and wrong.count() == 0
-    assert flagged.select("v").distinct().count() == 3000
-    only_heavy_misses = skew.flag_members(df, members.where("k >= 0"), ["k"], "hit")
-    assert only_heavy_misses.where("k = -1 AND hit").count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        flagged = skew.flag_keys(df, members, ["k"], "hit")
+        assert flagged.count() == 6000 and flagged.select("v").distinct().count() == 6000
+        assert flagged.where(F.col("hit") != F.coalesce(F.col("k") < 100, F.lit(False))).count() == 0
+        marked = R.mark(df, [R.unique("k"), R.references("k", members, "k")])
+        broken = {tuple(sorted(r[R.MARK])): r["count"] for r in marked.where("k = -1 OR k IS NULL").groupBy(R.MARK).count().collect()}
+        assert broken == {("k_unique",): 3000, (): df.where("k IS NULL").count()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_run_counters(spark):
     df = spark.createDataFrame([(1, None), (None, None), (3, 4)], "a int, b int")
     row = R.run_counters(df, [R.not_null("a"), R.not_null("b")]).first()
     assert (row.records_processed, row.records_failed) == (3, 2)
+    twice = spark.createDataFrame([(1,), (1,), (2,)], "id int")
+    assert R.run_counters(twice, [R.unique("id")]).first()[:] == (3, 2)
+    assert R.run_counters(twice, [R.unique("id"), R.min_value("id", 2)]).first()[:] == (3, 2)
 
 
 def test_write_split(spark, tmp_path):
