@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.functions.scalars import (
@@ -86,22 +86,42 @@ def duration_function(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Rows that break each rule of the executions.
+LONG_STATUS = "lost" * 13
+
+
 @query(
     "execution_results",
-    f"""WITH {rel.EXECUTIONS_SQL}
+    f"""WITH {rel.EXECUTIONS_SQL},
+    spoiled AS (
+      SELECT CASE WHEN id % 103 = 0 THEN NULL ELSE id END AS id,
+             CASE WHEN id % 89 = 0 THEN NULL WHEN id % 83 = 0 THEN -1 ELSE pipeline_id END AS pipeline_id,
+             CASE WHEN id % 97 = 0 THEN '{LONG_STATUS}' WHEN id % 79 = 0 THEN 'lost' WHEN id % 73 = 0 THEN NULL ELSE status END AS status,
+             start_time, end_time
+      FROM (SELECT * FROM executions UNION ALL SELECT * FROM executions WHERE id % 101 = 0)),
+    executions_of_ids AS (SELECT id, count(*) AS n FROM spoiled WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1)
     SELECT 'status_accepted' AS rule_name, count(*) FILTER (WHERE status NOT IN
-             ('pending', 'running', 'completed', 'failed', 'cancelled')) AS failed_count FROM executions
-    UNION ALL SELECT 'end_time_after_start_time', count(*) FILTER (WHERE end_time < start_time) FROM executions
-    UNION ALL SELECT 'id_not_null', count(*) FILTER (WHERE id IS NULL) FROM executions
-    UNION ALL SELECT 'pipeline_id_not_null', count(*) FILTER (WHERE pipeline_id IS NULL) FROM executions
-    UNION ALL SELECT 'status_not_null', count(*) FILTER (WHERE status IS NULL) FROM executions
-    UNION ALL SELECT 'status_max_length', count(*) FILTER (WHERE length(status) > 50) FROM executions
-    UNION ALL SELECT 'id_unique', count(*) - count(DISTINCT id) FROM executions
-    UNION ALL SELECT 'pipeline_id_references', count(*) FROM executions e
-      WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.pipeline_id)""",
+             ('pending', 'running', 'completed', 'failed', 'cancelled')) AS failed_count FROM spoiled
+    UNION ALL SELECT 'end_time_after_start_time', count(*) FILTER (WHERE end_time < start_time) FROM spoiled
+    UNION ALL SELECT 'id_not_null', count(*) FILTER (WHERE id IS NULL) FROM spoiled
+    UNION ALL SELECT 'pipeline_id_not_null', count(*) FILTER (WHERE pipeline_id IS NULL) FROM spoiled
+    UNION ALL SELECT 'status_not_null', count(*) FILTER (WHERE status IS NULL) FROM spoiled
+    UNION ALL SELECT 'status_max_length', count(*) FILTER (WHERE length(status) > 50) FROM spoiled
+    UNION ALL SELECT 'id_unique', coalesce(sum(n), 0)::BIGINT FROM executions_of_ids
+    UNION ALL SELECT 'pipeline_id_references', count(*) FROM spoiled e
+      WHERE pipeline_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.pipeline_id)""",
 )
 def execution_results(spark: SparkSession, folder: str) -> DataFrame:
-    tables = {"executions": rel.executions(spark, folder), "pipelines": rel.pipelines(spark, folder)}
+    def every(n: int) -> Column:
+        return F.col("id") % n == 0
+
+    runs = rel.executions(spark, folder)
+    spoiled = runs.unionByName(runs.where(every(101))).withColumns({
+        "id": F.when(~every(103), F.col("id")),
+        "pipeline_id": F.when(every(89), None).when(every(83), -1).otherwise(F.col("pipeline_id")),
+        "status": F.when(every(97), LONG_STATUS).when(every(79), "lost").when(every(73), None).otherwise(F.col("status")),
+    })
+    tables = {"executions": spoiled, "pipelines": rel.pipelines(spark, folder)}
     results = model.validate_table("executions", tables, "run-1", dt.datetime(2025, 1, 1))
     return results.select("rule_name", F.col("failed_count").cast("bigint").alias("failed_count"))
 
