@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sluicebox.functions.draws import keyed_hash
 
 STEP_DIGITS = 4
-BINS = 16**STEP_DIGITS  # per label and pass
+BINS = 16**STEP_DIGITS  # counts that reach the driver in a pass, over all labels
 HASH_DIGITS = 16
 ABOVE_HEX = "~"  # sorts after every hex digit
 NOTHING = ""  # sorts before every hash
@@ -50,20 +50,20 @@ class _Search:
         return F.when(h < self.low, F.lit(NOTHING)).otherwise(inside) if self.low else inside
 
     @classmethod
-    def around(cls, k: int, population: int) -> _Search:
+    def around(cls, k: int, population: int, bins: int = BINS) -> _Search:
         """The range that almost surely holds the k-th smallest of ``population`` uniform hashes.
 
-        A range of no more than BINS hashes is read hash by hash, a longer one in at most BINS bins.
+        A range of no more than ``bins`` hashes is read hash by hash, a longer one in at most ``bins`` bins.
         """
         margin = 8 * math.sqrt(k) + 8
         low, high = max(0.0, (k - margin) / population), min(1.0, (k + margin) / population)
         edge = HASH_DIGITS - STEP_DIGITS  # digits that a double still tells apart
-        digits = STEP_DIGITS
-        while digits < edge and (high - low) * 16 ** (digits + 1) <= BINS:
+        digits = 1
+        while digits < edge and (high - low) * 16 ** (digits + 1) <= bins:
             digits += 1
         return cls(
             k,
-            HASH_DIGITS if (high - low) * population <= BINS else digits,
+            HASH_DIGITS if (high - low) * population <= bins else digits,
             format(int(low * 16**edge), f"0{edge}x") if low > 0 else NOTHING,
             format(int(high * 16**edge) + 1, f"0{edge}x") if high < 1 - 1e-9 else ABOVE_HEX,
         )
@@ -79,8 +79,10 @@ def smallest_cutoffs(
     """
     cutoffs = {label: NOTHING for label, k in wanted.items() if k <= 0}
     width = Counter(label for label, _ in hashes)
+    bins_each = max(16, BINS // max(1, len(wanted)))
+    step = max(1, int(math.log(bins_each, 16) + 1e-9))
     search = {
-        label: _Search.around(k, rows * width[label]) if rows else _Search(k) for label, k in wanted.items() if k > 0
+        label: _Search.around(k, rows * width[label], bins_each) if rows else _Search(k, step) for label, k in wanted.items() if k > 0
     }
     while search:
         open_ = [(label, h, search[label]) for label, h in hashes if label in search]
@@ -88,7 +90,7 @@ def smallest_cutoffs(
             _exploded(df, [(label, h < s.high, s.bin(h)) for label, h, s in open_], "bin")
             .groupBy("label", "bin")
             .count()
-            .toPandas()  # at most BINS rows per label
+            .toPandas()  # BINS rows, or 16 per label
             .sort_values(["label", "bin"])
         )
         for label, s in list(search.items()):
@@ -96,7 +98,7 @@ def smallest_cutoffs(
             if crossing is None or crossing[0] == NOTHING:
                 if s.low == NOTHING and s.high == ABOVE_HEX:
                     raise ValueError(f"cannot pick {wanted[label]} out of fewer candidates")
-                search[label] = _Search(wanted[label])  # the range missed the cutoff: look everywhere
+                search[label] = _Search(wanted[label], step)  # the range missed the cutoff: look everywhere
                 continue
             bin_, needed, size = crossing
             if needed == size:
@@ -105,7 +107,7 @@ def smallest_cutoffs(
             elif s.digits >= HASH_DIGITS:
                 raise ValueError("the key columns do not identify a row: equal keys at the sampling cutoff")
             else:
-                digits = min(s.digits + STEP_DIGITS, HASH_DIGITS)
+                digits = min(s.digits + step, HASH_DIGITS)
                 search[label] = _Search(s.wanted, digits, bin_, bin_ + ABOVE_HEX)
     return cutoffs
 

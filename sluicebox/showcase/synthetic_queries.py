@@ -115,6 +115,25 @@ def ano_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return corrupt.inject_anomalies(table(spark, folder, "orders"), ["o_orderkey"], 0.1, ["duplicates"], SEED)
 
 
+def _composite() -> str:
+    """The key is a text that holds the separator of key parts, and a number."""
+    source = "(SELECT *, c_mktsegment || '|' || c_nationkey AS label FROM customer)"
+    s = CorruptionSql(source, CUSTOMER_COLUMNS, "replace(label, '|', '\\|') || '|' || c_custkey", SEED)
+    s.nulls(_share("0.1::DOUBLE", 2))
+    s.duplicates(_share("0.1::DOUBLE", 2))
+    return s.sql()
+
+
+@query("ano_composite_key", _composite())
+def ano_composite_key(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.concat_ws("|", "c_mktsegment", "c_nationkey")
+    customers = table(spark, folder, "customer").withColumn("label", label)
+    # The label only identifies rows: it is left out of what is corrupted.
+    names = list(CUSTOMER_COLUMNS)
+    keyed = customers.select(*names, F.col("c_custkey").alias("number"), "label")
+    return corrupt.inject_anomalies(keyed, ["label", "number"], 0.1, ["nulls", "duplicates"], SEED, drop_key=True)
+
+
 def _all() -> str:
     s = _customer_sql()
     share = _share("0.1::DOUBLE", 3)
