@@ -1,7 +1,7 @@
 """Token ids in compressed files, and their reading.
 
-Texts are encoded where they are read; then only ids are shuffled, into ranges of doc_id. Each task writes the ids of
-its range, in order, as blocks of whole documents (some ``BLOCK`` ids) coded by ``rans``; the blocks of a segment share
+Texts are put into ranges of doc_id (the ranges are found from the keys alone, before anything is encoded), and each task
+encodes the texts of its range in order and writes the ids as blocks of whole documents (some ``BLOCK`` ids) coded by ``rans``; the blocks of a segment share
 one frequency table, made from all of the segment's ids. A block stands in one row of a Parquet dataset that Spark
 writes (so a lost executor leaves no half file) with its table, its documents, its place in its range and a checksum;
 it can be decoded without any other row, and from any checkpoint. Memory is bounded by a segment or one document.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,48 +34,93 @@ END = 2
 BLOCK = 1 << 19
 SEGMENT = 1 << 22
 KEPT = 500_000
-_AT_ONCE = 200
 
-_ENCODED = "doc_id bigint, tie bigint, n_tokens bigint, ids binary"
 _BLOCKS = (
     "part int, part_start bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, frequencies binary, block binary"
 )
 _DOCUMENTS = "part int, part_start bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint"
 
+#: Marks that may follow a word of letters; the tokenizer's split always parts them from it.
+_ENDINGS = "!#$%&()*+,-./:;<=>?@[]^{|}~"
+#: The end of the letters that all versions of Unicode agree on.
+_PLAIN_END = "\u0250"
+
+# The character that stands for each byte in a byte-level vocabulary: itself where it can be printed, else one of those from 256.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_REST = [b for b in range(256) if b not in _PRINTED]
+_BYTE_CHARACTERS = {**{b: chr(b) for b in _PRINTED}, **{b: chr(256 + i) for i, b in enumerate(_REST)}}
+
 #: A space that has white space beside it is no place to divide a text.
-_UNSAFE = re.compile(r"\s |^ | \s| \Z")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Parts(dict):
+    """The ids of parts, filled in when a part is first asked for. ``space``: a space stands before each part.
+
+    Two generations of ``KEPT`` parts are held, so that frequent parts are not forgotten with rare ones. A part with
+    white space at an end has no ids of its own: None.
+    """
+
+    def __init__(self, tokenizer, kind: np.dtype, space: str, beginnings: _Parts | None = None):
+        self.tokenizer, self.code, self.space = tokenizer, "H" if kind.itemsize == 2 else "I", space
+        self.beginnings = self if beginnings is None else beginnings
+        self.older: dict[str, bytes | None] = {}
+        self.ask = tokenizer.model.tokenize
+        self.mark = _BYTE_CHARACTERS[32] if space else ""
+
+    def __missing__(self, part: str) -> bytes | None:
+        ids = self.older.get(part) or self._ids(part)
+        if len(self) >= KEPT:
+            self.older = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
+
+    def _ids(self, part: str) -> bytes | None:
+        if part.isalpha():
+            # A run of letters is one word of the tokenizer's own split, so its model can be asked at once.
+            if part.isascii():
+                return array(self.code, [t.id for t in self.ask(self.mark + part)]).tobytes()
+            if max(part) < _PLAIN_END:
+                shown = "".join([_BYTE_CHARACTERS[b] for b in part.encode()])
+                return array(self.code, [t.id for t in self.ask(self.mark + shown)]).tobytes()
+            return self.whole(self.space + part)
+        letters = part.rstrip(_ENDINGS)
+        if letters.isalpha() and max(letters) < _PLAIN_END:
+            return self[letters] + self.beginnings[part[len(letters) :]]
+        if self.space and not part or part[:1].isspace() or part[-1:].isspace():
+            return None
+        head, line, tail = part.partition("\n")
+        if line and not head[-1].isspace() and not tail[0].isspace():
+            return self[head] + self.whole("\n") + self.beginnings[tail]
+        return self.whole(self.space + part)
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 class Encoder:
-    """A tokenizer of the ``tokenizers`` library that keeps the ids of parts it has seen."""
+    """A byte-level tokenizer of the ``tokenizers`` library that keeps the ids of parts it has seen."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], parts: set[str], before: str) -> None:
-        fresh = [p for p in parts if p not in known]
-        if fresh:
-            if len(known) + len(fresh) > KEPT:
-                known.clear()
-                fresh = list(parts)
-            for part, coded in zip(fresh, self.tokenizer.encode_batch_fast([before + p for p in fresh], add_special_tokens=False), strict=True):
-                known[part] = np.array(coded.ids, dtype=self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as the little-endian numbers of ``kind``."""
-        parted = [_SAFE.split(t) if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in parted}, "")
-        self._learn(self.later, {x for p in parted for x in p[1:]}, " ")
-        later = self.later.__getitem__
-        return [self.first[p[0]] + b"".join(map(later, p[1:])) for p in parted]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.kind = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.first = _Parts(tokenizer, self.kind, "")
+        self.later = _Parts(tokenizer, self.kind, " ", self.first)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as the little-endian numbers of ``kind``."""
+        first, *rest = text.split(" ")
+        try:
+            return self.first[first] + b"".join(map(self.later.__getitem__, rest))
+        except TypeError:  # None: spaces beside other white space belong together
+            first, *rest = _SAFE.split(text)
+            later = [self.later[p] or self.later.whole(" " + p) for p in rest]
+            return (self.first[first] or self.first.whole(first)) + b"".join(later)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -87,23 +133,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, tie, n_tokens, ids (with the end id) of every document, where its text is read."""
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        coder = encoder(tokenizer)
-        end = np.array([END], dtype=coder.kind).tobytes()
-        for batch in batches:
-            ids: list[bytes] = []
-            for at in range(0, len(batch["text"]), _AT_ONCE):
-                ids += [x + end for x in coder.encode(batch["text"].slice(at, _AT_ONCE).to_pylist())]
-            size = coder.kind.itemsize
-            yield {"doc_id": batch["doc_id"], "tie": batch["tie"], "n_tokens": [len(x) // size for x in ids], "ids": ids}
-
-    texts = docs.select("doc_id", F.xxhash64(text_of("text")).alias("tie"), text_of("text").alias("text"))
-    return map_batches(texts, run, _ENCODED)
-
-
 def _coded(pending: list[tuple], part: int, start: int) -> Iterator[dict]:
     """The blocks of a segment; ``pending``: doc_id and ids of its documents."""
     packed = rans.pack_table(np.concatenate([ids for _, ids in pending]))
@@ -127,13 +156,15 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        kind = encoder(tokenizer).kind
+        coder = encoder(tokenizer)
+        end = np.array([END], dtype=coder.kind).tobytes()
         pending: list[tuple] = []
         waiting = start = 0
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
-                pending.append((doc_id, np.frombuffer(ids, dtype=kind)))
-                waiting += len(ids) // kind.itemsize
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids = np.frombuffer(coder.encode(text.as_py()) + end, dtype=coder.kind)
+                pending.append((doc_id.as_py(), ids))
+                waiting += len(ids)
                 if waiting >= SEGMENT:
                     yield from _coded(pending, part, start)
                     start, waiting = start + waiting, 0
@@ -141,8 +172,9 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
         if pending:
             yield from _coded(pending, part, start)
 
-    ordered = encode(docs, tokenizer).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    map_batches(ordered.select("doc_id", "ids"), run, _BLOCKS).write.parquet(path)
+    texts = docs.select("doc_id", F.xxhash64(text_of("text")).alias("tie"), text_of("text").alias("text"))
+    ordered = texts.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    map_batches(ordered.select("doc_id", "text"), run, _BLOCKS).write.parquet(path)
 
 
 def _decoded(batches: Iterator[dict]) -> Iterator[dict]:
