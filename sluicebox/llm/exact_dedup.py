@@ -24,7 +24,9 @@ SLOTS = 4
 MAX_KICKS = 200
 #: Entries that a task folds before it hands them on; bounds its memory, not the result.
 FOLD = 200_000
-BUCKET_BYTES = 2
+BUCKET_BYTES = 3
+#: Finished entries that are handed on together.
+EMIT = 10_000
 _LOWEST = -(2**63)
 _ENTRIES = "digest binary, keep_id bigint, keep_row bigint, group_size bigint, withdrawn boolean"
 
@@ -38,6 +40,7 @@ class CuckooIndex:
 
     def __init__(self, groups: int = 16):
         self.live: dict[int, tuple] = {}
+        self.slots = SLOTS
         self._fresh = 0
         self._build(groups)
 
@@ -83,23 +86,28 @@ class CuckooIndex:
     def _place(self, key: bytes, handle: int) -> bool:
         mark, first, second = self._places(key)
         for group in (first, second):
-            if len(self.table[group]) < SLOTS:
+            if len(self.table[group]) < self.slots:
                 self.table[group].append((mark, handle))
                 return True
         group, entry = second, (mark, handle)
         for kick in range(MAX_KICKS):
             slots = self.table[group]
-            slots[kick % SLOTS], entry = entry, slots[kick % SLOTS]
+            slots[kick % self.slots], entry = entry, slots[kick % self.slots]
             group = self._other(group, entry[0])
-            if len(self.table[group]) < SLOTS:
+            if len(self.table[group]) < self.slots:
                 self.table[group].append(entry)
                 return True
         return False
 
     def _resize(self) -> None:
-        """Overflow: twice the groups, refilled from the stored keys."""
+        """Overflow: twice the groups, refilled from the stored keys.
+
+        Keys that agree in all bits that choose a group stay together at any size; then a group gets more slots.
+        """
         groups = self.groups * 2
         while True:
+            if groups > 64 * (SLOTS + len(self.live)):
+                groups, self.slots = 16, 2 * self.slots
             self._build(groups)
             if all(self._place(stored[0], handle) for handle, stored in self.live.items()):
                 return
@@ -120,25 +128,30 @@ class CuckooIndex:
             self.live[handle] = (key, old_id, old_row, old_size + size, withdrawn or old_withdrawn)
 
 
-def _emit(index: CuckooIndex) -> dict[str, list]:
-    names = ("digest", "keep_id", "keep_row", "group_size", "withdrawn")
-    return dict(zip(names, map(list, zip(*index.live.values())), strict=True))
+_NAMES = ("digest", "keep_id", "keep_row", "group_size", "withdrawn")
+
+
+def _emit(entries: list[tuple]) -> dict[str, list]:
+    return dict(zip(_NAMES, map(list, zip(*entries, strict=True)), strict=True))
 
 
 def _folded(bounded_by_bucket: bool):
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        index, bucket = CuckooIndex(), None
+        index, bucket, done = CuckooIndex(), None, []
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("digest", "keep_id", "keep_row", "group_size", "withdrawn")]
-            for key, *values in zip(*columns, strict=True):
+            for key, *values in zip(*(batch[c].to_pylist() for c in _NAMES), strict=True):
                 here = key[:BUCKET_BYTES] if bounded_by_bucket else None
                 if index.live and (here != bucket or (not bounded_by_bucket and len(index.live) >= FOLD)):
-                    yield _emit(index)
+                    done += index.live.values()
                     index = CuckooIndex()
                 bucket = here
                 index.fold(key, *values)
-        if index.live:
-            yield _emit(index)
+            if len(done) >= EMIT:
+                yield _emit(done)
+                done = []
+        done += index.live.values()
+        if done:
+            yield _emit(done)
 
     return run
 
