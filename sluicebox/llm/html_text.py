@@ -7,7 +7,7 @@ sliding windows of ``WINDOW`` lines. A surge is a window that rises above the th
 nothing; the lines between a surge and its dive are kept, all of them, however short. The threshold follows the
 page (a share of its largest window), so short articles have one too; within an article element any text counts.
 
-Null and empty pages give the empty text. An element that is never closed hides nothing. Repeated rows give repeated
+Null and empty pages give the empty text. An element that is never closed, or that holds an article, hides nothing. Repeated rows give repeated
 results, an empty table an empty one; other columns are ignored. Each page is read by itself: no shuffle.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +41,9 @@ _INLINE = set(
 )
 _HIDDEN = set("nav footer aside form button head dialog menu fieldset".split())
 _WORDS = (
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar widget related "
+    "ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar widget related "
     "recommended share sharing social cookie cookies consent notice notification popup modal overlay newsletter subscribe "
-    "subscription comment comments replies respond disqus menu nav navbar navigation breadcrumb breadcrumbs pagination pager "
+    "subscription comment comments commentlist replies respond disqus menu nav navbar navigation breadcrumb breadcrumbs pagination pager "
     "footer toolbar login signup search complementary contentinfo alert"
 ).split()
 _HIDING = re.compile(r"(?<![a-z])(?:" + "|".join(_WORDS) + r")(?![a-z])", re.I)
@@ -79,6 +80,11 @@ def _hides(name: str, attributes: str, in_article: bool) -> bool:
     return bool(_HIDING.search(labels) or (not in_article and _HEADING.search(labels)))
 
 
+def _any_between(sorted_numbers: list[int], low: int, high: int) -> bool:
+    at = bisect_right(sorted_numbers, low)
+    return at < len(sorted_numbers) and sorted_numbers[at] < high
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """The lines of a page: text, length outside links, whether inside an article element."""
     tokens = list(_TOKEN.finditer(page))
@@ -88,6 +94,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     linked = 0
     at = 0
     hidden_until = article_until = link_until = -1
+    articles = [i for i, token in enumerate(tokens) if not token[2] and (token[3] or "").lower() in ("article", "main")]
 
     def flush(empty: bool = False) -> None:
         nonlocal linked
@@ -109,7 +116,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 if name not in _INLINE:
                     flush()
                 if not token[2]:
-                    if i in closed and _hides(name, token[4], article_until >= 0):
+                    if i in closed and _hides(name, token[4], article_until >= 0) and not _any_between(articles, i, closed[i]):
                         flush()
                         flush(empty=True)
                         hidden_until = closed[i]
