@@ -4,9 +4,9 @@ Lines are normalised (A-Z lowered, digits to 0, runs of separators to one space,
 host, the distinct documents of every line are counted. A line found in more than ``limit`` documents of its host is
 removed, and a document that loses more than ``max_lost`` of its words to that is depleted and rejected.
 
-Copies of one document count once: a document is known by the smallest hash among its *other* lines, so a
-group of copies, exact or near, does not push its own lines over the limit, whereas boilerplate stands among
-different lines each time. The host is the ``source`` column.
+Documents of one and the same text count once, so a group of copies does not push its own lines over the limit. Lines of
+more than ``max_words`` words are passages: what copies share of them is for the dedup operators. The host is the
+``source`` column.
 
 Plan: one Arrow pass over the texts writes the statistics and the lines' hashes (some 20 bytes a line) to the shared
 folder; the counts are distinct aggregations with partial results in each task, so a line that a third of all
@@ -34,6 +34,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A line may stand in so many distinct documents of one host.
 LINE_LIMIT = 10
+#: Longer lines are passages.
+MAX_LINE_WORDS = 40
 #: A document may lose this percentage of its words.
 MAX_LOST_PERCENT = 75
 
@@ -50,7 +52,7 @@ _CLASS[list(_SYMBOLS)] = 2
 
 _SCHEMA = (
     "doc_id bigint, host string, content binary, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-    "n_repeat_words bigint, lines array<struct<line: bigint, among: bigint, words: bigint>>"
+    "n_repeat_words bigint, lines array<struct<line: bigint, words: bigint>>"
 )
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -89,16 +91,14 @@ def text_statistics(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def text_lines(text: bytes) -> list[dict]:
-    """The distinct normalised lines of a text: hash, smallest hash among the others, words in all their copies."""
+    """The distinct normalised lines of a text that are no passages: hash, and words in all their copies."""
     words: dict[int, int] = {}
     for line in text.split(b"\n"):
         normal = normal_line(line)
-        if normal:
+        if normal and normal.count(b" ") < MAX_LINE_WORDS:
             key = line_hash(normal)
             words[key] = words.get(key, 0) + normal.count(b" ") + 1
-    low = sorted(words)[:2] + [0, 0]
-    first, second = (low[0], low[1]) if len(words) > 1 else (low[0], 0)
-    return [{"line": k, "among": second if k == first else first, "words": n} for k, n in words.items()]
+    return [{"line": k, "words": n} for k, n in words.items()]
 
 
 def _judged(batches: Iterator[dict]) -> Iterator[dict]:
@@ -120,7 +120,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(rows: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """(host, line, n_documents) of lines in more than ``limit`` distinct documents of their host."""
-    lines = rows.select("host", F.inline("lines")).groupBy("host", "line", "among").agg(F.lit(1).alias("one"))
+    lines = rows.select("host", "content", F.inline("lines")).groupBy("host", "line", "content").agg(F.lit(1).alias("one"))
     return lines.groupBy("host", "line").agg(F.count("one").alias("n_documents")).where(F.col("n_documents") > limit)
 
 
@@ -157,7 +157,11 @@ def judge(docs: DataFrame, limit: int = LINE_LIMIT, max_lost: int = MAX_LOST_PER
 def without_lines(text: str | None, removed: set[int]) -> str | None:
     if text is None:
         return None
-    return "\n".join(line for line in text.split("\n") if line_hash(normal_line(line.encode())) not in removed)
+    def stays(line: str) -> bool:
+        normal = normal_line(line.encode())
+        return not normal or normal.count(b" ") >= MAX_LINE_WORDS or line_hash(normal) not in removed
+
+    return "\n".join(filter(stays, text.split("\n")))
 
 
 def clean(docs: DataFrame, limit: int = LINE_LIMIT, max_lost: int = MAX_LOST_PERCENT) -> DataFrame:

@@ -46,19 +46,13 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
           '[0-9]+', '0', 'g'), '0+', '0', 'g') AS line
       FROM with_words),
     hashed AS (
-      SELECT row, host, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h, sum(len(string_split(line, ' '))) AS words
-      FROM normal GROUP BY row, host, line),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY h) AS place FROM hashed),
-    low AS (
-      SELECT row, max(h) FILTER (place = 1) AS first, coalesce(max(h) FILTER (place = 2), 0) AS second FROM ranked GROUP BY row),
+      SELECT row, host, line AS h, sum(len(string_split(line, ' '))) AS words
+      FROM normal WHERE len(string_split(line, ' ')) <= 40 GROUP BY row, host, line),
     frequent AS (
-      SELECT host, h FROM (
-        SELECT DISTINCT r.host, r.h, CASE WHEN r.h = l.first THEN l.second ELSE l.first END AS among
-        FROM ranked r JOIN low l ON r.row = l.row)
-      GROUP BY host, h HAVING count(*) > 10),
+      SELECT host, h FROM hashed JOIN (SELECT row, text FROM d) USING (row) GROUP BY host, h HAVING count(DISTINCT text) > 10),
     lost AS (
       SELECT r.row, sum(r.words)::BIGINT AS words, count(*) AS n
-      FROM ranked r JOIN frequent f ON r.host IS NOT DISTINCT FROM f.host AND r.h = f.h GROUP BY r.row),
+      FROM hashed r JOIN frequent f ON r.host IS NOT DISTINCT FROM f.host AND r.h = f.h GROUP BY r.row),
     base AS (
       SELECT d.row, d.doc_id, len(w.ws)::BIGINT AS n_words,
         length(regexp_replace(d.text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
