@@ -9,8 +9,10 @@ classes; below that a task branches on in memory. Small nodes are compared exhau
 not shrink is a cluster: its classes are hung on leaders.
 
 No link is taken from a signature. Candidates that span the nodes are confirmed on the full sets and give components;
-then every other candidate whose ends are not connected yet, those inside clusters included, is confirmed as well.
-What could be lost is bounded by the trees' recall and four standard deviations of the signature's estimate.
+then every other candidate whose ends are not connected yet is confirmed as well. Within a cluster, each member outside
+the largest component is compared with all members on the full sets, in blocks of bounded size and through an index of
+their shingles: no pairs are emitted but the links. What could be lost is bounded by the trees' recall and four standard
+deviations of the signature's estimate.
 
 Null texts and texts without words have the empty set and are linked with nothing. A text of fewer words than a
 shingle is one shingle. Repeated rows share a class and get the same result. A null doc_id is passed through and
@@ -22,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import xxhash
@@ -42,7 +46,7 @@ SMALL = 24
 #: A node is a cluster when a chosen token keeps this share of it.
 DENSE = 0.6
 #: Levels that Spark branches before a large node counts as a cluster.
-MAX_LEVELS = 12
+MAX_LEVELS = 20
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CACHED_WORDS = 300_000
@@ -113,7 +117,7 @@ def trees_for(recall: float, percent: int) -> int:
 
 
 def document_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Written rows (doc_id, digest of the set, n_shingles, signature)."""
+    """Written rows (doc_id, content, digest of the set, n_shingles, signature)."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         shingler = Shingler(size)
@@ -124,10 +128,12 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
                 counts.append(len(shingles))
                 digests.append(hashlib.md5(shingles.tobytes(), usedforsecurity=False).digest())
                 signatures.append(signature(shingles))
-            yield {"doc_id": batch["doc_id"], "digest": digests, "n_shingles": counts, "signature": signatures}
+            same = {"doc_id": batch["doc_id"], "content": batch["content"]}
+            yield same | {"digest": digests, "n_shingles": counts, "signature": signatures}
 
-    texts = docs.select("doc_id", text_of("text").alias("text"))
-    return written(map_batches(texts, run, "doc_id bigint, digest binary, n_shingles bigint, signature binary"), "sets")
+    texts = docs.select("doc_id", F.md5(text_of("text")).alias("content"), text_of("text").alias("text"))
+    schema = "doc_id bigint, content string, digest binary, n_shingles bigint, signature binary"
+    return written(map_batches(texts, run, schema), "sets")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -145,7 +151,8 @@ def _choices(node: int) -> list[int]:
     return [first, (first + 1 + (node >> 8) % (COORDINATES - 1)) % COORDINATES]
 
 
-_NODE = "node bigint, class bigint, n bigint, signature binary"
+_NODE = "parent bigint, node bigint, family bigint, class bigint, n bigint, signature binary"
+_ROW = ["node", "family", "class", "n", "signature"]
 
 
 def _branched(roots: list[int] | None):
@@ -155,39 +162,55 @@ def _branched(roots: list[int] | None):
         for batch in batches:
             classes, ns, signatures = (batch[c].to_pylist() for c in ("class", "n", "signature"))
             nodes = batch["node"].to_pylist() if roots is None else None
+            keys: dict[tuple, int] = {}
             out: list[tuple] = []
             for i, sig in enumerate(signatures):
-                for node in [nodes[i]] if nodes is not None else roots:
+                for node in roots if nodes is None else [nodes[i]]:
                     for c in _choices(node):
-                        out.append((node, c, sig[2 * c : 2 * c + 2], i))
-            keys: dict[tuple, int] = {}
-            made = []
-            for node, c, token, _ in out:
-                key = (node, c, token)
-                if key not in keys:
-                    keys[key] = node_hash(*key)
-                made.append(keys[key])
-            yield {
-                "node": made, "class": [classes[i] for *_, i in out], "n": [ns[i] for *_, i in out],
-                "signature": [signatures[i] for *_, i in out],
-            }
+                        key = (node, c, sig[2 * c : 2 * c + 2])
+                        if key not in keys:
+                            keys[key] = node_hash(*key)
+                        out.append((node, keys[key], 0, classes[i], ns[i], sig))
+            yield dict(zip(("parent", *_ROW), zip(*out, strict=True), strict=True))
 
     return run
 
 
+def _in_blocks(nodes: DataFrame, limit: int) -> DataFrame:
+    """Nodes that do not shrink, in blocks of about ``limit`` classes; each block has the node's first class as well."""
+    shape = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("pivot"))
+    shape = shape.select(F.col("node").alias("of"), F.ceil(F.col("size") / limit).cast("int").alias("blocks"), "pivot")
+    placed = nodes.join(shape, F.col("node") == F.col("of"))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    every = F.when(F.col("class") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    return placed.withColumn("block", F.explode(every)).select(
+        F.xxhash64("node", "block").alias("node"), F.col("node").alias("family"), "class", "n", "signature"
+    )
+
+
 def small_nodes(classes: DataFrame, trees: int, limit: int = NODE_LIMIT) -> DataFrame:
-    """Rows (node, class, n, signature) of nodes of at most ``limit`` classes; larger ones are branched again."""
+    """Rows (node, family, class, n, signature) of nodes of about ``limit`` classes at most.
+
+    Larger nodes are branched again; one that a chosen token keeps together is a ``family`` and split into blocks.
+    """
     roots = [node_hash("root", t) for t in range(trees)]
-    level = map_batches(classes.select("class", "n", "signature"), _branched(roots), _NODE)
-    done: DataFrame | None = None
-    for depth in range(MAX_LEVELS):
-        large = written(level.groupBy("node").count().where(F.col("count") > limit).select(F.col("node").alias("large")), "large")
-        if depth == MAX_LEVELS - 1 or large.isEmpty():
-            break
-        small = level.join(large, F.col("node") == F.col("large"), "left_anti")
-        done = small if done is None else done.unionByName(small)
-        level = map_batches(level.join(large, F.col("node") == F.col("large"), "left_semi"), _branched(None), _NODE)
-    return level if done is None else done.unionByName(level)
+    level = map_batches(classes.select("class", "n", "signature"), _branched(roots), _NODE).drop("parent")
+    done: list[DataFrame] = []
+    for depth in count():
+        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit)
+        large = written(sizes.select(F.col("node").alias("large"), "size"), "large")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, done, level)
+        done.append(level.join(large, F.col("node") == F.col("large"), "left_anti"))
+        big = level.join(large, F.col("node") == F.col("large"), "left_semi")
+        if depth == MAX_LEVELS:
+            return reduce(DataFrame.unionByName, done, _in_blocks(big, limit))
+        children = map_batches(big, _branched(None), _NODE)
+        kept = children.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("kept"))
+        kept = kept.join(large, F.col("parent") == F.col("large")).where(F.col("kept") >= DENSE * F.col("size"))
+        dense = written(kept.select(F.col("parent").alias("dense")).distinct(), "dense")
+        done.append(_in_blocks(big.join(dense, F.col("node") == F.col("dense"), "left_semi"), limit))
+        level = children.join(dense, F.col("parent") == F.col("dense"), "left_anti").drop("parent")
 
 
 class _Comparer:
@@ -200,9 +223,13 @@ class _Comparer:
         self.sure = s + 2 * math.sqrt(s * (1 - s) / COORDINATES)
         self.out: list[tuple] = []
 
-    def node(self, node: int, classes: np.ndarray, n: np.ndarray, signatures: np.ndarray) -> None:
+    def node(self, node: int, family: int, classes: np.ndarray, n: np.ndarray, signatures: np.ndarray) -> None:
         self.classes, self.n, self.signatures = classes, n, signatures
-        self._explore(node, np.argsort(classes, kind="stable"))
+        order = np.argsort(classes, kind="stable")
+        if family:
+            self._cluster(family, order)
+        else:
+            self._explore(node, order)
 
     def _near(self, i: int, others: np.ndarray) -> np.ndarray:
         """Estimated similarity of i and others, 0 where the sizes rule a link out."""
@@ -283,7 +310,7 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
         comparer = _Comparer(percent)
         for node, group in _by_group(batches, "node"):
             if len(group["class"]) > 1:
-                comparer.node(node, group["class"], group["n"], group["signature"])
+                comparer.node(node, int(group["family"][0]), group["class"], group["n"], group["signature"])
             if len(comparer.out) >= _EMIT:
                 yield dict(zip(("kind", "a", "b"), zip(*comparer.out, strict=True), strict=True))
                 comparer.out = []
@@ -294,50 +321,108 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     return written(map_batches(dealt, run, "kind int, a bigint, b bigint").distinct(), "candidates")
 
 
-def _apart(members: DataFrame, percent: int) -> DataFrame:
-    """Candidates between members of a cluster that lie in different components; ``members`` has node and component."""
+#: Bytes of sets that a task holds while it compares a cluster.
+BLOCK_BYTES = 1 << 25
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        comparer = _Comparer(percent)
-        for _, group in _by_group(batches, "node"):
-            parts, sizes = np.unique(group["component"], return_counts=True)
-            if len(parts) < 2:
-                continue
-            comparer.classes, comparer.n, comparer.signatures = group["class"], group["n"], group["signature"]
-            order = {p: k for k, p in enumerate(parts[np.argsort(sizes, kind="stable")])}  # small components ask
-            rank = np.array([order[p] for p in group["component"]])
-            for i in np.flatnonzero(rank < len(parts) - 1):
-                later = np.flatnonzero(rank > rank[i])
-                for j in later[comparer._near(i, later) >= comparer.least]:
-                    comparer._pair(i, j, False)
-                if len(comparer.out) >= _EMIT:
-                    yield dict(zip(("kind", "a", "b"), zip(*comparer.out, strict=True), strict=True))
-                    comparer.out = []
-        if comparer.out:
-            yield dict(zip(("kind", "a", "b"), zip(*comparer.out, strict=True), strict=True))
 
-    dealt = members.repartition(F.col("node")).sortWithinPartitions("node")
-    return map_batches(dealt, run, "kind int, a bigint, b bigint").select("a", "b").distinct()
+def _asking(clusters: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (node, block, asks, class, component) of the clusters whose members are not all connected.
+
+    The members are the targets of one block each; those outside the cluster's largest component ask in all blocks.
+    """
+    members = clusters.join(classes.select("class", "n"), F.col("member") == F.col("class"))
+    own = known.select(F.col("node").alias("of"), F.col("component").alias("part"))
+    members = members.join(own, F.col("class") == F.col("of"), "left").select(
+        "node", "class", "n", F.coalesce("part", "class").alias("component")
+    )
+    parts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    shape = parts.groupBy(F.col("node").alias("at")).agg(
+        F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "component"))["component"].alias("largest"),
+        F.ceil(8 * F.sum("n") / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"),
+    )
+    placed = members.join(shape.where("parts > 1"), F.col("node") == F.col("at"))
+    own_block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    targets = F.array(F.struct(own_block.alias("block"), F.lit(False).alias("asks")))
+    questions = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("asks")))
+    both = F.when(F.col("component") == F.col("largest"), targets).otherwise(F.concat(targets, questions))
+    return placed.select("node", "class", "component", F.inline(both))
+
+
+class _Targets:
+    """The sets of a block's targets as an index from shingles to targets."""
+
+    def __init__(self, classes: list[int], components: list[int], sets: list[np.ndarray]):
+        self.classes, self.components = np.array(classes), np.array(components)
+        self.sizes = np.array([len(x) for x in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.shingles, self.starts = np.unique(every[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(every))
+
+    def links(self, component: int, shingles: np.ndarray, percent: int) -> list[int]:
+        """A similar target of each component but the one given."""
+        at = np.searchsorted(self.shingles, shingles)
+        known = at < len(self.shingles)
+        at = at[known][self.shingles[at[known]] == shingles[known]]
+        owners = [self.owners[a:b] for a, b in zip(self.starts[at], self.ends[at], strict=True)]
+        common = np.bincount(np.concatenate(owners) if owners else np.zeros(0, int), minlength=len(self.classes))
+        union = self.sizes + len(shingles) - common
+        hits = np.flatnonzero((100 * common >= percent * union) & (self.components != component))
+        first = np.unique(self.components[hits], return_index=True)[1]
+        return self.classes[hits[first]].tolist()
+
+
+def _cluster_links(asking: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components within the clusters, confirmed on the full sets where they are compared."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        current, targets, held = None, None, []
+        for batch in batches:
+            found = []
+            columns = [batch[c].to_pylist() for c in ("node", "block", "asks", "class", "component", "shingles")]
+            for node, block, asks, number, component, shingles in zip(*columns, strict=True):
+                if (node, block) != current:
+                    current, targets, held = (node, block), None, []
+                shingles = np.frombuffer(shingles, dtype=np.uint64)
+                if not asks:
+                    held.append((number, component, shingles))
+                    continue
+                if targets is None and held:
+                    targets, held = _Targets(*map(list, zip(*held, strict=True))), []
+                if targets is not None:
+                    found += [(number, other) for other in targets.links(component, shingles, percent)]
+            if found:
+                yield dict(zip(("u", "v"), zip(*found, strict=True), strict=True))
+
+    dealt = asking.join(sets, "class").repartition("node", "block").sortWithinPartitions("node", "block", "asks", "class")
+    return written(map_batches(dealt, run, "u bigint, v bigint"), "links")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """Written (class, shingles) of the classes in ``wanted``, from the text of one member each."""
+    """Written (class, shingles) of the classes in ``wanted``, from the text of a member with the smallest doc_id.
+
+    Rows that repeat that doc_id meet in a task, which passes one of them on; a class that several tasks give is harmless.
+    """
     chosen = classes.join(wanted, "class", "left_semi").select("class", F.col("digest"), F.col("least_id").alias("id"))
     texts = docs.select("doc_id", text_of("text").alias("text"))
     members = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "digest", "text")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        shingler = Shingler(size)
+        shingler, done = Shingler(size), set()
         for batch in batches:
             classes, sets = [], []
             for number, digest, text in zip(batch["class"].to_pylist(), batch["digest"].to_pylist(), utf8(batch["text"]), strict=True):
+                if number in done:
+                    continue
                 shingles = shingler.shingles(text).tobytes()
                 if hashlib.md5(shingles, usedforsecurity=False).digest() == digest:
+                    done.add(number)
                     classes.append(number)
                     sets.append(shingles)
             yield {"class": classes, "shingles": sets}
 
-    return written(map_batches(members, run, "class bigint, shingles binary"), "full").dropDuplicates(["class"])
+    return written(map_batches(members, run, "class bigint, shingles binary"), "full")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -387,45 +472,45 @@ def linked_classes(
     part_a, part_b = F.coalesce("component_a", "a"), F.coalesce("component_b", "b")
     unconnected = others.join(own_a, is_a, "left").join(own_b, is_b, "left").where(part_a != part_b).select("a", "b")
     clusters = found.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("member"))
-    members = clusters.join(classes.select("class", "n", "signature"), F.col("member") == F.col("class"))
-    own, is_own = _component_of("class", known, "part")
-    members = members.join(own, is_own, "left").select("node", "class", "n", "signature", F.coalesce("part", "class").alias("component"))
-    rest = written(
-        unconnected.unionByName(_apart(members, percent)).distinct().join(first, ["a", "b"], "left_anti"), "unconnected"
-    )
-    if rest.isEmpty():
-        return known
-    more = confirmed(rest, sets, percent)
+    within = _cluster_links(_asking(clusters, classes, known), sets, percent)
+    more = confirmed(unconnected, sets, percent).unionByName(within)
     if more.isEmpty():
         return known
     return written(components(links.unionByName(more)), "components")
 
 
-def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, recall: float = RECALL, limit: int = NODE_LIMIT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def _decided(docs: DataFrame, size: int, percent: int, recall: float, limit: int) -> DataFrame:
     rows = document_sets(docs, size)
     classes = classes_of(rows)
     known = linked_classes(docs, classes, size, percent, recall, limit)
-    placed = classes.join(known, F.col("class") == F.col("node"), "left").select(
-        "digest", "least_id", "members", F.col("component")
-    )
+    placed = classes.join(known, F.col("class") == F.col("node"), "left").select("digest", "least_id", "members", "component")
     least = placed.where("component IS NOT NULL").groupBy(F.col("component").alias("of")).agg(F.min("least_id").alias("least"))
     shared = placed.where("component IS NOT NULL OR members > 1").join(least, F.col("component") == F.col("of"), "left").select(
         F.col("digest").alias("set"), F.coalesce("least", "least_id").alias("smallest")
     )
-    joined = rows.select("doc_id", "n_shingles", "digest").join(
+    joined = rows.select("doc_id", "content", "n_shingles", "digest").join(
         shared, (F.col("digest") == F.col("set")) & (F.col("n_shingles") > 0), "left"
     )
     component = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
     return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "content", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
-def distinct_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each component the row with the smallest doc_id, once."""
-    dropped = deduplicate(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, recall: float = RECALL, limit: int = NODE_LIMIT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    return _decided(docs, size, percent, recall, limit).drop("content")
+
+
+def distinct_documents(docs: DataFrame, size: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns: of each component the row with the smallest doc_id, once.
+
+    Rows of one doc_id and text are one row; if texts of one component share the smallest doc_id, all of them stay.
+    """
+    decided = _decided(docs, size, percent, recall, NODE_LIMIT)
+    dropped = decided.where("NOT kept").select(F.col("doc_id").alias("gone"), F.col("content").alias("text_gone")).distinct()
     packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.md5(text_of("text")).alias("content"))
-    stays = packed.join(dropped, F.col("id").eqNullSafe(F.col("gone")), "left_anti")
+    same = F.col("id").eqNullSafe(F.col("gone")) & (F.col("content") == F.col("text_gone"))
     once = Window.partitionBy("id", "content").orderBy(row_hash(docs, "doc"))
-    return stays.withColumn("place", F.row_number().over(once)).where("place = 1").select("doc.*")
+    stays = packed.join(dropped, same, "left_anti").withColumn("place", F.row_number().over(once))
+    return stays.where("place = 1").select("doc.*")

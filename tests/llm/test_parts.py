@@ -205,6 +205,18 @@ def test_signatures_estimate_similarity():
     assert near_dedup.trees_for(0.9999, 80) == 4
 
 
+def test_targets_find_exactly_the_similar_sets():
+    r = np.random.default_rng(9)
+    base = r.integers(0, 2**64, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(120) < keep], r.integers(0, 2**64, int(r.integers(0, 20)), dtype=np.uint64)])) for keep in r.uniform(0.75, 1, 60)]
+    targets = near_dedup._Targets(list(range(60)), list(range(60)), sets)
+    for i, x in enumerate(sets):
+        alike = [j for j, y in enumerate(sets) if j != i and 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))]
+        assert sorted(targets.links(i, x, 80)) == alike
+    grouped = near_dedup._Targets(list(range(60)), [i % 3 for i in range(60)], sets)
+    assert {t % 3 for t in grouped.links(0, sets[0], 10)} == {1, 2}
+
+
 def test_discriminant_is_the_ratio_of_two_normal_densities():
     r = np.random.default_rng(2)
     x = [r.normal(0, 1, (500, 3)), r.normal(1, [1, 2, 3], (900, 3))]
