@@ -115,9 +115,10 @@ def resolve(records: DataFrame, column: str = "record") -> DataFrame:
     """
     parsed = parse(records, column)
     full = (F.col("kind") == "response") & (F.col("status") == "200")
-    kept = parsed.where(full | (F.col("kind") == "revisit"))
-    placed = kept.where("url_key IS NOT NULL AND captured IS NOT NULL").select("url_key", full.alias("full"), *_FULL)
-    lost = kept.where("kind = 'revisit' AND (url_key IS NULL OR captured IS NULL)").select("url_key", *_FULL)
+    # Written once, without payloads: the ranges of the join are found from it and dealt from it.
+    kept = written(parsed.where(full | (F.col("kind") == "revisit")).select("url_key", full.alias("full"), *_FULL), "records")
+    placed = kept.where("url_key IS NOT NULL AND captured IS NOT NULL")
+    lost = kept.where("NOT full AND (url_key IS NULL OR captured IS NULL)").drop("full")
     found = _as_of(placed)
     found = found.unionByName(lost.withColumn("earlier", F.lit(None).cast(found.schema["earlier"].dataType)))
     ours, theirs = F.col("headers"), F.col("earlier")["headers"]
