@@ -321,14 +321,15 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     return written(map_batches(dealt, run, "kind int, a bigint, b bigint").distinct(), "candidates")
 
 
-#: Bytes of sets that a task holds while it compares a cluster.
-BLOCK_BYTES = 1 << 25
+#: Bytes of sets on either side when a task compares members of a cluster.
+BLOCK_BYTES = 1 << 23
 
 
 def _asking(clusters: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (node, block, asks, class, component) of the clusters whose members are not all connected.
+    """Rows (node, block, round, asks, class, component) of the clusters whose members are not all connected.
 
-    The members are the targets of one block each; those outside the cluster's largest component ask in all blocks.
+    The members are the targets of one block each; those outside the cluster's largest component ask in all blocks, in a
+    round of their own. Both blocks and rounds are of bounded size.
     """
     members = clusters.join(classes.select("class", "n"), F.col("member") == F.col("class"))
     own = known.select(F.col("node").alias("of"), F.col("component").alias("part"))
@@ -337,14 +338,23 @@ def _asking(clusters: DataFrame, classes: DataFrame, known: DataFrame) -> DataFr
     )
     parts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
     shape = parts.groupBy(F.col("node").alias("at")).agg(
-        F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "component"))["component"].alias("largest"),
-        F.ceil(8 * F.sum("n") / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"),
+        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max(F.struct("size", "component", "n")).alias("top")
+    ).where("parts > 1")
+    blocks = lambda n: F.ceil(8 * n / F.lit(BLOCK_BYTES)).cast("int")
+    shape = shape.select(
+        "at", F.col("top.component").alias("largest"), blocks(F.col("n")).alias("blocks"),
+        blocks(F.col("n") - F.col("top.n")).alias("rounds"),
     )
-    placed = members.join(shape.where("parts > 1"), F.col("node") == F.col("at"))
+    placed = members.join(shape, F.col("node") == F.col("at"))
     own_block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    targets = F.array(F.struct(own_block.alias("block"), F.lit(False).alias("asks")))
-    questions = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("asks")))
-    both = F.when(F.col("component") == F.col("largest"), targets).otherwise(F.concat(targets, questions))
+    own_round = F.pmod(F.xxhash64("class", F.lit(1)), F.col("rounds")).cast("int")
+
+    def part(block: Column, turn: Column, asks: bool) -> Column:
+        return F.struct(block.alias("block"), turn.alias("round"), F.lit(asks).alias("asks"))
+
+    targets = F.transform(F.sequence(F.lit(0), F.col("rounds") - 1), lambda turn: part(own_block, turn, False))
+    asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda block: part(block, own_round, True))
+    both = F.when(F.col("component") == F.col("largest"), targets).otherwise(F.concat(targets, asking))
     return placed.select("node", "class", "component", F.inline(both))
 
 
@@ -380,10 +390,10 @@ def _cluster_links(asking: DataFrame, sets: DataFrame, percent: int) -> DataFram
         current, targets, held = None, None, []
         for batch in batches:
             found = []
-            columns = [batch[c].to_pylist() for c in ("node", "block", "asks", "class", "component", "shingles")]
-            for node, block, asks, number, component, shingles in zip(*columns, strict=True):
-                if (node, block) != current:
-                    current, targets, held = (node, block), None, []
+            columns = [batch[c].to_pylist() for c in ("node", "block", "round", "asks", "class", "component", "shingles")]
+            for node, block, turn, asks, number, component, shingles in zip(*columns, strict=True):
+                if (node, block, turn) != current:
+                    current, targets, held = (node, block, turn), None, []
                 shingles = np.frombuffer(shingles, dtype=np.uint64)
                 if not asks:
                     held.append((number, component, shingles))
@@ -395,7 +405,8 @@ def _cluster_links(asking: DataFrame, sets: DataFrame, percent: int) -> DataFram
             if found:
                 yield dict(zip(("u", "v"), zip(*found, strict=True), strict=True))
 
-    dealt = asking.join(sets, "class").repartition("node", "block").sortWithinPartitions("node", "block", "asks", "class")
+    place = ["node", "block", "round"]
+    dealt = asking.join(sets, "class").repartition(*place).sortWithinPartitions(*place, "asks", "class")
     return written(map_batches(dealt, run, "u bigint, v bigint"), "links")
 
 
