@@ -89,6 +89,24 @@ def test_copies_do_not_count_as_documents(spark):
     assert quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint"), limit=3).where("kept").count() == 30
 
 
+def test_recurring_passages_go_and_near_copies_stay(spark):
+    """A passage of 60 words in different documents is removed and may deplete them; a family of near copies is one document."""
+    words = lambda name, n: " ".join(f"{name}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n))
+    letter = lambda i: chr(97 + i)
+    notice, terms = words("notice", 60), words("terms", 240)
+    rows = [(i, f"{notice}\n{words('own' + letter(i), 60)}", "a", 1) for i in range(8)]
+    rows += [(100 + i, f"{terms}\n{words('few' + letter(i), 60)}", "a", 1) for i in range(8)]
+    family = [words("near" + letter(k), 60) for k in range(3)]
+    rows += [(200 + i, "\n".join(family).replace("nearbab", "edit" + letter(i)), "b", 1) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    judged = {r.doc_id: r for r in quality_rules.judge(docs, limit=3).collect()}
+    assert all((judged[i].n_removed_lines, judged[i].lost_words, judged[i].kept) == (1, 60, True) for i in range(8))
+    assert all((judged[100 + i].lost_words, judged[100 + i].kept) == (240, False) for i in range(8))
+    assert all((judged[200 + i].n_removed_lines, judged[200 + i].kept) == (0, True) for i in range(8))
+    cleaned = {r.doc_id: r.text for r in quality_rules.clean(docs, limit=3).collect()}
+    assert cleaned == {r[0]: r[1].removeprefix(notice + "\n") for r in rows if not 100 <= r[0] < 200}
+
+
 # 2
 
 def test_chat_of_awkward_rows(spark):
