@@ -1,11 +1,14 @@
 """Main text of web pages by line-block distribution.
 
 The markup is stripped to lines, one per block, in page order: scripts, styles, comments, menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments leave an empty line. Where a page has an article (or main)
-element with text, lines outside of it are empty too. The lengths of the text outside links are summed over
-sliding windows of ``WINDOW`` lines. A surge is a window that rises above the threshold, a dive one that falls to
-nothing; the lines between a surge and its dive are kept, all of them, however short. The threshold follows the
-page (a share of its largest window), so short articles have one too; within an article element any text counts.
+sidebars, notices, adverts, forms and reader comments leave an empty line.
+
+The lengths of the text outside links are summed over sliding windows of ``WINDOW`` lines, on every page. A surge is
+a window that rises above the threshold, a dive one that falls to nothing; the lines between a surge and its
+dive are kept, all of them, however short. The threshold is ``SHARE`` of the page's largest window, so short pages have
+one too. The lines of each article
+(or main) element, and those outside, are read by themselves. An article element with a surge is kept whole. The spans
+outside are dropped if they are outweighed by an article element, whose text counts ``HINT`` times and for ``FLOOR`` characters at least.
 
 Null and empty pages give the empty text. An element that is never closed, or that holds an article, hides nothing. Repeated rows give repeated
 results, an empty table an empty one; other columns are ignored. Each page is read by itself: no shuffle.
@@ -28,6 +31,11 @@ WINDOW = 3
 #: Outside an article element, a span must reach this share of the page's largest window.
 SHARE = 0.3
 
+#: Characters of a span that may outweigh an article element.
+FLOOR = 86
+#: Text of an article element weighs this much against the largest span outside.
+HINT = 2
+
 _RAW = "script style noscript template textarea title svg math iframe object select".split()
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(_RAW) + r")\b[^>]*>.*?</\1\s*>"
@@ -50,6 +58,7 @@ _HIDING = re.compile(r"(?<![a-z])(?:" + "|".join(_WORDS) + r")(?![a-z])", re.I)
 _HEADING = re.compile(r"(?<![a-z])(?:header|masthead)(?![a-z])", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WHOLE = set("html body article main".split())
+_ARTICLE = ("article", "main")
 
 
 def _closings(tokens: list[re.Match]) -> dict[int, int]:
@@ -85,22 +94,22 @@ def _any_between(sorted_numbers: list[int], low: int, high: int) -> bool:
     return at < len(sorted_numbers) and sorted_numbers[at] < high
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """The lines of a page: text, length outside links, whether inside an article element."""
+def page_lines(page: str) -> list[tuple[str, int, int]]:
+    """The lines of a page: text, length outside links, number of the outermost article element or -1."""
     tokens = list(_TOKEN.finditer(page))
     closed = _closings(tokens)
-    lines: list[tuple[str, int, bool]] = []
+    articles = [i for i, token in enumerate(tokens) if not token[2] and (token[3] or "").lower() in _ARTICLE]
+    lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
     at = 0
-    hidden_until = article_until = link_until = -1
-    articles = [i for i, token in enumerate(tokens) if not token[2] and (token[3] or "").lower() in ("article", "main")]
+    hidden_until = article_until = link_until = article = -1
 
     def flush(empty: bool = False) -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text or empty:
-            lines.append((text, max(0, len(text) - linked), article_until >= 0))
+            lines.append((text, max(0, len(text) - linked), article))
         parts.clear()
         linked = 0
 
@@ -116,16 +125,16 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 if name not in _INLINE:
                     flush()
                 if not token[2]:
-                    if i in closed and _hides(name, token[4], article_until >= 0) and not _any_between(articles, i, closed[i]):
+                    if i in closed and _hides(name, token[4], article >= 0) and not _any_between(articles, i, closed[i]):
                         flush()
                         flush(empty=True)
                         hidden_until = closed[i]
-                    elif name in ("article", "main") and article_until < 0 and i in closed:
-                        article_until = closed[i]
+                    elif name in _ARTICLE and article < 0 and i in closed:
+                        article, article_until = i, closed[i]
                     elif name == "a" and i in closed:
                         link_until = closed[i]
                 elif i == article_until:
-                    article_until = -1
+                    article = article_until = -1
         at = token.end()
     if at < len(page):
         parts.append(page[at:])
@@ -153,15 +162,25 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = page_lines(page)
-    inside = any(article and text for text, _, article in lines)
-    lengths = np.array(
-        [(len(text) if inside else plain) if article or not inside else 0 for text, plain, article in lines], dtype=np.float64
-    )
-    if not lengths.any():
-        return ""
-    largest = np.convolve(lengths, np.ones(WINDOW)).max()
-    kept = spans(lengths, 0.0 if inside else SHARE * largest)
-    return "\n".join(lines[i][0] for first, end in kept for i in range(first, end) if lines[i][0] and (lines[i][2] or not inside))
+    groups: dict[int, list[int]] = {}
+    for i, (text, _, article) in enumerate(lines):
+        groups.setdefault(article, []).append(i)
+    lengths = {g: np.array([lines[i][1] for i in at], dtype=np.float64) for g, at in groups.items()}
+    largest = max((np.convolve(x, np.ones(WINDOW)).max() for x in lengths.values()), default=0.0)
+    floor = SHARE * largest
+    outside = spans(lengths[-1], floor) if -1 in groups else []
+    rival = max((lengths[-1][first:end].sum() for first, end in outside), default=0.0)
+    articles = [g for g in groups if g >= 0 and any(lines[i][0] for i in groups[g])]
+    # An article element with a surge stays whole; the largest stays, alone or with its like, unless the text outside outweighs it.
+    stays = {g for g in articles if spans(lengths[g], floor)}
+    best = max(articles, key=lambda g: lengths[g].sum(), default=-1)
+    kept = set()
+    if best >= 0 and max(HINT * lengths[best].sum(), FLOOR) >= rival:
+        stays.add(best)
+    else:
+        kept = {groups[-1][i] for first, end in outside for i in range(first, end)}
+    kept.update(i for g in stays for i in groups[g])
+    return "\n".join(lines[i][0] for i in sorted(kept) if lines[i][0])
 
 
 def _extract(batches: Iterator[dict]) -> Iterator[dict]:

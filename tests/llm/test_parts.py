@@ -181,6 +181,22 @@ def test_main_text_of_odd_pages():
     assert html_text.main_text("<article>" + "<div class='ad'>a</div>" * 5 + "<p>one</p>" + "<aside>b</aside>" * 9 + "<p>two</p></article>") == "one\ntwo"
 
 
+PARAGRAPHS = ["".join(f"<p>{c}{'word ' * 60}</p>" for c in part) for part in ("ab", "cd")]
+
+
+def starts(page):
+    return "".join(line[0] for line in html_text.main_text(page).split("\n") if line)
+
+
+def test_a_small_article_element_does_not_replace_the_body():
+    body = "".join(PARAGRAPHS)
+    card = "<article><h2>Xteaser</h2><p>Ya card</p></article>"
+    for page in (f"<div>{body}</div>{card}", f"{card}<div>{body}</div>", f"<div>{PARAGRAPHS[0]}{card}{PARAGRAPHS[1]}</div>"):
+        assert starts(page) == "abcd"
+    assert starts(f"<div>{body}</div><article><p>z{'reply ' * 40}</p></article>").startswith("abcd")
+    assert starts(f"<p>elsewhere</p><article>{body}</article><p>elsewhere</p>") == "abcd"
+
+
 @given(st.text(alphabet="<>/\"'= apnvdi!-&;\n", max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_any_markup_is_read(page):
