@@ -1,7 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 The markup is stripped to lines, one per block, in page order: scripts, styles, comments, menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments leave an empty line.
+sidebars, notices, adverts, forms and reader comments leave an empty line, article elements of that kind too. Of the
+elements that only look like it by a class word, or are a form, one that holds the page's dominant text is none.
 
 The lengths of the text outside links are summed over sliding windows of ``WINDOW`` lines, on every page. A surge is
 a window that rises above the threshold, a dive one that falls to nothing; the lines between a surge and its
@@ -10,7 +11,8 @@ one too. The lines of each article
 (or main) element, and those outside, are read by themselves. An article element with a surge is kept whole. The spans
 outside are dropped if they are outweighed by an article element, whose text counts ``HINT`` times and for ``FLOOR`` characters at least.
 
-Null and empty pages give the empty text. An element that is never closed, or that holds an article, hides nothing. Repeated rows give repeated
+Null and empty pages give the empty text. An element that is never closed hides nothing. The fallback content of noscript
+and object elements is not shown and left out. Repeated rows give repeated
 results, an empty table an empty one; other columns are ignored. Each page is read by itself: no shuffle.
 """
 
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,12 @@ SHARE = 0.3
 FLOOR = 86
 #: Text of an article element weighs this much against the largest span outside.
 HINT = 2
+#: An element that looks hidden is the page's body if it holds this many times the text outside of such elements,
+HOLD = 4
+#: and, where there is any, this many characters.
+BODY = 2 * FLOOR
 
-_RAW = "script style noscript template textarea title svg math iframe object select".split()
+_RAW = "script style noscript template textarea title svg annotation-xml annotation iframe object select".split()
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(_RAW) + r")\b[^>]*>.*?</\1\s*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
@@ -45,9 +50,13 @@ _TOKEN = re.compile(
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr".split()
+    "strong sub sup time tt u var wbr "
+    "math semantics mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace mpadded menclose "
+    "mtable mtr mtd".split()
 )
 _HIDDEN = set("nav footer aside form button head dialog menu fieldset".split())
+#: Never the page's body, whatever they hold.
+_ALWAYS_HIDDEN = _HIDDEN - {"form", "fieldset"}
 _WORDS = (
     "ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar widget related "
     "recommended share sharing social cookie cookies consent notice notification popup modal overlay newsletter subscribe "
@@ -57,7 +66,7 @@ _WORDS = (
 _HIDING = re.compile(r"(?<![a-z])(?:" + "|".join(_WORDS) + r")(?![a-z])", re.I)
 _HEADING = re.compile(r"(?<![a-z])(?:header|masthead)(?![a-z])", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_WHOLE = set("html body article main".split())
+_WHOLE = set("html body".split())
 _ARTICLE = ("article", "main")
 
 
@@ -89,16 +98,58 @@ def _hides(name: str, attributes: str, in_article: bool) -> bool:
     return bool(_HIDING.search(labels) or (not in_article and _HEADING.search(labels)))
 
 
-def _any_between(sorted_numbers: list[int], low: int, high: int) -> bool:
-    at = bisect_right(sorted_numbers, low)
-    return at < len(sorted_numbers) and sorted_numbers[at] < high
+def _bodies(page: str, tokens: list[re.Match], closed: dict[int, int]) -> set[int]:
+    """Elements that look hidden and hold the page's dominant text: the one whose own text dominates, others of the same tag, and
+    those around them.
+
+    The text of an element is its own where no other element that looks hidden lies between; so a thread of comments is
+    so many small texts. Text in links counts for nothing.
+    """
+    own: dict[int, int] = {-1: 0}
+    around: dict[int, int] = {}
+    open_: list[int] = []
+    at, always_until, article_until, link_until = 0, -1, -1, -1
+    for i, token in enumerate(tokens):
+        if i > always_until:
+            if i > link_until and token.start() > at:
+                owner = open_[-1] if open_ else -1
+                own[owner] = own.get(owner, 0) + len(" ".join(page[at : token.start()].split()))
+            while open_ and i >= closed[open_[-1]]:
+                open_.pop()
+            name = (token[3] or "").lower()
+            if name and not token[2] and i in closed:
+                if _hides(name, token[4], i < article_until):
+                    if name in _ALWAYS_HIDDEN:
+                        always_until = closed[i]
+                    else:
+                        around[i] = open_[-1] if open_ else -1
+                        open_.append(i)
+                if name in _ARTICLE:
+                    article_until = max(article_until, closed[i])
+                elif name == "a":
+                    link_until = closed[i]
+        at = token.end()
+    own[-1] += len(" ".join(page[at:].split()))
+    seen = own.pop(-1)
+    best = max(own, key=own.__getitem__, default=-1)
+    if best < 0:
+        return set()
+    article = tokens[best][3].lower() in _ARTICLE
+    enough = own[best] > seen if article else own[best] > HOLD * seen and (own[best] >= BODY or not seen)
+    found: set[int] = set()
+    for element in around if enough else ():
+        if tokens[element][0] == tokens[best][0]:
+            while element >= 0 and element not in found:
+                found.add(element)
+                element = around[element]
+    return found
 
 
 def page_lines(page: str) -> list[tuple[str, int, int]]:
     """The lines of a page: text, length outside links, number of the outermost article element or -1."""
     tokens = list(_TOKEN.finditer(page))
     closed = _closings(tokens)
-    articles = [i for i, token in enumerate(tokens) if not token[2] and (token[3] or "").lower() in _ARTICLE]
+    bodies = _bodies(page, tokens, closed)
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
@@ -125,7 +176,7 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
                 if name not in _INLINE:
                     flush()
                 if not token[2]:
-                    if i in closed and _hides(name, token[4], article >= 0) and not _any_between(articles, i, closed[i]):
+                    if i in closed and i not in bodies and _hides(name, token[4], article >= 0):
                         flush()
                         flush(empty=True)
                         hidden_until = closed[i]

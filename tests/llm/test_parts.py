@@ -197,6 +197,19 @@ def test_a_small_article_element_does_not_replace_the_body():
     assert starts(f"<p>elsewhere</p><article>{body}</article><p>elsewhere</p>") == "abcd"
 
 
+def test_what_looks_hidden():
+    body = "".join(PARAGRAPHS)
+    thread = "<div id=comments><h3>C</h3><ol class=comment-list>" + f"<li class=comment><article class=comment-body><p>z{'reply ' * 70}</p></article></li>" * 9 + "</ol></div>"
+    cards = f"<aside class=related><article><p>z{'card ' * 90}</p></article></aside>"
+    for around in ("<article>{}</article>", "<div>{}</div>", "<div class='content has-sidebar'>{}</div>", "<article class='post has-sidebar'>{}</article>"):
+        assert starts(around.format(body) + thread + cards) == "abcd"
+    assert starts(f"<h1>title</h1><div class='page menu-open'><div class=sidebar>z</div>{body}{thread}</div>") == "tabcd"
+    assert starts("".join(f"<div class='row has-sidebar'>{part}</div>" for part in PARAGRAPHS)) == "abcd"
+    assert starts(f"<article>{body}</article><div class=comments><p>z{'reply ' * 300}</p></div>") == "abcd"
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>tex</annotation></semantics></math>"
+    assert html_text.main_text(f"<article><p>so {formula} holds</p></article>") == "so E=m holds"
+
+
 @given(st.text(alphabet="<>/\"'= apnvdi!-&;\n", max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_any_markup_is_read(page):
