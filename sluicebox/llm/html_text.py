@@ -5,9 +5,9 @@ sidebars, notices, adverts, forms and reader comments leave an empty line, artic
 elements that only look like it by a class word, or are a form, one that holds the page's dominant text is none.
 
 The lengths of the text outside links are summed over sliding windows of ``WINDOW`` lines, on every page. A surge is
-a window that rises above the threshold, a dive one that falls to nothing; the lines between a surge and its
-dive are kept, all of them, however short. The threshold is ``SHARE`` of the page's largest window, so short pages have
-one too. The lines of each article
+a window that rises above the threshold, a dive one that falls to nothing; the lines up to a dive on either side of a
+surge are kept, all of them, however short. The threshold is ``SHARE`` of the page's largest window, so short pages have
+one too, but never above ``FLOOR`` characters, so one very long paragraph does not raise it. The lines of each article
 (or main) element, and those outside, are read by themselves. An article element with a surge is kept whole. The spans
 outside are dropped if they are outweighed by an article element, whose text counts ``HINT`` times and for ``FLOOR`` characters at least.
 
@@ -32,7 +32,7 @@ WINDOW = 3
 #: Outside an article element, a span must reach this share of the page's largest window.
 SHARE = 0.3
 
-#: Characters of a span that may outweigh an article element.
+#: Outside an article element, so many characters in a window are enough, however large the largest window is.
 FLOOR = 86
 #: Text of an article element weighs this much against the largest span outside.
 HINT = 2
@@ -194,15 +194,19 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
 
 
 def spans(lengths: np.ndarray, floor: float) -> list[tuple[int, int]]:
-    """Surge and dive points: [first, end) of the lines under each rise of the window sums above ``floor``."""
+    """Surge and dive points: [first, end) of the lines around each rise of the window sums above ``floor``.
+
+    A surge reaches back over the lines before it as a dive reaches forward: up to ``WINDOW`` lines without text.
+    """
     sums = np.convolve(lengths, np.ones(WINDOW))[WINDOW - 1 :]  # of each line and those after it
     found, i, n = [], 0, len(lengths)
     while i < n:
-        if lengths[i] > 0 and sums[i] > floor:
+        if lengths[i] > 0:
             end = i
             while end < n and sums[end] > 0:
                 end += 1
-            found.append((i, end))
+            if sums[i:end].max() > floor:
+                found.append((i, end))
             i = end
         else:
             i += 1
@@ -218,7 +222,7 @@ def main_text(page: str | None) -> str:
         groups.setdefault(article, []).append(i)
     lengths = {g: np.array([lines[i][1] for i in at], dtype=np.float64) for g, at in groups.items()}
     largest = max((np.convolve(x, np.ones(WINDOW)).max() for x in lengths.values()), default=0.0)
-    floor = SHARE * largest
+    floor = min(SHARE * largest, FLOOR)
     outside = spans(lengths[-1], floor) if -1 in groups else []
     rival = max((lengths[-1][first:end].sum() for first, end in outside), default=0.0)
     articles = [g for g in groups if g >= 0 and any(lines[i][0] for i in groups[g])]

@@ -210,6 +210,15 @@ def test_what_looks_hidden():
     assert html_text.main_text(f"<article><p>so {formula} holds</p></article>") == "so E=m holds"
 
 
+def test_one_very_long_paragraph_drops_nothing_else():
+    lines = ["t" * 40, "a" * 100, "b" * 100, "c" * 5000]
+    assert html_text.main_text("".join(f"<p>{x}</p>" for x in lines)) == "\n".join(lines)
+    gap = "<div class=ad>ad</div><aside>more</aside><div class=widget>w</div>"
+    parts = ["c" * 5000, *(x * 300 for x in "def"), "g" * 100]
+    page = f"<p>{parts[0]}</p>{gap}" + "".join(f"<p>{x}</p>" for x in parts[1:4]) + gap + f"<p>{parts[4]}</p>{gap}<p>junk</p>"
+    assert html_text.main_text(page) == "\n".join(parts)
+
+
 @given(st.text(alphabet="<>/\"'= apnvdi!-&;\n", max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_any_markup_is_read(page):
