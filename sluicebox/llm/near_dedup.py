@@ -191,10 +191,11 @@ def _in_blocks(nodes: DataFrame, limit: int) -> DataFrame:
 def small_nodes(classes: DataFrame, trees: int, limit: int = NODE_LIMIT) -> DataFrame:
     """Rows (node, family, class, n, signature) of nodes of about ``limit`` classes at most.
 
-    Larger nodes are branched again; one that a chosen token keeps together is a ``family`` and split into blocks.
+    Larger nodes are branched again; one that a chosen token keeps together is a ``family`` and split into blocks. Each
+    level is written once, so that no job on a later level branches the earlier ones again.
     """
     roots = [node_hash("root", t) for t in range(trees)]
-    level = map_batches(classes.select("class", "n", "signature"), _branched(roots), _NODE).drop("parent")
+    level = written(map_batches(classes.select("class", "n", "signature"), _branched(roots), _NODE).drop("parent"), "level")
     done: list[DataFrame] = []
     for depth in count():
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit)
@@ -205,7 +206,7 @@ def small_nodes(classes: DataFrame, trees: int, limit: int = NODE_LIMIT) -> Data
         big = level.join(large, F.col("node") == F.col("large"), "left_semi")
         if depth == MAX_LEVELS:
             return reduce(DataFrame.unionByName, done, _in_blocks(big, limit))
-        children = map_batches(big, _branched(None), _NODE)
+        children = written(map_batches(big, _branched(None), _NODE), "level")
         kept = children.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("kept"))
         kept = kept.join(large, F.col("parent") == F.col("large")).where(F.col("kept") >= DENSE * F.col("size"))
         dense = written(kept.select(F.col("parent").alias("dense")).distinct(), "dense")
