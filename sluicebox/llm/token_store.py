@@ -7,7 +7,8 @@ writes (so a lost executor leaves no half file) with its table, its documents, i
 it can be decoded without any other row, and from any checkpoint. Memory is bounded by a segment or one document.
 
 Whole texts are encoded by parts at single spaces between two other characters. The tokenizer's own word split never
-crosses such a space, so the ids are those of the whole text; the parts recur and are kept, up to ``KEPT``.
+crosses such a space, so the ids are those of the whole text; the parts recur and are kept, up to ``KEPT``. A text that
+holds an added token of the tokenizer, such as ``<|endoftext|>``, is given to the tokenizer whole, which reads it as that token.
 
 A null text is empty: it has the end id only. Equal doc_ids are ordered by a hash of their texts, a null doc_id comes
 first. An empty table gives an empty dataset. Other columns are ignored.
@@ -107,13 +108,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.first = _Parts(tokenizer, self.kind, "")
         self.later = _Parts(tokenizer, self.kind, " ", self.first)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as the little-endian numbers of ``kind``."""
+        if any(token in text for token in self.added):
+            return self.first.whole(text)
         first, *rest = text.split(" ")
         try:
             return self.first[first] + b"".join(map(self.later.__getitem__, rest))

@@ -250,7 +250,6 @@ def encoded(docs, tokenizer):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer)
-    whole.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in docs:
         ids = whole.encode(text or "", add_special_tokens=False).ids + [2]
@@ -267,6 +266,18 @@ def test_token_query(spark):
     assert found == encoded(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def test_added_tokens_are_read_as_the_library_reads_them(spark, tmp_path):
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endo ftext|> <|endoftext", "plain", None]
+    docs = list(enumerate(texts))
+    assert encoded(docs, tokenizer)[0][2] == 5
+    token_store.write(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), tokenizer, str(tmp_path / "t"))
+    found = sorted(map(tuple, token_store.read_documents(spark, str(tmp_path / "t")).collect()))
+    assert found == encoded(docs, tokenizer)
+
+
 def test_tokens_of_awkward_rows(spark, tmp_path, monkeypatch):
     import public_tokenizers
 
