@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluicebox.llm import chat, classifier, exact_dedup, html_text, mixing, near_dedup, packing, quality_rules, token_store, warc
+from sluicebox.llm import (
+    chat, classifier, decontaminate, exact_dedup, filter_audit, html_text, infilling, mixing, near_dedup, packing, quality_rules,
+    token_store, warc,
+)
 from sluicebox.llm.common import query, table
 from sluicebox.scratch import scratch_path
 
@@ -251,3 +254,107 @@ _FILL = """
 )
 def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@query(
+    "op11_fill_in_middle",
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex
+      FROM documents),
+    h AS (
+      SELECT *, ('0x' || substr(hex, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(hex, 9, 8))::BIGINT % (n + 1) AS b,
+        ('0x' || substr(hex, 17, 8))::BIGINT % 100 AS c, ('0x' || substr(hex, 25, 8))::BIGINT % 100 AS d
+      FROM d),
+    f AS (
+      SELECT doc_id, text, n, least(a, b) AS x, greatest(a, b) AS y,
+        CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain'
+          WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form
+      FROM h),
+    o AS (
+      SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+        CASE form WHEN 'plain' THEN text
+          WHEN 'psm' THEN '<P>' || text[1:x] || '<S>' || text[y + 1:] || '<M>' || text[x + 1:y]
+          ELSE '<S>' || text[y + 1:] || '<P>' || text[1:x] || '<M>' || text[x + 1:y] END AS output
+      FROM f),
+    r AS (
+      SELECT *, strpos(output, '<P>') AS p, strpos(output, '<S>') AS s, strpos(output, '<M>') AS m FROM o)
+    SELECT doc_id, n, form, prefix_chars, middle_chars, sha256(output) AS output_sha256,
+      sha256(CASE form WHEN 'plain' THEN output
+        WHEN 'psm' THEN output[4:s - 1] || output[m + 3:] || output[s + 3:m - 1]
+        ELSE output[p + 3:m - 1] || output[m + 3:] || output[4:p - 1] END) AS restored_sha256
+    FROM r
+    """,
+)
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return infilling.read_back(infilling.transform(table(spark, folder, "documents")))
+
+
+@query(
+    "op12_decontaminate",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+      FROM documents),
+    b AS (
+      SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+      FROM benchmark),
+    starts AS (SELECT item, ws, least(len(ws), 10) AS size, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM b WHERE len(ws) > 0),
+    windows AS MATERIALIZED (SELECT DISTINCT item, size, array_to_string(ws[i:i + size - 1], ' ') AS gram FROM starts),
+    sizes AS (SELECT DISTINCT size FROM windows),
+    places AS (SELECT row, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d CROSS JOIN sizes WHERE len(ws) >= size),
+    grams AS (SELECT row, i, size, array_to_string(ws[i:i + size - 1], ' ') AS gram FROM places),
+    found AS MATERIALIZED (SELECT g.row, g.i, g.size, w.item FROM grams g JOIN windows w ON g.size = w.size AND g.gram = w.gram),
+    words AS (
+      SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + size)) AS p FROM found) GROUP BY row),
+    items AS (
+      SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row, item FROM found) GROUP BY row)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
+    FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)
+    """,
+)
+def op12_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+@query(
+    "op13_filter_audit",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+    f AS (
+      SELECT doc_id, part, CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+      FROM w),
+    l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    c AS (
+      SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    orders AS (
+      SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    steps AS (
+      SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS earlier
+      FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+    m AS (
+      SELECT c.*, s.*, contains(fails, own) AS hit, translate(fails, earlier, '') = fails AS present, fails = own AS alone
+      FROM c CROSS JOIN steps s),
+    counted AS (
+      SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (present AND NOT hit), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (present AND hit), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (NOT present AND hit), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (present AND hit AND good), 0)::BIGINT AS good_lost,
+        coalesce(sum(n) FILTER (present AND hit AND toxic), 0)::BIGINT AS toxic_lost
+      FROM m GROUP BY part, filter_order, step, own)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+      (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+    FROM counted
+    """,
+)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
