@@ -28,6 +28,14 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(spark, path)
 
 
+@query("csv_split_quoted", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_split_quoted(spark: SparkSession, folder: str) -> DataFrame:
+    """Two files whose texts hold line breaks, read in blocks."""
+    path = scratch_path(spark, "csv")
+    write_csv(table(spark, folder, "documents").coalesce(2), path)
+    return read_csv(spark, path, split=True)
+
+
 @query(
     "csv_infer",
     """SELECT p_partkey, p_name, CASE WHEN p_size <> 7 THEN CAST(p_size AS BIGINT) END AS size,

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluicebox.scratch import written
+from sluicebox.sources.blocks import ascii_based
 from sluicebox.sources.chunks import placed
+from sluicebox.sources.quoted import quoted_records
 
 # Words that mean "missing" in a CSV cell. Fixed values.
 NA_WORDS = (
@@ -21,14 +23,16 @@ NA_WORDS = (
 TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
 CORRUPT = "_corrupt_record"
+POSITION = "_position"
 
 
 @dataclass(frozen=True)
 class CsvOptions:
     """How to read a CSV file.
 
-    ``multi_line`` allows line breaks inside quotes, at the price of one task per file; switch it off for large files
-    without such cells. ``usecols`` keeps columns (unknown names are an error), ``nrows`` takes so many rows, by file, block and place,
+    ``multi_line`` allows line breaks inside quotes. Files larger than an input split are then read in blocks by all tasks
+    (see ``quoted``), others by one task each; ``split`` forces one or the other. Both give the same rows. Blocks need an encoding in which
+    line breaks, quotes and delimiters are single bytes, as in UTF-8. ``usecols`` keeps columns (unknown names are an error), ``nrows`` takes so many rows, by file, block and place,
     ``dtype`` sets types by column, ``na_values`` adds missing-value words, ``parse_dates`` names timestamp columns,
     ``names`` sets column names (then ``header`` says whether a header line is skipped), ``skiprows`` leaves out the
     first rows of each file, ``infer`` turns type inference off, ``check_width`` the check for rows with too many fields.
@@ -37,6 +41,7 @@ class CsvOptions:
     encoding: str = "utf-8"
     delimiter: str = ","
     multi_line: bool = True
+    split: bool | None = None
     header: bool = True
     names: tuple[str, ...] | None = None
     usecols: tuple[str, ...] | None = None
@@ -171,10 +176,40 @@ def _chosen(names: Sequence[str], o: CsvOptions) -> list[str]:
     return [c for c in names if c in o.usecols]
 
 
+def _in_blocks(spark: SparkSession, path: str | Sequence[str], o: CsvOptions) -> bool:
+    """Are the files to be read in blocks? Looks at the list of files only."""
+    if not o.multi_line or o.split is False:
+        return False
+    if not ascii_based(o.encoding):
+        if o.split:
+            raise ValueError(f"files in {o.encoding} cannot be cut at a byte")
+        return False
+    if o.split:
+        return True
+    limit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return not files.where(F.col("length") > limit).isEmpty()
+
+
+def _parsed(spark: SparkSession, path: str | Sequence[str], o: CsvOptions, names: Sequence[str]) -> DataFrame:
+    """The records of files that are read in blocks, as text with ``_position``, their place among all records."""
+    found = quoted_records(spark, path, o.delimiter, o.encoding, o.skiprows + int(o.header))
+    ddl = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in [*names, CORRUPT])
+    options = {
+        "sep": o.delimiter, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "nullValue": "",
+        "columnNameOfCorruptRecord": CORRUPT,
+    }
+    return found.select("position", F.from_csv("record", ddl, options).alias("row")).select(
+        "row.*", F.col("position").alias(POSITION)
+    )
+
+
 def _scan(spark: SparkSession, path: str | Sequence[str], o: CsvOptions) -> tuple[DataFrame, list[str], list[str]]:
     """The file as text with its raw malformed rows, all its column names, and the chosen ones."""
     names = _names(spark, path, o)
     columns = _chosen(names, o)
+    if _in_blocks(spark, path, o):
+        return _parsed(spark, path, o, names), names, columns
     reader = _reader(spark, replace(o, header=o.header and not o.skiprows))
     text = reader.schema(_text_schema([*names, CORRUPT])).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     if o.skiprows:
@@ -199,6 +234,8 @@ def _without_first(text: DataFrame, rows: int, names: Sequence[str]) -> DataFram
 
 def _first_rows(text: DataFrame, rows: int) -> DataFrame:
     """The first rows by file, block and place, written down: types are inferred from the very rows that are returned."""
+    if POSITION in text.columns:  # fixed by the files alone
+        return text.where(F.col(POSITION) < rows)
     ordered = placed(text).orderBy("_file", "_block", "_place").limit(rows)
     return written(ordered.drop("_file", "_block", "_place"), "first")
 

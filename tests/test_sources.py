@@ -12,6 +12,7 @@ from sluicebox.sources.jdbc import (
     KeyRange, bound_query, bounds_query, list_views, page_ranges, read_jdbc, source_options, tables_of, with_parameters,
 )
 from sluicebox.sources.json_files import read_json
+from sluicebox.sources.quoted import quoted_records
 
 SAMPLE = "id,name,value\n1,Alice,100\n2,Bob,200\n3,Charlie,300\n"
 
@@ -138,6 +139,71 @@ def test_csv_encoding_and_delimiter(spark, tmp_path):
     assert df.first().name == "Muñoz"
 
 
+RECORDS = ['1,"te\nx"', '2,"a ""q"" \r\n,"', '3,y"z', "", '4,"\n\n"', '5,"x"y,"p\n"""', '6,"open\nend']
+
+
+@pytest.fixture
+def block_size(spark):
+    """Sets the size of input splits."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {name: spark.conf.get(name) for name in names}
+
+    def size(n: int):
+        spark.conf.set(names[0], str(n))
+        spark.conf.set(names[1], "0")
+
+    yield size
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_quoted_records_do_not_depend_on_blocks(spark, tmp_path, block_size):
+    """The block boundary stands at every byte once; the rows are those of one task reading the whole file."""
+    raw = b"\xef\xbb\xbf" + "\n".join(RECORDS).encode()
+    (tmp_path / "a.csv").write_bytes(raw)
+    (tmp_path / "b.csv").write_bytes(b'1,"2\r\n3",4\r\n5,6,7\r\n')
+    names = ("a", "b", "c")
+    whole = sorted(map(tuple, read_csv(spark, str(tmp_path), names=names, header=False, infer=False, split=False).collect()), key=repr)
+    assert len(whole) == 8
+    for n in (4, 21, 10_000):
+        block_size(n)
+        rows = read_csv(spark, str(tmp_path), names=names, header=False, infer=False, split=True).collect()
+        assert sorted(map(tuple, rows), key=repr) == whole, n
+    expected = sorted(map(tuple, quoted_records(spark, str(tmp_path / "a.csv"), ",", "utf-8", 0).collect()))
+    assert [r[0] for r in expected] == list(range(6))
+    for n in range(1, len(raw) + 1):
+        block_size(n)
+        assert sorted(map(tuple, quoted_records(spark, str(tmp_path / "a.csv"), ",", "utf-8", 0).collect())) == expected, n
+
+
+def test_one_quoted_file_has_more_tasks_than_files(spark, tmp_path, block_size):
+    rows = [(i, f'line "{i}"\nnext, {i}') for i in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, text string").coalesce(1)
+    write_csv(df, str(tmp_path / "out"))
+    block_size(20_000)
+    found = read_csv(spark, str(tmp_path / "out"))  # larger than a block, so it is split without being asked to
+    assert found.rdd.getNumPartitions() > 2
+    assert sorted(map(tuple, found.collect())) == rows
+    first = read_csv(spark, str(tmp_path / "out"), nrows=1500)
+    assert sorted(map(tuple, first.collect())) == rows[:1500]
+    skipped = read_csv(spark, str(tmp_path / "out"), skiprows=2000, header=False, names=("id", "text"))
+    assert sorted(map(tuple, skipped.collect())) == rows[1999:]
+    with pytest.raises(ValueError, match="cut at a byte"):
+        read_csv(spark, str(tmp_path / "out"), encoding="utf-16", split=True, names=("id", "text"))
+
+
+def test_split_files_report_long_rows(spark, tmp_path, block_size):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b\n1,"x\ny"\n2,z,"ex\ntra"\n3\n')
+    for n in (3, 9, 1000):
+        block_size(n)
+        good, bad = read_csv_quarantined(spark, str(path), split=True)
+        assert sorted(tuple(r) for r in good.collect()) == [(1, "x\ny"), (3, None)]
+        assert [r.raw for r in bad.collect()] == ['2,z,"ex\ntra"']
+        with pytest.raises(PySparkException, match="too many fields"):
+            read_csv(spark, str(path), split=True).select("b").collect()
+
+
 def test_chunks_of_two(spark, sample_csv):
     chunked = with_chunks(read_csv(spark, sample_csv), 2)
     assert sorted(r["count"] for r in chunked.groupBy("_file", "chunk_id").count().collect()) == [1, 2]
