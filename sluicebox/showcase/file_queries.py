@@ -288,6 +288,44 @@ def json_object_broken(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _one_document(spark: SparkSession, records: DataFrame, order: str, opening: str, closing: str) -> str:
+    """A single file with ``value`` of all records between the brackets, written record by record: one file has one writer."""
+    path = scratch_path(spark, "json")
+    first, last = records.agg(F.min(order), F.max(order)).first()
+    text = F.concat(
+        F.when(F.col(order) == first, opening).otherwise(","), F.col("value"), F.when(F.col(order) == last, closing).otherwise("")
+    )
+    records.repartition(1).sortWithinPartitions(order).select(text.alias("value")).write.text(path)
+    return path
+
+
+@query("json_split_array", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def json_split_array(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as one array in one file, read in blocks."""
+    documents = table(spark, folder, "documents")
+    records = documents.select("doc_id", F.to_json(F.struct(*documents.columns)).alias("value"))
+    found = read_json(spark, _one_document(spark, records, "doc_id", "[", "]"), layout="array")
+    return found.select(*documents.columns)
+
+
+@query(
+    "json_split_object",
+    """SELECT 'k' || doc_id AS _key, CASE WHEN doc_id % 5 <> 0 THEN text END AS text, n_chars, NULL::INT AS broken_chars FROM documents WHERE doc_id % 7 <> 0
+       UNION ALL SELECT NULL, NULL, NULL, (length(doc_id::VARCHAR) + 16)::INT FROM documents WHERE doc_id % 7 = 0""",
+)
+def json_split_object(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as one object in one file: every seventh value is broken, every fifth key comes again without its text."""
+    documents = table(spark, folder, "documents")
+    key = F.concat(F.lit('"k'), F.col("doc_id"), F.lit('": '))
+    value = F.concat(key, F.to_json(F.struct("text", "n_chars")))
+    again = F.when(F.col("doc_id") % 5 == 0, F.concat(value, F.lit(", "), key, F.to_json(F.struct("n_chars")))).otherwise(value)
+    entry = F.when(F.col("doc_id") % 7 == 0, F.concat(key, F.lit('{"n": oops}'))).otherwise(again)
+    path = _one_document(spark, documents.select("doc_id", entry.alias("value")), "doc_id", "{", "}")
+    found = read_json(spark, path, layout="object", schema="text string, n_chars bigint, _corrupt_record string")
+    broken = F.length(F.regexp_replace("_corrupt_record", r"^\s+|\s+$", ""))
+    return found.select("_key", "text", "n_chars", broken.alias("broken_chars"))
+
+
 @query(
     "csv_nrows",
     """SELECT * FROM (SELECT s_suppkey, s_name, s_acctbal FROM supplier ORDER BY s_suppkey LIMIT 7)""",

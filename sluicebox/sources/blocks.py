@@ -32,12 +32,13 @@ def ascii_based(encoding: str) -> bool:
 
 
 def scan(spark: SparkSession, path: str | Sequence[str], separator: str) -> DataFrame:
-    """(file, block, key, piece): the text between separators as bytes; key stands for file and block."""
+    """(file, length, block, key, piece): the text between separators as bytes; length is the file's, key stands for file and block."""
     text = spark.read.option("recursiveFileLookup", True).option("lineSep", separator).text(path)
     placed = text.select(
-        F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.col("value").cast("binary").alias("piece")
+        F.input_file_name().alias("file"), F.col("_metadata.file_size").alias("length"), F.input_file_block_start().alias("block"),
+        F.col("value").cast("binary").alias("piece"),
     )
-    return placed.select("file", "block", F.xxhash64("file", "block").alias("key"), "piece")
+    return placed.select("file", "length", "block", F.xxhash64("file", "block").alias("key"), "piece")
 
 
 class Summary(Protocol):
@@ -59,21 +60,22 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int,
 
 
 def summaries(pieces: DataFrame, fresh: Callable[[], Summary], columns: Mapping[str, str]) -> list:
-    """One row a block, in file order: file, block, key and the ``columns`` of its summary."""
-    schema = "file string, block bigint, key bigint, " + ", ".join(f"{name} {kind}" for name, kind in columns.items())
+    """One row a block, in file order: file, length, block, key and the ``columns`` of its summary."""
+    own = ["file", "length", "block"]
+    schema = "file string, length bigint, block bigint, key bigint, " + ", ".join(f"{name} {kind}" for name, kind in columns.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, place, summary = None, None, None
 
         def row() -> pa.RecordBatch:
             values = [*place, current, *summary.row()]
-            return pa.RecordBatch.from_pylist([dict(zip(["file", "block", "key", *columns], values, strict=True))], schema=arrow)
+            return pa.RecordBatch.from_pylist([dict(zip([*own, "key", *columns], values, strict=True))], schema=arrow)
 
         for key, first, end, batch in _blocks(batches):
             if key != current:
                 if summary is not None:
                     yield row()
-                current, place, summary = key, (batch.column("file")[first].as_py(), batch.column("block")[first].as_py()), fresh()
+                current, place, summary = key, [batch.column(c)[first].as_py() for c in own], fresh()
             for piece in batch.column("piece")[first:end].to_pylist():
                 summary.add(piece)
         if summary is not None:

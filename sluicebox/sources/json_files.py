@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicebox.scratch import scratch_path, written
+from sluicebox.sources import documents
+
 LAYOUTS = ("lines", "array", "object")
 KEY = "_key"
 CORRUPT = "_corrupt_record"
@@ -26,16 +29,18 @@ def read_json(
     """A JSON file or folder as a table.
 
     ``columns`` keeps those that exist, in the given order. ``nrows`` keeps that many rows; for the array and object
-    layouts 0 means all. Files of the array and object layouts are read by one task each. A malformed record is kept
-    as text in ``_corrupt_record``; with ``strict`` it is an error.
+    layouts 0 means all. Documents of the array and object layouts are read in blocks by all tasks and written down as
+    records first (see ``documents``), so they may be of any size. A malformed record is kept as text in ``_corrupt_record``; with
+    ``strict`` it is an error. A raw line break within a record of an array is read as a space.
     """
     if layout not in LAYOUTS:
         raise ValueError(f"unsupported layout {layout!r}: use one of {', '.join(LAYOUTS)}")
     if layout == "object":
         df = _read_object(spark, path, schema, encoding, strict)
     else:
-        reader = spark.read.option("multiLine", layout == "array").option("encoding", encoding)
-        reader = reader.option("recursiveFileLookup", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+        if layout == "array":
+            path, encoding = _lines_of_arrays(spark, path, encoding), "utf-8"
+        reader = spark.read.option("encoding", encoding).option("recursiveFileLookup", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
         df = (reader.schema(schema) if schema is not None else reader).json(path)
     if nrows is not None and (nrows or layout == "lines"):
         df = df.limit(nrows)  # any so many rows: the types are known already
@@ -44,40 +49,68 @@ def read_json(
     return df
 
 
+def _lines_of_arrays(spark: SparkSession, path: str | Sequence[str], encoding: str) -> str:
+    """A folder with the records of array documents, one a line."""
+    lines = scratch_path(spark, "lines")
+    found = documents.records(spark, path, "{[", encoding)
+    found.select(F.regexp_replace("record", r"[\r\n]+", " ").alias("value")).write.text(lines)
+    return lines
+
+
 def _read_object(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None, encoding: str, strict: bool
 ) -> DataFrame:
-    """Each top-level key is a row: ``_key`` and the columns of its value.
+    """Each top-level key is a row: ``_key`` and the columns of its value. Of equal keys of a document the last one counts.
 
-    A document that is no object of objects is one row with its text in ``_corrupt_record``; the column is there if
-    there is such a document, or if ``schema`` names it.
+    What is no entry, or all of a document that is no object of objects, is a row with its text in ``_corrupt_record``; the
+    column is there if there is such a row, or if ``schema`` names it.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    documents = files.select(F.col("path").alias("_path"), F.decode("content", encoding).alias("_text"))
-    entries = F.from_json("_text", "map<string,string>")
-    whole = F.try_parse_json("_text").isNotNull() & entries.isNotNull()
+    found = documents.records(spark, path, " {", encoding)
+    entries = F.from_json(F.concat(F.lit("{"), F.col("record"), F.lit("}")), "map<string,string>")
+    parsed = found.withColumn("_entries", F.when(~F.col("broken"), entries))
     if strict:
-        complaint = F.raise_error(F.concat(F.lit("malformed JSON document: "), F.col("_path"))).cast("boolean")
-        whole = F.when(whole, F.lit(True)).otherwise(complaint)
-    found = documents.withColumn("_entries", F.when(whole, entries))
-    rows = found.where("_entries IS NOT NULL").select(F.explode("_entries").alias(KEY, "_value"))
+        complaint = F.raise_error(F.concat(F.lit("malformed JSON document: "), F.col("file")))
+        parsed = parsed.withColumn("_entries", F.coalesce("_entries", complaint.cast("map<string,string>")))
+    order = F.struct("block", "place", "pos").alias("order")
+    every = parsed.where("_entries IS NOT NULL").select("file", "block", "place", F.posexplode("_entries").alias("pos", KEY, "_value"))
+    every = written(every.select("file", order, KEY, "_value"), "entries")
+    rows = _last_of_each(every)
     if schema is None:
         schema = _value_schema(rows)
-    parsed = T.StructType.fromDDL(schema.removeprefix("STRUCT<").removesuffix(">")) if isinstance(schema, str) else schema
-    names = [f.name for f in parsed.fields]
-    fields = T.StructType([f for f in parsed.fields if f.name != CORRUPT])
+    fields = T.StructType.fromDDL(schema.removeprefix("STRUCT<").removesuffix(">")) if isinstance(schema, str) else schema
+    names = [f.name for f in fields.fields]
+    fields = T.StructType([f for f in fields.fields if f.name != CORRUPT])
     good = rows.select(KEY, F.from_json("_value", fields).alias("_row")).select(KEY, "_row.*")
-    broken = found.where("_entries IS NULL")
+    broken = parsed.where("_entries IS NULL")
     if strict or (CORRUPT not in names and broken.isEmpty()):
         return good
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields.fields]
-    bad = broken.select(F.lit(None).cast("string").alias(KEY), *nothing, F.col("_text").alias(CORRUPT))
+    bad = broken.select(F.lit(None).cast("string").alias(KEY), *nothing, F.col("record").alias(CORRUPT))
     return good.withColumn(CORRUPT, F.lit(None).cast("string")).unionByName(bad)
 
 
+def _last_of_each(entries: DataFrame) -> DataFrame:
+    """The entries but those whose key comes again in their document. Only keys are shuffled, values stay where they are."""
+    places = entries.groupBy("file", KEY).agg(F.count(F.lit(1)).alias("times"), F.max("order").alias("last"))
+    repeated = written(places.where("times > 1").select(F.col("file").alias("of"), F.col(KEY).alias("again"), "last"), "repeated")
+    if repeated.isEmpty():
+        return entries
+    earlier = (F.col("file") == F.col("of")) & (F.col(KEY) == F.col("again")) & (F.col("order") < F.col("last"))
+    return entries.join(repeated, earlier, "left_anti")
+
+
+_REPEATED_FIELDS = "spark.sql.variant.allowDuplicateKeys"
+
+
 def _value_schema(rows: DataFrame) -> str:
-    """The common schema of all values, found by one aggregation."""
-    found = rows.agg(F.schema_of_variant_agg(F.parse_json("_value"))).first()[0]
+    """The common schema of all values, found by one aggregation; of a field that a value repeats the last counts."""
+    spark = rows.sparkSession
+    before = spark.conf.get(_REPEATED_FIELDS)
+    spark.conf.set(_REPEATED_FIELDS, "true")
+    try:
+        found = rows.agg(F.schema_of_variant_agg(F.try_parse_json("_value"))).first()[0]
+    finally:
+        spark.conf.set(_REPEATED_FIELDS, before)
     if found == "VOID":  # no whole document
         return "STRUCT<>"
     if not found.startswith("OBJECT<"):

@@ -98,6 +98,23 @@ class _Records:
             yield from self._record(False)
 
 
+def _starts(rows: Sequence, mark: bytes, skip: int) -> dict[int, tuple]:
+    """How each block is to be read, from the summaries of all blocks in file order."""
+    starts: dict[int, tuple] = {}
+    file, two, inside, number, before = None, False, False, 0, 0
+    for row in rows:
+        if row["file"] != file:
+            before += max(0, number - skip)
+            file, two, inside, number = row["file"], row["two"], False, 0
+        starts[row["key"]] = (mark, row["block"], two, inside, number, skip, before)
+        number += row["begun_1" if inside else "begun_0"]
+        inside = row["inside_1" if inside else "inside_0"]
+    return starts
+
+
+_SUMMARY = {"two": "boolean", "inside_0": "boolean", "begun_0": "bigint", "inside_1": "boolean", "begun_1": "bigint"}
+
+
 def quoted_records(
     spark: SparkSession, path: str | Sequence[str], delimiter: str, encoding: str, skip: int
 ) -> DataFrame:
@@ -107,16 +124,7 @@ def quoted_records(
     """
     mark = delimiter.encode(encoding)
     pieces = blocks.scan(spark, path, "\n")
-    columns = {"two": "boolean", "inside_0": "boolean", "begun_0": "bigint", "inside_1": "boolean", "begun_1": "bigint"}
-    starts: dict[int, tuple] = {}
-    file, two, inside, number, before = None, False, False, 0, 0
-    for row in blocks.summaries(pieces, lambda: _Quotes(mark), columns):
-        if row["file"] != file:
-            before += max(0, number - skip)
-            file, two, inside, number = row["file"], row["two"], False, 0
-        starts[row["key"]] = (mark, row["block"], two, inside, number, skip, before)
-        number += row["begun_1" if inside else "begun_0"]
-        inside = row["inside_1" if inside else "inside_0"]
+    starts = _starts(blocks.summaries(pieces, lambda: _Quotes(mark), _SUMMARY), mark, skip)
     found = blocks.records(pieces, starts, _Records, "position bigint, whole boolean, block bigint, record binary")
     crossing = found.where("NOT whole").groupBy("position").agg(
         F.array_sort(F.collect_list(F.struct("block", F.decode("record", encoding).alias("text")))).alias("parts")

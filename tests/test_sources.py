@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sluicebox.operators.sinks import write_csv
+from sluicebox.sources import blocks, documents, quoted
 from sluicebox.sources.chunks import map_chunks, with_chunks
 from sluicebox.sources.delimited import CsvOptions, merged_options, read_csv, read_csv_quarantined, require_clean
 from sluicebox.sources.inventory import file_inventory, guarded, oversized_files, record_guard
@@ -12,7 +13,6 @@ from sluicebox.sources.jdbc import (
     KeyRange, bound_query, bounds_query, list_views, page_ranges, read_jdbc, source_options, tables_of, with_parameters,
 )
 from sluicebox.sources.json_files import read_json
-from sluicebox.sources.quoted import quoted_records
 
 SAMPLE = "id,name,value\n1,Alice,100\n2,Bob,200\n3,Charlie,300\n"
 
@@ -169,11 +169,43 @@ def test_quoted_records_do_not_depend_on_blocks(spark, tmp_path, block_size):
         block_size(n)
         rows = read_csv(spark, str(tmp_path), names=names, header=False, infer=False, split=True).collect()
         assert sorted(map(tuple, rows), key=repr) == whole, n
-    expected = sorted(map(tuple, quoted_records(spark, str(tmp_path / "a.csv"), ",", "utf-8", 0).collect()))
-    assert [r[0] for r in expected] == list(range(6))
-    for n in range(1, len(raw) + 1):
-        block_size(n)
-        assert sorted(map(tuple, quoted_records(spark, str(tmp_path / "a.csv"), ",", "utf-8", 0).collect())) == expected, n
+
+
+def test_quoted_blocks_may_end_at_any_byte():
+    """One or two boundaries at every byte of a small file: a line belongs to the block that holds the byte before it."""
+    raw = b"\xef\xbb\xbf" + "\n".join(RECORDS).encode()
+    lines, at = [], 0
+    for line in raw.split(b"\n"):
+        lines.append((at, line))
+        at += len(line) + 1
+
+    def read(bounds: list[int]) -> list[tuple]:
+        dealt = {bound: [] for bound in bounds}
+        for place, line in lines:
+            dealt[max(b for b in bounds if b < place or b == 0)].append(line)
+        dealt = {b: found for b, found in dealt.items() if found}
+        rows = []
+        for bound, found in dealt.items():
+            block = quoted._Quotes(b",")
+            for line in found:
+                block.add(line)
+            rows.append({"file": "f", "block": bound, "key": bound} | dict(zip(quoted._SUMMARY, block.row(), strict=True)))
+        starts = quoted._starts(rows, b",", 1)
+        pieces: dict[int, list[bytes]] = {}
+        for bound, found in dealt.items():
+            block = quoted._Records(*starts[bound])
+            out = [row for line in found for row in block.add(line)] + list(block.close())
+            for position, whole, place, text in out:
+                assert place == bound and (not whole or position not in pieces)
+                pieces.setdefault(position, []).append(text)
+        return [(position, b"\n".join(texts)) for position, texts in sorted(pieces.items())]
+
+    expected = read([0])
+    assert [position for position, _ in expected] == list(range(5))
+    for first in range(1, len(raw) + 1):
+        assert read([0, first]) == expected, first
+        for second in range(first + 1, len(raw) + 1):
+            assert read([0, first, second]) == expected, (first, second)
 
 
 def test_one_quoted_file_has_more_tasks_than_files(spark, tmp_path, block_size):
@@ -274,6 +306,95 @@ def test_json_layouts(spark, tmp_path):
     assert rows["k1"].a == 1 and rows["k1"].b is None and rows["k2"].b == "x" and rows["k2"].c.d == [1, 2]
 
 
+DOCUMENTS = [
+    '[{"a":1},{"a":2,"b":{"c":"}]{\\"\\\\"}}\n , {"a":3}]', '\ufeff [{"a":[{"x":1},{"y":[2]}]},{"a":[]}] \n', '[{"a":1},{"a":oops},{"a":"\\\\}"},5]', "[]",
+    '{"a":{"x":1},"a":{"x":2}, "b":{"x":"\\"}"}}', '{"a":{"x":1}} tail', '{"a":{}}\n', '[{"a":1},{"a":2', '{"a":{"x":"}', '[1]]', '{"a":1}{"b":2}',
+]
+
+
+def json_records(text: str, openers: str, bounds: list[int]) -> list[tuple[bool, bytes]]:
+    """What the blocks between ``bounds`` give; a piece belongs to the block that holds the byte before it."""
+    raw = text.encode()
+    pieces, at = [], 0
+    for piece in raw.removesuffix(b"}").split(b"}") if raw.endswith(b"}") else raw.split(b"}"):
+        pieces.append((at, piece))
+        at += len(piece) + 1
+    dealt: dict[int, list[bytes]] = {}
+    for place, piece in pieces:
+        dealt.setdefault(max(b for b in bounds if b < place or b == 0), []).append(piece)
+    rows = []
+    for bound, found in dealt.items():
+        block = documents._Block()
+        for piece in found:
+            block.add(piece)
+        rows.append({"file": "f", "length": len(raw), "block": bound, "key": bound} | dict(zip(documents._SUMMARY, block.row(), strict=True)))
+    starts = documents._starts(rows, openers)
+    out: list[tuple[bool, bytes]] = []
+    for bound, found in dealt.items():
+        block = documents._Records(*starts[bound])
+        for _, _, _, kind, piece in [row for p in found for row in block.add(p)] + list(block.close()):
+            if kind in (documents.MIDDLE, documents.HEAD) or (kind == documents.BROKEN and out):
+                out[-1] = (kind == documents.BROKEN, out[-1][1] + piece)
+            else:
+                out.append((kind == documents.BROKEN, piece))
+    return out
+
+
+def test_json_blocks_may_end_at_any_byte():
+    """One or two boundaries at every byte of small documents; escapes, strings, depth and broken documents cross them."""
+    found = {}
+    for text in DOCUMENTS:
+        for openers in ("{[", " {"):
+            expected = found[text, openers] = json_records(text, openers, [0])
+            n = len(text.encode())
+            for first in range(1, n + 1):
+                for second in range(first, n + 1):
+                    assert json_records(text, openers, [0, first, second]) == expected, (text, first, second)
+    plain = lambda text, openers="{[": [(b, r.strip(b" \n,").decode()) for b, r in found[text, openers]]
+    assert plain(DOCUMENTS[0]) == [(False, x) for x in ('{"a":1}', '{"a":2,"b":{"c":"}]{\\"\\\\"}}', '{"a":3}')]
+    assert plain(DOCUMENTS[1]) == [(False, '{"a":[{"x":1},{"y":[2]}]}'), (False, '{"a":[]}')]
+    assert plain(DOCUMENTS[2]) == [(False, '{"a":1}'), (False, '{"a":oops}'), (False, '{"a":"\\\\}"}'), (False, "5")]
+    assert plain(DOCUMENTS[3]) == []
+    assert plain(DOCUMENTS[4]) == [(False, DOCUMENTS[4])]
+    assert plain(DOCUMENTS[4], " {") == [(False, '"a":{"x":1}'), (False, '"a":{"x":2}'), (False, '"b":{"x":"\\"}"}')]
+    assert plain(DOCUMENTS[5], " {") == [(False, '"a":{"x":1}'), (False, "tail")]
+    assert plain(DOCUMENTS[6], " {") == [(False, '"a":{}')]
+    for text in DOCUMENTS[7:]:
+        assert found[text, " {"] == [(True, text.encode())]
+
+
+def test_json_documents_in_many_blocks(spark, tmp_path, block_size):
+    """Large documents are read by more tasks than files; repeated keys and fields count last, a broken record is one row."""
+    records = [f'{{"id": {i}, "text": "}} \\" {{ {i}", "deep": [{{"x": {i}}}]}}' for i in range(4000)]
+    records[1234] = '{"id": oops}'
+    (tmp_path / "a.json").write_text("[" + ",\n".join(records) + "]")
+    entries = [f'"k{i}": {r}' for i, r in enumerate(records)] + ['"k7": {"id": 1, "id": -7}', '"k8": {"id": -8}']
+    (tmp_path / "o.json").write_text("{" + ", ".join(entries) + "}")
+    block_size(60_000)
+    for name, layout in (("a.json", "array"), ("o.json", "object")):
+        assert blocks.scan(spark, str(tmp_path / name), "}").rdd.getNumPartitions() > 3
+        rows = read_json(spark, str(tmp_path / name), layout).select("id", "text", "deep", "_corrupt_record").collect()
+        assert [r._corrupt_record.strip()[-12:] for r in rows if r._corrupt_record] == ['{"id": oops}']
+        good = {r.id: r for r in rows if not r._corrupt_record}
+        assert len(good) == len(rows) - 1 == 3999
+        assert all(r.text == f'}} " {{ {i}' and r.deep[0].x == i for i, r in good.items() if i > 0)
+        assert (7 in good, -7 in good, -8 in good) == ((True, False, False) if layout == "array" else (False, True, True))
+
+
+def test_json_object_above_the_size_of_a_variant(spark, tmp_path):
+    """A document of 140 MB; nothing but its records is ever one value."""
+    pad = "x" * 14_000
+    with open(tmp_path / "o.json", "w") as out:
+        out.write("{" + ",".join(f'"k{i}":{{"id":{i},"pad":"{pad}"}}' for i in range(10_000)) + "}")
+    rows = read_json(spark, str(tmp_path / "o.json"), "object", schema="id int, pad string")
+    assert rows.agg(F.sum("id"), F.min(F.length("pad")), F.countDistinct("_key")).first() == (49_995_000, 14_000, 10_000)
+
+
+def test_json_in_an_encoding_that_cannot_be_cut(spark, tmp_path):
+    (tmp_path / "o.json").write_bytes('{"k": {"name": "é}"}, "l": {"name": "漢"}}'.encode("utf-16"))
+    assert sorted(r.name for r in read_json(spark, str(tmp_path / "o.json"), "object", encoding="UTF-16").collect()) == ["é}", "漢"]
+
+
 def test_json_columns_and_caps(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"a":1,"b":2},{"a":2,"b":3}]')
     path = str(tmp_path / "a.json")
