@@ -4,16 +4,16 @@ Lines are normalised (A-Z lowered, digits to 0, runs of separators to one space,
 host, the distinct documents of every line are counted. A line found in more than ``limit`` documents of its host is
 removed, and a document that loses more than ``max_lost`` of its words to that is depleted and rejected.
 
-Documents of one and the same text count once, so a group of copies does not push its own lines over the limit. Lines of
-more than ``MAX_LINE_WORDS`` words are passages: a family of near copies, which shares most of them, counts once as
-well. Families are the components of near_dedup among the documents that share a passage with more than ``limit``
-other texts of their host. The host is the ``source`` column.
+Documents of one and the same text count once, and so does a family of near copies, so that no group of copies pushes its
+own lines over the limit. Families are the components of near_dedup among the texts that would lose more than
+``FAMILY_LOST_PERCENT`` of their words if texts were counted; near copies share more than that. This is one rule for lines of all
+lengths. The host is the ``source`` column.
 
 Plan: one Arrow pass over the texts writes the statistics and the lines' hashes (some 20 bytes a line) to the shared
 folder; the counts are distinct aggregations with partial results in each task, so a line that a third of all
 documents share is one row a task; the frequent lines then meet the lines again in a join whose small side adaptive
-execution broadcasts only if it is small, and whose hot keys it splits. Passages are counted the same way first; where
-some are above the limit, near_dedup compares the texts that hold them, and families are counted in place of texts.
+execution broadcasts only if it is small, and whose hot keys it splits. Only the texts that lose much are read a second
+time, by near_dedup, and only the lines found frequent are counted again.
 
 Null and empty texts have zero words and fail the base rules. A null source is a host of its own. Repeated rows are
 judged each by itself. An empty table gives an empty result. Other columns pass through ``clean`` untouched.
@@ -37,13 +37,14 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A line may stand in so many distinct documents of one host.
 LINE_LIMIT = 10
-#: Longer lines are passages, which count families of near copies.
-MAX_LINE_WORDS = 40
 #: A document may lose this percentage of its words.
 MAX_LOST_PERCENT = 75
-#: Near copies, for the count of passages: words of a shingle, and percent of shingles in common.
+#: Texts that would lose more than this percentage are compared, and near copies among them count once;
+FAMILY_LOST_PERCENT = 25
+#: near copies by words of a shingle, and percent of shingles in common. That is above what a depleted document may have
+#: of its own, so documents of boilerplate with a few own sentences are no family and are rejected.
 FAMILY_SHINGLE = 2
-FAMILY_PERCENT = 80
+FAMILY_PERCENT = 95
 
 _SYMBOLS = b"#*$%&|<>"
 _GAPS = b" \t\n\v\f\r"
@@ -58,8 +59,7 @@ _CLASS[list(_SYMBOLS)] = 2
 
 _SCHEMA = (
     "doc_id bigint, host string, content binary, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-    "n_repeat_words bigint, lines array<struct<line: bigint, words: bigint>>, "
-    "passages array<struct<line: bigint, words: bigint>>"
+    "n_repeat_words bigint, lines array<struct<line: bigint, words: bigint>>"
 )
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -97,32 +97,23 @@ def text_statistics(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), int(kinds[2] + kinds[3]), int(kinds[2]), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def _line_words(text: bytes, passages: bool) -> list[dict]:
+def text_lines(text: bytes) -> list[dict]:
+    """The distinct normalised lines of a text: hash, and words in all their copies."""
     words: dict[int, int] = {}
     for line in text.split(b"\n"):
         normal = normal_line(line)
-        if normal and (normal.count(b" ") >= MAX_LINE_WORDS) == passages:
+        if normal:
             key = line_hash(normal)
             words[key] = words.get(key, 0) + normal.count(b" ") + 1
     return [{"line": k, "words": n} for k, n in words.items()]
 
 
-def text_lines(text: bytes) -> list[dict]:
-    """The distinct normalised lines of a text that are no passages: hash, and words in all their copies."""
-    return _line_words(text, False)
-
-
-def text_passages(text: bytes) -> list[dict]:
-    """The same of the longer lines."""
-    return _line_words(text, True)
-
-
 def _judged(batches: Iterator[dict]) -> Iterator[dict]:
     for batch in batches:
         texts = utf8(batch["text"])
         out = dict(zip(_BASE, map(list, zip(*map(text_statistics, texts), strict=True)), strict=True))
         out |= {"doc_id": batch["doc_id"].to_pylist(), "host": batch["host"].to_pylist(), "content": batch["content"].to_pylist()}
-        yield out | {"lines": [text_lines(t) for t in texts], "passages": [text_passages(t) for t in texts]}
+        yield out | {"lines": [text_lines(t) for t in texts]}
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -140,27 +131,32 @@ def _recurring(lines: DataFrame, known_by: str, limit: int) -> DataFrame:
     return ones.groupBy("host", "line").agg(F.count("one").alias("n_documents")).where(F.col("n_documents") > limit)
 
 
-def frequent_lines(rows: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """(host, line, n_documents) of lines in more than ``limit`` distinct documents of their host."""
-    return _recurring(rows.select("host", "content", F.inline("lines")), "content", limit)
-
-
-def frequent_passages(docs: DataFrame, rows: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """(host, line, n_documents) of passages in more than ``limit`` families of near copies of their host."""
-    passages = rows.select("host", "content", F.inline("passages"))
-    often = written(_recurring(passages, "content", limit), "passages")
-    if often.isEmpty():
+def frequent_lines(docs: DataFrame, rows: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+    """(host, line, n_documents) of lines in more than ``limit`` distinct documents of their host; a family of near copies is one."""
+    lines = rows.select("host", "content", F.inline("lines"))
+    often = written(_recurring(lines, "content", limit), "frequent")
+    families = written(_families(docs, rows, often), "families")
+    if families.isEmpty():
         return often
     found = often.select(F.col("host").alias("of"), F.col("line").alias("at"))
-    same = passages["host"].eqNullSafe(found["of"]) & (passages["line"] == found["at"])
-    held = written(passages.join(found, same, "left_semi").select("host", "line", "content").distinct(), "held")
-    contents = held.select(F.col("content").alias("known")).distinct()
+    same = lines["host"].eqNullSafe(found["of"]) & (lines["line"] == found["at"])
+    held = lines.join(found, same, "left_semi").select("host", "line", "content").distinct()
+    counted = held.join(families, F.col("content") == F.col("known"), "left")
+    # The number of a family, or what no family has: the text's digest.
+    return _recurring(counted.withColumn("document", F.coalesce(F.col("family").cast("string"), F.hex("content"))), "document", limit)
+
+
+def _families(docs: DataFrame, rows: DataFrame, often: DataFrame) -> DataFrame:
+    """(known, family) of the texts that would lose much, where another one is a near copy."""
+    lost = rows.join(_losses(rows, often), F.col("row") == F.col("loser"))
+    much = lost.where(100 * F.col("lost_words") > FAMILY_LOST_PERCENT * F.col("n_words"))
+    contents = much.select(F.col("content").alias("known")).distinct()
     contents = written(contents.withColumn("doc_id", F.monotonically_increasing_id()), "contents")
-    texts = docs.select(text_of("text").alias("text"))
-    texts = texts.join(contents, F.unhex(F.md5("text")) == F.col("known")).select("doc_id", "text")
-    families = near_dedup.deduplicate(texts, FAMILY_SHINGLE, FAMILY_PERCENT).select("doc_id", F.col("component_id").alias("family"))
-    members = contents.join(families.distinct(), "doc_id").select("known", "family")
-    return _recurring(held.join(members, F.col("content") == F.col("known")), "family", limit)
+    if contents.isEmpty():
+        return contents.select("known", F.col("doc_id").alias("family"))
+    texts = docs.select(text_of("text").alias("text")).join(contents, F.unhex(F.md5("text")) == F.col("known"))
+    alike = near_dedup.deduplicate(texts.select("doc_id", "text"), FAMILY_SHINGLE, FAMILY_PERCENT)
+    return contents.join(alike.select("doc_id", F.col("component_id").alias("family")).distinct(), "doc_id").select("known", "family")
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -169,7 +165,7 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 def _losses(rows: DataFrame, frequent: DataFrame) -> DataFrame:
     """(row, removed lines, words lost) of the documents that lose lines."""
-    both = rows.select("row", "host", F.inline(F.concat("lines", "passages")))
+    both = rows.select("row", "host", F.inline("lines"))
     lines = both.select("row", F.col("host").alias("of"), F.col("line").alias("at"), "words")
     hit = lines.join(frequent, lines["of"].eqNullSafe(frequent["host"]) & (lines["at"] == frequent["line"]))
     return hit.groupBy(F.col("row").alias("loser")).agg(
@@ -179,7 +175,7 @@ def _losses(rows: DataFrame, frequent: DataFrame) -> DataFrame:
 
 def _decided(docs: DataFrame, limit: int, max_lost: int) -> DataFrame:
     rows = statistics(docs)
-    losses = _losses(rows, frequent_lines(rows, limit).unionByName(frequent_passages(docs, rows, limit)))
+    losses = _losses(rows, frequent_lines(docs, rows, limit))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     lost = F.coalesce("lost_words", F.lit(0)).cast("bigint")
     return rows.join(losses, rows["row"] == losses["loser"], "left").select(

@@ -30,7 +30,7 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "op1_quality_rules",
     r"""
-    WITH d AS (
+    WITH RECURSIVE d AS (
       SELECT doc_id, source AS host, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
     w AS (SELECT row, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
     positions AS (
@@ -48,11 +48,30 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
           translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '),
           '[0-9]+', '0', 'g'), '0+', '0', 'g') AS line
       FROM with_words),
-    hashed AS (
-      SELECT row, host, line AS h, sum(len(string_split(line, ' '))) AS words
-      FROM normal WHERE len(string_split(line, ' ')) <= 40 GROUP BY row, host, line),
+    hashed AS MATERIALIZED (
+      SELECT row, host, text, md5(line) AS h, sum(len(string_split(line, ' '))) AS words
+      FROM normal JOIN (SELECT row, text FROM d) USING (row) GROUP BY row, host, text, md5(line)),
+    often AS (SELECT host, h FROM hashed GROUP BY host, h HAVING count(DISTINCT text) > 10),
+    held AS MATERIALIZED (SELECT r.* FROM hashed r JOIN often f ON r.host IS NOT DISTINCT FROM f.host AND r.h = f.h),
+    much AS MATERIALIZED (
+      SELECT text, row_number() OVER () AS id FROM (
+        SELECT DISTINCT text FROM held JOIN (SELECT row, len(ws) AS n FROM w) USING (row) GROUP BY row, text, n HAVING 100 * sum(words) > 25 * n)),
+    lower_words AS (
+      SELECT id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+      FROM much),
+    shingles AS MATERIALIZED (
+      SELECT DISTINCT id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS s
+      FROM (SELECT id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM lower_words)),
+    sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+    pairs AS (
+      SELECT a.id AS a, b.id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id),
+    ways AS MATERIALIZED (
+      SELECT a AS u, b AS v FROM pairs JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * common >= 95 * (x.n + y.n - common)),
+    reach AS (SELECT u, v FROM ways UNION SELECT r.u, s.v FROM reach r JOIN ways s ON r.v = s.u),
+    families AS (SELECT m.text, least(m.id, coalesce(min(r.v), m.id)) AS family FROM much m LEFT JOIN reach r ON r.u = m.id GROUP BY m.id, m.text),
     frequent AS (
-      SELECT host, h FROM hashed JOIN (SELECT row, text FROM d) USING (row) GROUP BY host, h HAVING count(DISTINCT text) > 10),
+      SELECT host, h FROM held LEFT JOIN families USING (text) GROUP BY host, h
+      HAVING count(DISTINCT coalesce(family::VARCHAR, 'text ' || held.text)) > 10),
     lost AS (
       SELECT r.row, sum(r.words)::BIGINT AS words, count(*) AS n
       FROM hashed r JOIN frequent f ON r.host IS NOT DISTINCT FROM f.host AND r.h = f.h GROUP BY r.row),

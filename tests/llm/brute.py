@@ -104,3 +104,34 @@ def filled(budget, children):
             open_.discard(i)
         # What is left is dealt anew, from nothing, among those that are open.
     return given
+
+
+def normal_line(line):
+    return re.sub("[0-9]+", "0", " ".join(words(line.translate(LOWER))))
+
+
+def judged(docs, limit, max_lost=75, family_lost=25):
+    """(doc_id, removed lines, lost words, kept) of rows (doc_id, text, host), by the rule for lines of all lengths."""
+    lines = [[normal_line(line) for line in (text or "").split("\n") if words(line)] for _, text, _ in docs]
+
+    def lost(frequent):
+        hit = [[line for line in own if (doc[2], line) in frequent] for doc, own in zip(docs, lines, strict=True)]
+        return hit, [sum(len(words(line)) for line in own) for own in hit]
+
+    def often(document):
+        seen = {}
+        for (_, text, host), own in zip(docs, lines, strict=True):
+            for line in own:
+                seen.setdefault((host, line), set()).add(document(text or ""))
+        return {key for key, found in seen.items() if len(found) > limit}
+
+    _, n = lost(often(lambda text: text))
+    much = sorted({d[1] or "" for d, k in zip(docs, n, strict=True) if 100 * k > family_lost * len(words(d[1]))})
+    family = {much[i]: f for i, (_, f) in near_components(list(enumerate(much)), 2, 95).items()}
+    hit, n = lost(often(lambda text: family.get(text, text)))
+    out = []
+    for (doc_id, text, _), own, k in zip(docs, hit, n, strict=True):
+        size, _, _, _, repeated = base_statistics(text)
+        failed = size < 50 or 100 * repeated > 50 * size
+        out.append((doc_id, len(set(own)), k, not failed and 100 * k <= max_lost * size))
+    return out

@@ -107,6 +107,32 @@ def test_recurring_passages_go_and_near_copies_stay(spark):
     assert cleaned == {r[0]: r[1].removeprefix(notice + "\n") for r in rows if not 100 <= r[0] < 200}
 
 
+def test_one_rule_for_lines_of_all_lengths(spark):
+    """Random documents of own, shared, edited and very long lines, in families and alone, against a plain version."""
+    rng = np.random.default_rng(4)
+    name = lambda *parts: "".join(chr(97 + p % 26) + chr(97 + p // 26) for p in parts)
+    line = lambda key, n: " ".join(name(key, j) for j in range(n))
+    shared = [line(600 + k, n) for k, n in enumerate((3, 12, 40, 41, 60, 240))]
+    rows = []
+    for i in range(60):
+        own = [line(i, int(rng.integers(20, 80))), *rng.choice(shared, rng.integers(0, 4), replace=False).tolist()]
+        rows.append((i, "\n".join(own), "a" if i % 3 else None, 1))
+    for k in range(3):  # families of near copies with one edited line each
+        base = [line(100 + 10 * k + j, 30 + 20 * k) for j in range(5)]
+        for i in range(9):
+            edited = [*base[:2], base[2].replace(" ", f" e{name(i)} ", 1), *base[3:], *shared[: k % 2]]
+            rows.append((200 + 20 * k + i, "\n".join(edited), "a" if k else "b", 1))
+    rows += [(300 + i, f"{shared[5]}\n{line(400 + i, 9)}", "c", 1) for i in range(14)]
+    rows += [rows[0], (500, None, None, None), (501, "", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint").repartition(4)
+    found = quality_rules.judge(docs, limit=4).select("doc_id", "n_removed_lines", "lost_words", "kept").collect()
+    plain = brute.judged([(i, t, h) for i, t, h, _ in rows], 4)
+    assert sorted(map(tuple, found)) == sorted(plain)
+    kept = {r.doc_id: (r.n_removed_lines, r.kept) for r in found}
+    assert kept[200] == (0, True) and kept[300] == (1, False)
+    assert sum(n > 0 for n, _ in kept.values()) > 30
+
+
 # 2
 
 def test_chat_of_awkward_rows(spark):
