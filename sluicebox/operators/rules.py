@@ -74,8 +74,8 @@ class ReferenceRule:
         return df.where(present(self.columns)).join(self._parents(), list(self.columns), "left_anti")
 
     def flag(self, rows: DataFrame, df: DataFrame, name: str) -> DataFrame:
-        found = flag_keys(rows, self._parents().distinct(), self.columns, name)
-        return found.withColumn(name, present(self.columns) & ~F.col(name))
+        """``rows``, which come from ``df``, with a boolean column: the row breaks the rule. Only the missing keys are joined."""
+        return flag_keys(rows, self.failed(df), self.columns, name)
 
     def _parents(self) -> DataFrame:
         return self.parent.select(*[F.col(p).alias(c) for p, c in zip(self.parent_columns, self.columns)])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluicebox.operators.skew import flag_keys, present
+from sluicebox.scratch import written
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", encoding: str = "utf-8", mode: str = "overwrite") -> None:
@@ -48,10 +49,20 @@ def absent_rows(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> Dat
     complete = new.where(present(keys))
     one = complete.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")) if rest else complete.distinct()
     picked = one.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in new.columns])
-    fresh = picked.join(existing.select(*keys), keys, "left_anti")
+    fresh = _without_match(written(picked, "new"), existing, keys)
     return fresh.select(*new.columns).unionByName(new.where(~present(keys)))
 
 
+def _without_match(changes: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``changes``, written down and each key once, whose key is not in ``target``.
+
+    The target's keys are first cut down to those of the changes. Their size is known, so Spark broadcasts few of them and moves
+    nothing of the target; beyond its threshold both sides are shuffled.
+    """
+    known = target.select(*keys).join(changes.select(*keys), list(keys), "left_semi").distinct()
+    return changes.join(known, list(keys), "left_anti")
+
+
 def insert_if_absent(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The new version of a table: what it had, and the new rows whose key it did not have."""
     return existing.unionByName(absent_rows(existing, new, keys), allowMissingColumns=True)
@@ -64,14 +75,15 @@ def upsert(
     """Overwrite the columns of ``changes`` on matching rows and set ``stamp`` on them.
 
     A null in ``changes`` is written as a null. Rows without a match are added unless ``insert`` is off; a null key
-    matches nothing. A key that occurs twice in ``changes`` is an error, raised when the result is computed.
+    matches nothing. A key that occurs twice in ``changes`` is an error, raised at once.
     """
     keys = list(keys)
     fields = [c for c in changes.columns if c not in keys]
+    # Written down, so that Spark knows its size: few changes are broadcast, and the target is not shuffled.
     once = changes.where(present(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"), F.first(F.struct(*fields, *keys)).alias("_new"))
     twice = F.raise_error(F.lit("a key occurs twice in the changes")).cast("boolean")
-    checked = once.withColumn("_changed", F.when(F.col("_times") > 1, twice).otherwise(F.lit(True))).drop("_times")
-    joined = target.join(checked, keys, "full_outer" if insert else "left")
+    checked = written(once.withColumn("_changed", F.when(F.col("_times") > 1, twice).otherwise(F.lit(True))).drop("_times"), "changes")
+    joined = target.join(checked, keys, "left")
     moment = _moment(now, target, stamp)
     out = []
     for c in target.columns:
@@ -87,7 +99,8 @@ def upsert(
     changed = joined.select(*out)
     if not insert:
         return changed
-    unmatched = changes.where(~present(keys))
+    fresh = _without_match(checked, target, keys).where("_changed").select(*keys, *[F.col(f"_new.{c}").alias(c) for c in fields])
+    unmatched = fresh.unionByName(changes.where(~present(keys)))
     added = [
         moment.alias(c) if c == stamp else F.col(c).cast(f.dataType).alias(c) if c in changes.columns else F.lit(None).cast(f.dataType).alias(c)
         for c, f in zip(target.columns, target.schema.fields, strict=True)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicebox.operators.buckets import delete_bucketed, insert_bucketed, read_bucketed, upsert_bucketed, write_bucketed
 from sluicebox.operators.sinks import ForeignKey, bag_union, delete, insert_if_absent, upsert, with_defaults
+from sluicebox.scratch import scratch_path
 from sluicebox.showcase.registry import query, table
 
 LINKS = (
@@ -54,6 +56,28 @@ def upsert_stamped(spark: SparkSession, folder: str) -> DataFrame:
     return upsert(target, raised.unionByName(added), ["c_custkey"], dt.datetime(2025, 1, 1))
 
 
+@query(
+    "upsert_bucketed",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 1000 < 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice,
+              CASE WHEN o_orderkey % 1000 < 7 THEN TIMESTAMP '2025-01-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at
+       FROM orders WHERE o_orderkey % 1000 <> 8
+       UNION ALL SELECT -1 - s_suppkey, 'new', NULL, TIMESTAMP '2025-01-01' FROM supplier WHERE s_suppkey % 10 = 3""",
+)
+def upsert_in_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders stored in buckets; some are changed, some added, some deleted, each in place."""
+    path = scratch_path(spark, "orders")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    write_bucketed(orders.withColumn("updated_at", F.lit("2024-01-01").cast("timestamp_ntz")), path, ["o_orderkey"], 64)
+    changed = orders.where("o_orderkey % 1000 < 7").select("o_orderkey", F.lit("X").alias("o_orderstatus"))
+    upsert_bucketed(spark, path, changed, ["o_orderkey"], now=dt.datetime(2025, 1, 1))
+    added = table(spark, folder, "supplier").where("s_suppkey % 10 = 3").select(
+        (-1 - F.col("s_suppkey")).alias("o_orderkey"), F.lit("new").alias("o_orderstatus"), F.lit("2025-01-01").cast("timestamp_ntz").alias("updated_at")
+    )
+    insert_bucketed(spark, path, added, ["o_orderkey"])
+    delete_bucketed(spark, path, orders.where("o_orderkey % 1000 = 8"), ["o_orderkey"])
+    return read_bucketed(spark, path)
+
+
 def _after_delete(spark: SparkSession, folder: str, links) -> dict[str, DataFrame]:
     tables = {name: table(spark, folder, name) for name in ("customer", "orders", "lineitem")}
     return delete(tables, links, "customer", tables["customer"].where("c_acctbal < 0"), "c_custkey")

@@ -12,7 +12,7 @@ from sluicebox import scratch
 from sluicebox.functions import scalars
 from sluicebox.operators import latest as L
 from sluicebox.operators import metrics as M
-from sluicebox.operators import ordering, profile, sinks
+from sluicebox.operators import buckets, ordering, profile, sinks
 from sluicebox.plans import audit, model, views
 from sluicebox.operators import rules as R
 from sluicebox.streaming.folders import check_folder
@@ -341,3 +341,43 @@ def test_scratch_can_be_dropped(spark, tmp_path, monkeypatch):
     assert len(list(tmp_path.iterdir())) == 1
     assert scratch.drop_scratch(spark) == 1 and not list(tmp_path.iterdir())
     assert scratch.drop_scratch(spark) == 0
+
+
+def test_bucketed_changes_touch_only_their_buckets(spark, tmp_path):
+    path = tmp_path / "t"
+    rows = [(i, f"v{i}") for i in range(500)]
+    buckets.write_bucketed(spark.createDataFrame(rows, "id bigint, v string"), str(path), ["id"], 16)
+
+    def files():
+        return {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+    before = files()
+    touched = buckets.upsert_bucketed(spark, str(path), spark.createDataFrame([(3, "x"), (900, "y"), (None, "z")], "id int, v string"), ["id"])
+    after = files()
+    same = {f for f in before if f"={touched[0]}/" not in str(f) and int(f.parent.name.split("=")[1]) not in touched}
+    assert 0 < len(touched) <= 3 and len(same) >= 13 and all(after[f] == before[f] for f in same)
+    expected = [(i, "x" if i == 3 else v) for i, v in rows] + [(900, "y"), (None, "z")]
+    read = lambda: sorted(map(tuple, buckets.read_bucketed(spark, str(path)).collect()), key=repr)
+    assert read() == sorted(expected, key=repr)
+    assert buckets.insert_bucketed(spark, str(path), spark.createDataFrame([(3, "no"), (901, "w")], "id bigint, v string"), ["id"])
+    everything = buckets.read_bucketed(spark, str(path)).where("id % 16 < 15 AND id < 800")
+    buckets.delete_bucketed(spark, str(path), everything.select("id"), ["id"])
+    left = [r for r in [*expected, (901, "w")] if r[0] is None or r[0] % 16 == 15 or r[0] >= 800]
+    assert read() == sorted(left, key=repr)
+    assert buckets.upsert_bucketed(spark, str(path), spark.createDataFrame([], "id bigint, v string"), ["id"]) == []
+    with pytest.raises(Exception, match="occurs twice"):
+        buckets.upsert_bucketed(spark, str(path), spark.createDataFrame([(1, "a"), (1, "b")], "id bigint, v string"), ["id"])
+    assert read() == sorted(left, key=repr)
+    spark.range(3).write.parquet(str(tmp_path / "plain"))
+    with pytest.raises(ValueError, match="no table in buckets"):
+        buckets.read_bucketed(spark, str(tmp_path / "plain"))
+
+
+def test_small_changes_do_not_shuffle_the_target(spark, tmp_path):
+    spark.range(100_000).selectExpr("id", "id * 2 AS v").write.parquet(str(tmp_path / "t"))
+    target = spark.read.parquet(str(tmp_path / "t"))
+    changes = spark.createDataFrame([(5, 0), (200_000, 1)], "id bigint, v bigint")
+    for new in (sinks.upsert(target, changes, ["id"], stamp=None), sinks.insert_if_absent(target, changes, ["id"])):
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "FullOuter" not in plan
+        assert new.count() == 100_001
