@@ -38,6 +38,7 @@ from sluicebox.scratch import written
 
 COORDINATES = 64
 BRANCHES = 2
+#: Of pairs at the threshold, if trees were independent; they share coordinates, so it is 0.9997.
 RECALL = 0.9999
 #: Classes that a task takes into memory as one node.
 NODE_LIMIT = 20_000
