@@ -42,11 +42,8 @@ HOLD = 4
 BODY = 2 * FLOOR
 
 _RAW = "script style noscript template textarea title svg annotation-xml annotation iframe object select".split()
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(_RAW) + r")\b[^>]*>.*?</\1\s*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
@@ -70,19 +67,57 @@ _WHOLE = set("html body".split())
 _ARTICLE = ("article", "main")
 
 
+class _Skipped:
+    """A raw element from its tag to its end, in the place of a tag without a name."""
+
+    __slots__ = ("first", "last")
+
+    def __init__(self, first: int, last: int):
+        self.first, self.last = first, last
+
+    def start(self) -> int:
+        return self.first
+
+    def end(self) -> int:
+        return self.last
+
+    def __getitem__(self, group: int) -> None:
+        return None
+
+
+def _tokens(page: str) -> list[re.Match | _Skipped]:
+    """Tags, comments and raw elements in page order. A raw element that is never closed is looked for once a name, so
+    time stays in proportion to the page."""
+    found: list[re.Match | _Skipped] = []
+    never: set[str] = set()
+    at = 0
+    while (tag := _TAG.search(page, at)) is not None:
+        at = tag.end()
+        name = (tag[2] or "").lower()
+        if name in _RAW_END and not tag[1] and name not in never:
+            end = _RAW_END[name].search(page, at)
+            if end is not None:
+                at = end.end()
+                found.append(_Skipped(tag.start(), at))
+                continue
+            never.add(name)
+        found.append(tag)
+    return found
+
+
 def _closings(tokens: list[re.Match]) -> dict[int, int]:
     """For each opening tag that is closed, where; by name, so that stray inline tags don't matter."""
     open_tags: dict[str, list[int]] = {}
     closed: dict[int, int] = {}
     for i, token in enumerate(tokens):
-        name = token[3]
+        name = token[2]
         if not name:
             continue
         name = name.lower()
-        if token[2]:
+        if token[1]:
             if open_tags.get(name):
                 closed[open_tags[name].pop()] = i
-        elif name not in _VOID and not token[4].endswith("/"):
+        elif name not in _VOID and not token[3].endswith("/"):
             open_tags.setdefault(name, []).append(i)
     return closed
 
@@ -116,9 +151,9 @@ def _bodies(page: str, tokens: list[re.Match], closed: dict[int, int]) -> set[in
                 own[owner] = own.get(owner, 0) + len(" ".join(page[at : token.start()].split()))
             while open_ and i >= closed[open_[-1]]:
                 open_.pop()
-            name = (token[3] or "").lower()
-            if name and not token[2] and i in closed:
-                if _hides(name, token[4], i < article_until):
+            name = (token[2] or "").lower()
+            if name and not token[1] and i in closed:
+                if _hides(name, token[3], i < article_until):
                     if name in _ALWAYS_HIDDEN:
                         always_until = closed[i]
                     else:
@@ -134,7 +169,7 @@ def _bodies(page: str, tokens: list[re.Match], closed: dict[int, int]) -> set[in
     best = max(own, key=own.__getitem__, default=-1)
     if best < 0:
         return set()
-    article = tokens[best][3].lower() in _ARTICLE
+    article = tokens[best][2].lower() in _ARTICLE
     enough = own[best] > seen if article else own[best] > HOLD * seen and (own[best] >= BODY or not seen)
     found: set[int] = set()
     for element in around if enough else ():
@@ -147,7 +182,7 @@ def _bodies(page: str, tokens: list[re.Match], closed: dict[int, int]) -> set[in
 
 def page_lines(page: str) -> list[tuple[str, int, int]]:
     """The lines of a page: text, length outside links, number of the outermost article element or -1."""
-    tokens = list(_TOKEN.finditer(page))
+    tokens = _tokens(page)
     closed = _closings(tokens)
     bodies = _bodies(page, tokens, closed)
     lines: list[tuple[str, int, int]] = []
@@ -171,12 +206,12 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
                 parts.append(text)
                 if i <= link_until:
                     linked += len(text)
-            name = (token[3] or "").lower()
+            name = (token[2] or "").lower()
             if name:
                 if name not in _INLINE:
                     flush()
-                if not token[2]:
-                    if i in closed and i not in bodies and _hides(name, token[4], article >= 0):
+                if not token[1]:
+                    if i in closed and i not in bodies and _hides(name, token[3], article >= 0):
                         flush()
                         flush(empty=True)
                         hidden_until = closed[i]

@@ -274,3 +274,17 @@ def test_discriminant_is_the_ratio_of_two_normal_densities():
 
 def test_checksum_of_ids():
     assert zlib.crc32(np.array([2], dtype="<u4").tobytes()) == zlib.crc32(b"\2\0\0\0")
+
+
+def test_raw_elements_that_are_never_closed_take_linear_time():
+    import time
+
+    from sluicebox.llm import html_text
+
+    body = f"<p>{'plain words of an article ' * 20}</p>"
+    for raw in ("<script>", "<svg>", "<StYle media=x>"):
+        begin = time.perf_counter()
+        text = html_text.main_text(body + raw * (1_000_000 // len(raw)))
+        assert time.perf_counter() - begin < 20 and text.startswith("plain words")
+    mixed = f"<script>a</script x>b</ScRiPt >{body}<style>c<p>d</style><svg><title>e</title></svg>"
+    assert html_text.main_text(mixed) == " ".join(["plain words of an article"] * 20)
