@@ -72,12 +72,24 @@ def audited_extraction(
     return records
 
 
-def write_audit(logs: DataFrame, path: str) -> None:
+def write_audit(logs: DataFrame, path: str, page_rows: int = 1000) -> None:
     """Append audit rows, partitioned by day so that time filters skip whole folders.
 
-    The rows of a day are brought together before they are written; a large day is split again by size.
+    The rows of a day are brought together before they are written; a large day is split again by size. Files are sorted by
+    correlation id and have bloom filters for the ids, so a lookup of one id passes over files without it by their filter, and reads
+    pages of ``page_rows`` rows in the others.
     """
-    logs.withColumn("log_date", F.to_date("timestamp")).hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").parquet(path)
+    days = logs.withColumn("log_date", F.to_date("timestamp")).hint("rebalance", "log_date")
+    (
+        days.sortWithinPartitions("log_date", "correlation_id")
+        .write.mode("append")
+        .option("parquet.bloom.filter.enabled#correlation_id", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
+        .option("parquet.bloom.filter.enabled#execution_id", "execution_id" in logs.columns)
+        .option("parquet.page.row.count.limit", page_rows)
+        .partitionBy("log_date")
+        .parquet(path)
+    )
 
 
 def find_audit(

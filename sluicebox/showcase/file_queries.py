@@ -17,6 +17,7 @@ from sluicebox.sources.inventory import file_inventory, oversized_files, record_
 from sluicebox.sources.jdbc import tables_of
 from sluicebox.sources.json_files import read_json
 from sluicebox.streaming.folders import check_folder
+from sluicebox.streaming.keys import check_folder_keys
 
 ROWS_PER_DOCUMENT = 5000
 
@@ -221,6 +222,26 @@ def csv_stream_checks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "csv_stream_unique",
+    """SELECT 'o_custkey_unique' AS rule_name, 'unique' AS rule_type, CAST(coalesce(sum(n), 0) AS BIGINT) AS failed_count
+       FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1)
+       UNION ALL SELECT 'o_orderkey_unique', 'unique', CAST(coalesce(sum(n), 0) AS BIGINT)
+       FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey HAVING count(*) > 1)
+       UNION ALL SELECT 'o_custkey_references', 'references', count(*) FROM orders
+       WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')""",
+)
+def csv_stream_unique(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of all pieces together: the orders of a customer stand in many of them."""
+    schema = table(spark, folder, "orders").schema
+    known = table(spark, folder, "customer").where(F.col("c_mktsegment") != "BUILDING")
+    rules = [R.unique("o_custkey"), R.unique("o_orderkey"), R.references("o_custkey", known, "c_custkey")]
+    return check_folder_keys(
+        spark, _csv_pieces(spark, folder), schema, rules, scratch_path(spark, "checked"), scratch_path(spark, "progress"),
+        files_per_piece=10, options={"header": True, "recursiveFileLookup": True},
+    )
+
+
 @query(
     "json_lines",
     """SELECT o_totalprice, o_orderkey, o_orderstatus AS status, [o_orderpriority, o_orderstatus] AS words FROM orders""",

@@ -12,7 +12,10 @@ from sluicebox.functions.scalars import (
 )
 from sluicebox.operators.corrupt import numeric_columns
 from sluicebox.operators.latest import latest
-from sluicebox.operators.metrics import latency_rollup, latest_metrics, throughput, write_metrics
+from sluicebox.operators.metrics import (
+    LATENCY_POINTS, latency_rollup, latest_metrics, rank_errors, sketch_rank_error, sketched_latency, throughput,
+    write_latency_sketches, write_metrics,
+)
 from sluicebox.operators.profile import labels, null_cells, profile
 from sluicebox.plans import audit, model, views
 from sluicebox.operators.rules import failed_counts
@@ -166,6 +169,27 @@ def latency_by_user(spark: SparkSession, folder: str) -> DataFrame:
     return rollup.select("user_id", "samples", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")])
 
 
+@query(
+    "latency_sketched",
+    """SELECT event_type, count(*) AS samples, round(avg(value), 6) AS mean, min(value) AS minimum, max(value) AS maximum,
+              TRUE AS p50_within, TRUE AS p95_within, TRUE AS p99_within
+       FROM events WHERE value IS NOT NULL AND ts >= TIMESTAMP '2024-01-03' GROUP BY event_type""",
+)
+def latency_sketched(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of days rolled up by type; the ranks are measured against all samples.
+
+    Three times the error of 99 cases in 100 is some eight standard deviations.
+    """
+    path, since = scratch_path(spark, "sketches"), dt.date(2024, 1, 3)
+    events = table(spark, folder, "events")
+    write_latency_sketches(events, path, ["event_type"], "value", "ts")
+    rolled = sketched_latency(spark.read.parquet(path).where(F.col("sketch_date") >= since), ["event_type"])
+    errors = rank_errors(events.where(F.col("ts") >= F.lit(since)), "event_type", "value", rolled)
+    within = [(F.col(c) <= 3 * sketch_rank_error()).alias(f"{c}_within") for c in LATENCY_POINTS]
+    exact = rolled.select("event_type", "samples", F.round("mean", 6).alias("mean"), "minimum", "maximum")
+    return exact.join(errors.select("event_type", *within), "event_type")
+
+
 @query(
     "metric_latest",
     """SELECT event_id AS id, event_type AS metric_name, value, props AS labels, ts AS timestamp FROM events
@@ -237,6 +261,19 @@ def audit_by_correlation(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id", "timestamp", "event", "correlation_id")
 
 
+@query(
+    "audit_lookup",
+    """SELECT event_id AS id, ts AS timestamp, event_type AS event, CAST(user_id AS VARCHAR) AS correlation_id, props AS context
+       FROM events WHERE user_id = 7 AND ts >= TIMESTAMP '2024-01-02'""",
+)
+def audit_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored logs by correlation id and day: filters and page bounds of the files pass over nearly all other rows."""
+    path = scratch_path(spark, "audit")
+    audit.write_audit(rel.audit_logs(spark, folder), path)
+    found = audit.find_audit(spark.read.parquet(path), correlation_id="7", since=F.lit(dt.date(2024, 1, 2)))
+    return found.select("id", "timestamp", "event", "correlation_id", "context")
+
+
 @query(
     "audit_counts",
     """SELECT 'INFO' AS level, 'extraction_successful' AS event, count(*) AS records,

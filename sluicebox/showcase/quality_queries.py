@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sluicebox.functions.scalars import json_value
 from sluicebox.operators import rules as R
+from sluicebox.operators.incremental import check_changed
 from sluicebox.plans import model, views
+from sluicebox.scratch import scratch_path
 from sluicebox.showcase import relations as rel
 from sluicebox.showcase.registry import query, table
 
@@ -321,3 +323,35 @@ def checked_run(spark: SparkSession, folder: str) -> DataFrame:
         F.col("failure_rate_percent").cast("double").alias("failure_rate_percent"),
         json_value("metrics", "$.throughput", "double").alias("throughput"),
     )
+
+
+_CHANGED = "(SELECT * FROM orders WHERE o_orderkey % 8 <> 2 UNION ALL SELECT * FROM orders WHERE o_orderkey % 8 = 1)"
+
+
+@query(
+    "dq_incremental",
+    f"""SELECT rule_name, rule_type, failed_count, records_processed, 8 + 1 AS files, 2 AS files_read FROM (
+        {_one("o_totalprice_range", "range", "NOT o_totalprice BETWEEN 1000 AND 400000", _CHANGED)}
+        UNION ALL {_one("o_orderstatus_accepted", "accepted_values", "o_orderstatus NOT IN ('O', 'F')", _CHANGED)}
+        UNION ALL SELECT 'o_orderkey_unique', 'unique', CAST(coalesce(sum(n), 0) AS BIGINT)
+        FROM (SELECT count(*) AS n FROM {_CHANGED} GROUP BY o_orderkey HAVING count(*) > 1)
+        UNION ALL SELECT 'o_custkey_references', 'references', count(*) FROM {_CHANGED}
+        WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')),
+        (SELECT count(*) AS records_processed FROM {_CHANGED})""",
+)
+def dq_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders in eight files; then one is replaced by nothing, one comes twice, and a run reads these two files only."""
+    stored, store = scratch_path(spark, "orders"), scratch_path(spark, "results")
+    orders = table(spark, folder, "orders").withColumn("piece", F.pmod("o_orderkey", F.lit(8)).cast("int"))
+    known = table(spark, folder, "customer").where(F.col("c_mktsegment") != "BUILDING")
+    rules = [
+        R.in_range("o_totalprice", 1000, 400000), R.accepted_values("o_orderstatus", ["O", "F"]), R.unique("o_orderkey"),
+        R.references("o_custkey", known, "c_custkey"),
+    ]
+    orders.repartition("piece").write.partitionBy("piece").parquet(stored)
+    check_changed(spark, stored, rules, store)
+    orders.where("false").drop("piece").coalesce(1).write.mode("overwrite").parquet(f"{stored}/piece=2")
+    orders.where("piece = 1").drop("piece").coalesce(1).write.parquet(f"{stored}/piece=9")
+    found = check_changed(spark, stored, rules, store)
+    counts = {"records_processed": found.counters.first()["records_processed"], "files": found.files, "files_read": found.files_read}
+    return found.results.select("*", *[F.lit(n).cast("int" if "files" in c else "bigint").alias(c) for c, n in counts.items()])

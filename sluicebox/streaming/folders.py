@@ -19,8 +19,12 @@ Handler = Callable[[DataFrame, int], None]
 def each_piece(
     spark: SparkSession, folder: str, schema: T.StructType | str, handler: Handler, checkpoint: str,
     file_format: str = "csv", files_per_piece: int = 1, options: dict[str, object] | None = None,
+    shape: Callable[[DataFrame], DataFrame] | None = None, output_mode: str = "append",
 ) -> None:
-    """Hand every file of ``folder`` to ``handler(piece, number)``, ``files_per_piece`` files at a time."""
+    """Hand every file of ``folder`` to ``handler(piece, number)``, ``files_per_piece`` files at a time.
+
+    ``shape`` may turn the stream into another one first, with state that is kept from piece to piece.
+    """
     stream = (
         spark.readStream.format(file_format)
         .schema(schema)
@@ -29,7 +33,9 @@ def each_piece(
         .load(folder)
     )
     query = (
-        stream.writeStream.foreachBatch(handler)
+        (shape(stream) if shape else stream)
+        .writeStream.foreachBatch(handler)
+        .outputMode(output_mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -15,7 +15,9 @@ from sluicebox.operators import metrics as M
 from sluicebox.operators import buckets, ordering, profile, sinks
 from sluicebox.plans import audit, model, views
 from sluicebox.operators import rules as R
+from sluicebox.operators.incremental import check_changed
 from sluicebox.streaming.folders import check_folder
+from sluicebox.streaming.keys import check_folder_keys
 
 NOW = dt.datetime(2025, 1, 1)
 
@@ -324,6 +326,147 @@ def test_stream_resumes_and_repeats_safely(spark, tmp_path):
     assert second.agg(F.sum("records_processed"), F.sum("failed_count")).first()[:] == (35, 5)
 
 
+def test_stream_keys_hold_across_pieces_and_replays(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema = "id bigint, price double, name string"
+    pieces = [[(1, 0.5, "a"), (2, 0.5, None)], [(1, -0.0, "a"), (3, 0.0, "b")], [(1, 7.0, "a"), (None, 8.0, "c"), (9, 9.0, None)]]
+    parents = spark.createDataFrame([("a",), ("x",), (None,)], "name string")
+    rules = [R.unique("id"), R.unique("price"), R.references("name", parents, "name"), R.unique("id", "name", name="pair")]
+    options = {"options": {"header": True}}
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").option("header", True).csv(source)
+
+    def check():
+        return {r.rule_name: r.failed_count for r in check_folder_keys(spark, source, schema, rules, out, progress, **options).collect()}
+
+    def batch(rows):
+        return {r.rule_name: r.failed_count for r in R.failed_counts(spark.createDataFrame(rows, schema), rules).collect()}
+
+    for i, piece in enumerate(pieces):
+        add(piece)
+        assert check() == batch(sum(pieces[: i + 1], []))
+    before = check()
+    # As if the application had died after the last piece was written and before it was recorded.
+    commits = sorted((tmp_path / "progress" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    for crc in (tmp_path / "progress" / "commits").glob(f".{commits[-1].name}.crc"):
+        crc.unlink()
+    assert check() == before == {"id_unique": 3, "price_unique": 4, "name_references": 2, "pair": 3}
+    assert sorted(p.name for p in commits[-1].parent.glob("[0-9]*"))[-1] == commits[-1].name
+
+
+def test_stream_keys_of_an_empty_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    found = check_folder_keys(spark, str(tmp_path / "in"), "id bigint", [R.unique("id")], str(tmp_path / "out"), str(tmp_path / "progress"))
+    assert [tuple(r) for r in found.collect()] == [("id_unique", "unique", 0)]
+
+
+def test_changed_files_only_are_checked_again(spark, tmp_path):
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    parents = spark.range(50)
+    rules = [R.min_value("v", 3), R.unique("id"), R.references("id", parents, "id")]
+
+    def put(piece, first, n):
+        rows = spark.range(first, first + n).select("id", (F.col("id") % 10).alias("v")).coalesce(1)
+        rows.write.mode("overwrite").parquet(f"{folder}/piece={piece}")
+
+    def check(rules=rules):
+        found = check_changed(spark, str(folder), rules, store)
+        whole = R.failed_counts(spark.read.parquet(str(folder)), rules)
+        assert sorted(map(tuple, found.results.collect())) == sorted(map(tuple, whole.collect()))
+        counters = found.counters.first()
+        assert counters.records_processed == spark.read.parquet(str(folder)).count()
+        assert counters.records_failed == spark.read.parquet(str(folder)).where("v < 3").count()
+        return found.files, found.files_read
+
+    put(0, 0, 20)
+    put("a b", 20, 20)
+    put(2, 40, 20)
+    assert check() == (3, 3)
+    assert check() == (3, 0)
+    put(3, 10, 5)  # added: five keys a second time
+    assert check() == (4, 1)
+    put(2, 100, 7)  # replaced
+    assert check() == (4, 1)
+    for file in list((folder / "piece=0").iterdir()):
+        file.unlink()  # removed: the repeated keys are single again
+    assert check() == (3, 0)
+    assert check([R.min_value("v", 3, name="other"), R.unique("v"), R.min_value("v", 3)]) == (3, 3)  # other rules
+    assert check() == (3, 0)
+    assert {r.rule_name: r.failed_count for r in check_changed(spark, str(folder), rules, store).results.collect()}["id_unique"] == 0
+
+
+def test_changed_files_left_by_a_lost_run(spark, tmp_path, monkeypatch):
+    folder, store = str(tmp_path / "in"), str(tmp_path / "store")
+    spark.range(10).coalesce(1).write.parquet(folder)
+    rules = [R.unique("id"), R.min_value("id", 4)]
+    from sluicebox.operators import incremental
+
+    def lost(df, label):
+        if label == "fresh":
+            raise RuntimeError("lost")
+        return scratch.written(df, label)
+
+    monkeypatch.setattr(incremental, "written", lost)
+    with pytest.raises(RuntimeError):
+        check_changed(spark, folder, rules, store)
+    monkeypatch.setattr(incremental, "written", scratch.written)
+    found = check_changed(spark, folder, rules, store)
+    assert {r.rule_name: r.failed_count for r in found.results.collect()} == {"id_unique": 0, "id_min": 4}
+    assert found.files_read == 1 and found.counters.first()[:] == (10, 4)
+
+
+def rows_read(df):
+    """Rows that the file scan of a plan without shuffles gives to the rest of it, and the result's rows."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found = len(plan.executeCollect())
+    return plan.collectLeaves().head().metrics().apply("numOutputRows").value(), found
+
+
+def test_audit_lookup_reads_few_rows(spark, tmp_path):
+    logs = spark.range(60_000).select(
+        F.timestamp_seconds(F.col("id") * 2 + 1_700_000_000).alias("timestamp"), F.md5((F.col("id") % 500).cast("string")).alias("correlation_id"),
+        F.lit("INFO").alias("level"), F.lit("m").alias("module"), "id",
+    )
+    audit.write_audit(logs, str(tmp_path / "logs"))
+    stored = spark.read.parquet(str(tmp_path / "logs"))
+    key = logs.where("id = 7").first()["correlation_id"]
+    read, found = rows_read(audit.find_audit(stored, correlation_id=key))
+    assert found == 120 and read < 6_000
+    # Within the range of ids, but in no file: the bloom filters pass over all of them.
+    assert rows_read(audit.find_audit(stored, correlation_id=key[:-1] + "x")) == (0, 0)
+
+
+def test_latency_sketches_add_up(spark, tmp_path):
+    path = str(tmp_path / "sketches")
+    rows = spark.range(40_000).select(
+        F.timestamp_seconds(F.col("id") * 10 + 1_700_000_000).alias("at"), F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("g"),
+        F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") % 50 == 1, F.lit("NaN").cast("double")).otherwise(F.pow(F.rand(1), 3)).alias("v"),
+    )
+    rows = scratch.written(rows)
+    M.write_latency_sketches(rows.where("g = 'hot'"), path, ["g"], "v", "at")
+    M.write_latency_sketches(rows.where("g <> 'hot'"), path, ["g"], "v", "at")
+    found = M.sketched_latency(spark.read.parquet(path), ["g"])
+    known = rows.where("v IS NOT NULL AND NOT isnan(v)").groupBy("g").agg(
+        F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+    exact = {r.g: r for r in known.collect()}
+    for r in found.collect():
+        e = exact[r.g]
+        assert (r.samples, r.minimum, r.maximum) == (e.n, e.low, e.high) and r.mean == pytest.approx(e.mean)
+    errors = M.rank_errors(rows, "g", "v", found).collect()
+    assert len(errors) == 2 and all(e[c] <= 3 * M.sketch_rank_error() for e in errors for c in M.LATENCY_POINTS)
+    assert M.sketched_latency(spark.read.parquet(path), []).first()["samples"] == sum(e.n for e in exact.values())
+
+
+def test_few_samples_have_exact_ranks(spark, tmp_path):
+    path = str(tmp_path / "sketches")
+    rows = spark.createDataFrame([("a", float(i), NOW) for i in range(1, 101)] + [("b", None, NOW)], "g string, v double, at timestamp")
+    M.write_latency_sketches(rows, path, ["g"], "v", "at")
+    (only,) = M.sketched_latency(spark.read.parquet(path), ["g"]).collect()
+    assert only.asDict() == {"g": "a", "samples": 100, "mean": 50.5, "minimum": 1.0, "maximum": 100.0, "p50": 50.0, "p95": 95.0, "p99": 99.0}
+
+
 def test_scratch_is_a_shared_folder():
     class Fake:
         class conf:
