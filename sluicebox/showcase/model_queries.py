@@ -16,13 +16,14 @@ from sluicebox.operators.metrics import (
     LATENCY_POINTS, latency_rollup, latest_metrics, rank_errors, sketch_rank_error, sketched_latency, throughput,
     write_latency_sketches, write_metrics,
 )
-from sluicebox.operators.profile import labels, null_cells, profile
-from sluicebox.plans import audit, model, views
+from sluicebox.operators.profile import distinct_error, distinct_sketched, heavy_labels, labels, null_cells, profile
+from sluicebox.plans import audit, maintained, model, views
 from sluicebox.operators.rules import failed_counts
 from sluicebox.operators.sinks import constants_for_match
+from sluicebox import scratch
 from sluicebox.scratch import scratch_path
 from sluicebox.showcase import relations as rel
-from sluicebox.showcase.registry import query, table
+from sluicebox.showcase.registry import SQL, query, table
 from sluicebox.sources.jdbc import bound_query, with_parameters
 
 
@@ -60,6 +61,30 @@ def vw_security_posture(spark: SparkSession, folder: str) -> DataFrame:
     return posture.select(*[F.col(c).cast("double").alias(c) if c in doubles else F.col(c) for c in posture.columns])
 
 
+@query("posture_incremental", SQL["vw_security_posture"])
+def posture_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The posture after inserts, updates and deletes, from the state before them.
+
+    Before the change, every fifth user's simulations were missing, every third user's had other results, and every seventh
+    user's were there a second time and a day later, so that the latest start of each type is taken away.
+    """
+    after = scratch.written(rel.simulations(spark, folder), "simulations")
+    user = F.split("id", r"\|")[0].cast("bigint")
+    inserted, updated, doubled = user % 5 == 0, (user % 3 == 0) & (user % 5 != 0), user % 7 == 0
+    older = after.where(updated).withColumns({
+        "attempts_successful": F.col("attempts_successful") + 5, "security_score": F.lit(1).cast("decimal(5,2)"),
+        "start_time": F.col("start_time") - F.expr("INTERVAL 1 HOUR"),
+    })
+    surplus = after.where(doubled).withColumn("start_time", F.col("start_time") + F.expr("INTERVAL 1 DAY"))
+    before = after.where(~inserted & ~updated).unionByName(older).unionByName(surplus)
+    removed = older.unionByName(surplus)
+    added = after.where(inserted).unionByName(after.where(updated))
+    state = scratch.written(maintained.posture_state(before), "posture")
+    posture = maintained.posture_of(maintained.changed_posture(state, removed, added, after))
+    doubles = ["avg_security_score", "avg_detection_rate", "avg_mttd_ms"]
+    return posture.select(*[F.col(c).cast("double").alias(c) if c in doubles else F.col(c) for c in posture.columns])
+
+
 @query(
     "execution_duration",
     f"""WITH {rel.EXECUTIONS_SQL}
@@ -337,6 +362,37 @@ def profile_null_cells(spark: SparkSession, folder: str) -> DataFrame:
     return null_cells(_labelled(spark, folder))
 
 
+HEAVY_SHARE = 0.02
+
+
+@query(
+    "profile_heavy",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS "rows" FROM lineitem GROUP BY {c}
+            HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM lineitem)"""
+        for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    ),
+)
+def profile_heavy(spark: SparkSession, folder: str) -> DataFrame:
+    return heavy_labels(table(spark, folder, "lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"], HEAVY_SHARE)
+
+
+@query(
+    "profile_distinct",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS distinct_values, TRUE AS within FROM lineitem"""
+        for c in ("l_orderkey", "l_partkey", "l_linenumber")
+    ),
+)
+def profile_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """The sketched numbers of different values, measured against the exact ones: within five standard errors."""
+    columns, items = ["l_orderkey", "l_partkey", "l_linenumber"], table(spark, folder, "lineitem")
+    exact = labels(items, columns).where("value IS NOT NULL").groupBy("column").agg(F.count(F.lit(1)).alias("exact"))
+    found = distinct_sketched(items, columns).join(exact, "column")
+    off = F.abs(F.col("distinct_values") - F.col("exact"))
+    return found.select("column", F.col("exact").alias("distinct_values"), (off <= 5 * distinct_error() * F.col("exact")).alias("within"))
+
+
 @query(
     "profile_labels",
     """SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, count(*) AS "rows" FROM orders GROUP BY o_orderstatus

@@ -13,7 +13,7 @@ from sluicebox.functions import scalars
 from sluicebox.operators import latest as L
 from sluicebox.operators import metrics as M
 from sluicebox.operators import buckets, ordering, profile, sinks
-from sluicebox.plans import audit, model, views
+from sluicebox.plans import audit, maintained, model, views
 from sluicebox.operators import rules as R
 from sluicebox.operators.incremental import check_changed
 from sluicebox.streaming.folders import check_folder
@@ -467,6 +467,59 @@ def test_few_samples_have_exact_ranks(spark, tmp_path):
     assert only.asDict() == {"g": "a", "samples": 100, "mean": 50.5, "minimum": 1.0, "maximum": 100.0, "p50": 50.0, "p95": 95.0, "p99": 99.0}
 
 
+def test_heavy_labels_are_all_found(spark):
+    hot = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.concat(F.lit("v"), F.col("id")))
+    late = F.when(F.col("id") >= 29_000, "late").otherwise(F.col("id").cast("string"))  # in the last tasks only
+    df = scratch.written(spark.range(30_000).select(hot.alias("a"), late.alias("b.c"), (F.col("id") % 7).alias("d")))
+    found = sorted((tuple(r) for r in profile.heavy_labels(df, ["a", "b.c", "d"], 0.03).collect()), key=str)
+    whole = profile.labels(df, ["a", "b.c", "d"]).where("rows >= 900")
+    assert found == sorted((tuple(r) for r in whole.collect()), key=str)
+    assert ("a", "hot", 10_000) in found and ("b.c", "late", 1_000) in found and [v for c, v, _ in found if c == "a" and v is None]
+    assert profile.heavy_labels(df.limit(0), ["a"], 0.5).count() == 0
+    with pytest.raises(ValueError):
+        profile.heavy_labels(df, ["a"], 0)
+
+
+def test_summaries_bound_their_error():
+    import pandas as pd
+
+    rng, size = np.random.default_rng(3), 20
+    values = np.concatenate([rng.integers(0, 5000, 20_000), np.full(2_500, 7)])
+    rng.shuffle(values)
+    kept, missed = pd.Series(dtype="int64"), 0
+    for part in np.array_split(values, 30):
+        kept, error = profile._fewest(kept, pd.Series(part.astype(str)).value_counts(dropna=False), size)
+        missed += error
+    exact = pd.Series(values.astype(str)).value_counts()
+    assert missed <= len(values) / (size + 1) and "7" in kept.index and len(kept) <= size
+    assert all(n - missed <= kept.get(v, 0) <= n for v, n in exact.items())
+
+
+def test_posture_follows_changes(spark):
+    schema = (
+        "id int, attack_type string, start_time timestamp, attempts_total bigint, attempts_detected bigint, attempts_successful bigint, "
+        "mttd_avg_ms decimal(10,2), security_score decimal(5,2)"
+    )
+    from decimal import Decimal as D
+
+    def row(i, kind, day, total=10, detected=3, won=1, mttd="1.25", score="50.00"):
+        when = dt.datetime(2025, 1, day) if day else None
+        return (i, kind, when, total, detected, won, D(mttd) if mttd else None, D(score) if score else None)
+
+    first = [row(1, "a", 5), row(2, "a", 9, detected=7), row(3, "b", 2, mttd=None), row(4, None, 3), row(5, "c", 4), row(6, "d", 4, total=0), row(7, "e", None)]
+    then = [row(1, "a", 5, score="0.01"), row(3, "b", 8, mttd="3.33"), row(8, "b", 1), row(4, None, 1), row(6, "d", 4, total=3), row(9, "n", 6, won=None), row(7, "e", 2)]
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    view = lambda df: sorted(map(tuple, df.collect()), key=str)
+    state = maintained.posture_state(frame(first))
+    assert view(maintained.posture_of(state)) == view(views.security_posture(frame(first)))
+    gone = [r for r in first if r not in then]
+    new = [r for r in then if r not in first]
+    changed = maintained.changed_posture(state, frame(gone), frame(new), frame(then))
+    assert view(maintained.posture_of(changed)) == view(views.security_posture(frame(then)))
+    same = maintained.changed_posture(changed, frame([]), frame([]), frame([]))  # without a lost maximum the table is not read
+    assert view(maintained.posture_of(same)) == view(views.security_posture(frame(then)))
+
+
 def test_scratch_is_a_shared_folder():
     class Fake:
         class conf:
