@@ -11,6 +11,7 @@ from sluicebox.operators.ordering import page, pages, row_index
 from sluicebox.operators.sinks import write_csv
 from sluicebox.scratch import scratch_path
 from sluicebox.showcase.registry import query, table
+from sluicebox.sources.bounds import page_bounds
 from sluicebox.sources.chunks import map_chunks, with_chunks
 from sluicebox.sources.delimited import merged_options, read_csv, read_csv_quarantined
 from sluicebox.sources.inventory import file_inventory, oversized_files, record_guard
@@ -431,6 +432,29 @@ def pages_of_ties(spark: SparkSession, folder: str) -> DataFrame:
     return numbered.groupBy("page_id", "l_returnflag").agg(F.count(F.lit(1)).alias("records"))
 
 
+def _bounds_sql(key: str, source: str, size: int) -> str:
+    """Pages start at keys whose rows begin at a multiple of the size, or after keys whose rows span one."""
+    return f"""WITH k AS (SELECT {key} AS k, count(*) AS n FROM {source} WHERE {key} IS NOT NULL GROUP BY ALL),
+       b AS (SELECT k, n, sum(n) OVER (ORDER BY k) - n AS b, sum(n) OVER () AS total FROM k),
+       o AS (SELECT k AS low, b AS first_row, total FROM b WHERE b % {size} = 0
+             UNION ALL SELECT k + 1, b + n, total FROM b WHERE b // {size} * {size} + {size} < b + n),
+       p AS (SELECT max(low) AS low, first_row, total FROM o WHERE first_row < total GROUP BY ALL)
+       SELECT row_number() OVER (ORDER BY low) - 1 AS page_id, CAST(low AS BIGINT) AS low, CAST(lead(low) OVER (ORDER BY low) AS BIGINT) AS high,
+              CAST(first_row AS BIGINT) AS first_row, CAST(coalesce(lead(first_row) OVER (ORDER BY low), total) - first_row AS BIGINT) AS n_rows FROM p"""
+
+
+@query("page_bounds", _bounds_sql("l_orderkey * 8 + l_linenumber", "lineitem", 1000))
+def bounds_of_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of 1,000 rows on a sparse key, found by counting ranges of keys."""
+    return page_bounds(table(spark, folder, "lineitem"), F.col("l_orderkey") * 8 + F.col("l_linenumber"), 1000)
+
+
+@query("page_bounds_skewed", _bounds_sql("user_id", "events", 50))
+def bounds_of_ties(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of 50 rows where keys repeat: rows of one key stay together."""
+    return page_bounds(table(spark, folder, "events"), "user_id", 50)
+
+
 @query("row_numbers", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_index FROM events")
 def row_numbers(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("ts", "event_id")

@@ -11,6 +11,7 @@ from sluicebox.functions.scalars import (
     array_length, json_contains, json_value, money_round, null_or, seconds_between, sum_of, trimmed_length,
 )
 from sluicebox.operators.corrupt import numeric_columns
+from sluicebox.operators.label_index import find_labelled, label_counts, write_indexed
 from sluicebox.operators.latest import latest
 from sluicebox.operators.metrics import (
     LATENCY_POINTS, latency_rollup, latest_metrics, rank_errors, sketch_rank_error, sketched_latency, throughput,
@@ -249,6 +250,29 @@ def json_label_filter(spark: SparkSession, folder: str) -> DataFrame:
     return events.select("event_id", "event_type", json_value("props", "$.k", "bigint").alias("k"))
 
 
+@query("json_label_indexed", SQL["json_label_filter"])
+def json_label_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search by an index kept beside the stored rows: only parts that hold the label are read."""
+    path = scratch_path(spark, "labelled")
+    write_indexed(table(spark, folder, "events"), path, "props", "all")
+    found = find_labelled(spark, path, "props", {"k": 42})
+    return found.select("event_id", "event_type", json_value("props", "$.k", "bigint").alias("k"))
+
+
+@query(
+    "json_label_counts",
+    """SELECT 'k' AS path, json_extract_string(props, '$.k') AS value, count(*) AS records FROM events
+       WHERE json_extract_string(props, '$.k') = '7' GROUP BY ALL""",
+)
+def json_label_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that hold a label, counted from the index of two stored batches; no stored row is read."""
+    path, events = scratch_path(spark, "labelled"), table(spark, folder, "events")
+    errors = F.coalesce(F.col("event_type") == "error", F.lit(False))
+    write_indexed(events.where(errors), path, "props", "errors", parts=16)
+    write_indexed(events.where(~errors), path, "props", "others")
+    return label_counts(spark, path, {"k": 7, "missing": 7})
+
+
 @query(
     "run_throughput",
     f"""WITH {rel.EXECUTIONS_SQL}
