@@ -2,7 +2,9 @@
 
 The markup is stripped to lines, one per block, in page order: scripts, styles, comments, menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments leave an empty line, article elements of that kind too. Of the
-elements that only look like it by a class word, or are a form, one that holds the page's dominant text is none.
+elements that only look like it by a class word, or are a form, one that holds the page's dominant text is none. A class name that joins such a
+word of wide use to one that is no word of layout (``related-work``, ``search-history``) is uncertain: the line blocks decide. Such a block stays where its own windows
+rise above ``FLOOR`` and most of its text is outside links, as prose does and lists of links and buttons do not.
 
 The lengths of the text outside links are summed over sliding windows of ``WINDOW`` lines, on every page. A surge is
 a window that rises above the threshold, a dive one that falls to nothing; the lines up to a dive on either side of a
@@ -61,6 +63,13 @@ _WORDS = (
     "footer toolbar login signup search complementary contentinfo alert"
 ).split()
 _HIDING = re.compile(r"(?<![a-z])(?:" + "|".join(_WORDS) + r")(?![a-z])", re.I)
+#: Words of wide use: beside a word that is no word of layout they may name a subject.
+_WIDE = set("related recommended share sharing social widget promotion menu pagination search login signup subscription toolbar".split())
+_LAYOUT = set(
+    "area article articles bar block body box btn button buttons card cards col column container content div field footer form grid group head header holder icon "
+    "icons inner item items left link links list main menu more news outer page pages panel post posts read right row section site sub stories story "
+    "teaser teasers text title top topics bottom ul view wrap wrapper".split()
+)
 _HEADING = re.compile(r"(?<![a-z])(?:header|masthead)(?![a-z])", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WHOLE = set("html body".split())
@@ -133,6 +142,19 @@ def _hides(name: str, attributes: str, in_article: bool) -> bool:
     return bool(_HIDING.search(labels) or (not in_article and _HEADING.search(labels)))
 
 
+def _uncertain(name: str, attributes: str) -> bool:
+    """Whether an element that looks hidden does so only by names that join a word of wide use to a word of a subject."""
+    if name in _HIDDEN or name == "header":
+        return False
+    for label in " ".join(_NAMED.findall(attributes)).replace('"', " ").replace("'", " ").split():
+        if _HIDING.search(label) or _HEADING.search(label):
+            words = set(re.findall("[a-z]+", label.lower()))
+            listed = {w for w in words if _HIDING.fullmatch(w) or _HEADING.fullmatch(w)}
+            if not listed <= _WIDE or words <= _WIDE | _LAYOUT:
+                return False
+    return True
+
+
 def _bodies(page: str, tokens: list[re.Match], closed: dict[int, int]) -> set[int]:
     """Elements that look hidden and hold the page's dominant text: the one whose own text dominates, others of the same tag, and
     those around them.
@@ -181,7 +203,10 @@ def _bodies(page: str, tokens: list[re.Match], closed: dict[int, int]) -> set[in
 
 
 def page_lines(page: str) -> list[tuple[str, int, int]]:
-    """The lines of a page: text, length outside links, number of the outermost article element or -1."""
+    """The lines of a page: text, length outside links, number of the outermost article element or -1.
+
+    Uncertain blocks that have no surge of their own are replaced by an empty line.
+    """
     tokens = _tokens(page)
     closed = _closings(tokens)
     bodies = _bodies(page, tokens, closed)
@@ -189,7 +214,7 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
     parts: list[str] = []
     linked = 0
     at = 0
-    hidden_until = article_until = link_until = article = -1
+    hidden_until = article_until = link_until = article = unsure_until = unsure_from = -1
 
     def flush(empty: bool = False) -> None:
         nonlocal linked
@@ -199,8 +224,20 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
         parts.clear()
         linked = 0
 
+    def settle() -> None:
+        """At the end of an uncertain block: does its curve rise by itself?"""
+        nonlocal unsure_until
+        block = lines[unsure_from:]
+        own = sum(length for _, length, _ in block)
+        if not (own and spans(np.array([length for _, length, _ in block], dtype=np.float64), FLOOR) and 2 * own > sum(len(text) for text, _, _ in block)):
+            lines[unsure_from:] = [("", 0, article)]
+        unsure_until = -1
+
     for i, token in enumerate(tokens):
         if i > hidden_until:
+            if 0 <= unsure_until < i:  # its end lay inside a hidden element
+                flush()
+                settle()
             if token.start() > at:
                 text = page[at : token.start()]
                 parts.append(text)
@@ -211,7 +248,12 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
                 if name not in _INLINE:
                     flush()
                 if not token[1]:
-                    if i in closed and i not in bodies and _hides(name, token[3], article >= 0):
+                    hides = i in closed and i not in bodies and _hides(name, token[3], article >= 0)
+                    if hides and name not in _ARTICLE and _uncertain(name, token[3]):
+                        if unsure_until < 0:
+                            flush()
+                            unsure_until, unsure_from = closed[i], len(lines)
+                    elif hides:
                         flush()
                         flush(empty=True)
                         hidden_until = closed[i]
@@ -221,7 +263,13 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
                         link_until = closed[i]
                 elif i == article_until:
                     article = article_until = -1
+                if i == unsure_until:
+                    flush()
+                    settle()
         at = token.end()
+    if unsure_until >= 0:
+        flush()
+        settle()
     if at < len(page):
         parts.append(page[at:])
     flush()

@@ -287,3 +287,27 @@ def test_raw_elements_that_are_never_closed_take_linear_time():
         assert time.perf_counter() - begin < 20 and text.startswith("plain words")
     mixed = f"<script>a</script x>b</ScRiPt >{body}<style>c<p>d</style><svg><title>e</title></svg>"
     assert html_text.main_text(mixed) == " ".join(["plain words of an article"] * 20)
+
+
+def test_line_blocks_decide_on_uncertain_class_names():
+    from sluicebox.llm.html_text import main_text
+
+    prose = "Earlier work on this question looked at far smaller tables, and found that most of them were sorted before they were ever read."
+    links = "".join(f"<li><a href='/{i}'>An earlier story of much the same kind, number {i}</a></li>" for i in range(9))
+    for name in ("related-work", "search-history", "social_policy", "menu-engineering", "share-prices"):
+        page = f"<article><p>{prose}</p><section class='x {name}'><h2>More</h2><p>{prose}</p></section><p>The end.</p></article>"
+        assert main_text(page) == "\n".join([prose, "More", prose, "The end."]), name
+        page = page.replace(f"<h2>More</h2><p>{prose}</p>", f"<h2>More</h2><ul>{links}</ul>")
+        assert main_text(page) == f"{prose}\nThe end.", name
+    # Names of layout, and of comments, adverts and notices, are no matter of length.
+    for name in ("related", "related-posts", "search-box", "comment-history", "ad-history", "cookie-policy", "social share-buttons"):
+        page = f"<article><p>{prose}</p><div class='{name}'><p>{prose} Again.</p></div><p>The end.</p></article>"
+        assert main_text(page) == f"{prose}\nThe end.", name
+    # An uncertain block in and around others, never closed, and empty.
+    page = f"<article><p>{prose}</p><div class='related-work'><div class='ad'>{prose}</div><div class='share-prices'><p>{prose}</p></div></div></article>"
+    assert main_text(page) == f"{prose}\n{prose}"
+    assert main_text(f"<p>{prose}</p><div class='related-work'><p>a</p>") == f"{prose}\na"
+    assert main_text(f"<article><p>{prose}</p><div class='related-work'></div><p>b</p></article>") == f"{prose}\nb"
+    assert main_text(f"<p>{prose}</p><div class='related-work'><article><p>{prose}</p></article></div><p>b</p>").count(prose) >= 1
+    assert main_text(f"<p>{prose}</p><div class='related-work'><p>short</p><aside>x</div><p>y</aside><p>b</p>") == f"{prose}\nb"
+    assert main_text(f"<p>{prose}</p><div class='related-work'><p>short</p><aside>x</div><p>y</aside>b") == f"{prose}\nb"
