@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,6 +155,21 @@ def _csv_pieces(spark: SparkSession, folder: str) -> str:
     return path
 
 
+STREAM_FILES = 300
+
+
+def _csv_stream(spark: SparkSession, folder: str) -> str:
+    """Orders as CSV files of ROWS_PER_DOCUMENT rows, of more where these would be over STREAM_FILES files.
+
+    So the pieces of a stream are many, and larger in a larger table, but their number has a bound, as has what a piece costs besides its rows.
+    """
+    path = scratch_path(spark, "stream")
+    orders = table(spark, folder, "orders")
+    files = min(STREAM_FILES, max(1, math.ceil(orders.count() / ROWS_PER_DOCUMENT)))
+    orders.repartition(files).write.option("header", True).csv(path)
+    return path
+
+
 CHUNK_ROWS = 300
 NUMBERED_ORDERS = f"""
     SELECT o_orderkey // {ROWS_PER_DOCUMENT} AS piece, o_orderkey, o_orderstatus,
@@ -215,7 +232,7 @@ def csv_stream_checks(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "orders").schema
     rules = [R.accepted_values("o_orderstatus", ["O", "F"]), R.in_range("o_totalprice", 1000, 400000)]
     pieces = check_folder(
-        spark, _csv_pieces(spark, folder), schema, rules, scratch_path(spark, "checked"), scratch_path(spark, "progress"),
+        spark, _csv_stream(spark, folder), schema, rules, scratch_path(spark, "checked"), scratch_path(spark, "progress"),
         files_per_piece=10, options={"header": True, "recursiveFileLookup": True},
     )
     return pieces.groupBy("rule_name").agg(
@@ -238,7 +255,7 @@ def csv_stream_unique(spark: SparkSession, folder: str) -> DataFrame:
     known = table(spark, folder, "customer").where(F.col("c_mktsegment") != "BUILDING")
     rules = [R.unique("o_custkey"), R.unique("o_orderkey"), R.references("o_custkey", known, "c_custkey")]
     return check_folder_keys(
-        spark, _csv_pieces(spark, folder), schema, rules, scratch_path(spark, "checked"), scratch_path(spark, "progress"),
+        spark, _csv_stream(spark, folder), schema, rules, scratch_path(spark, "checked"), scratch_path(spark, "progress"),
         files_per_piece=10, options={"header": True, "recursiveFileLookup": True},
     )
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from sluicebox.operators import buckets, ordering, profile, sinks
 from sluicebox.plans import audit, maintained, model, views
 from sluicebox.operators import rules as R
 from sluicebox.operators.incremental import check_changed
+from sluicebox.showcase import file_queries
 from sluicebox.streaming.folders import check_folder
 from sluicebox.streaming.keys import check_folder_keys
 
@@ -356,6 +358,37 @@ def test_stream_keys_hold_across_pieces_and_replays(spark, tmp_path):
     assert sorted(p.name for p in commits[-1].parent.glob("[0-9]*"))[-1] == commits[-1].name
 
 
+def test_stream_keys_stand_in_few_buckets_on_disk(spark, tmp_path):
+    """A piece opens and saves every bucket, so their number is that of the cores' use and not of the shuffle partitions."""
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    spark.createDataFrame([(i % 40,) for i in range(60)], "id bigint").repartition(3).write.csv(source)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")
+    before = {name: spark.conf.get(name) for name in names}
+    spark.conf.set(names[0], "70")
+    try:
+        rows = check_folder_keys(spark, source, "id bigint", [R.unique("id")], out, progress).collect()
+        assert spark.conf.get(names[0]) == "70" and spark.conf.get(names[1]) == before[names[1]]
+    finally:
+        spark.conf.set(names[0], before[names[0]])
+    assert [tuple(r) for r in rows] == [("id_unique", "unique", 40)]
+    buckets = list((tmp_path / "progress" / "state" / "0").glob("[0-9]*"))
+    assert len(buckets) == min(70, 2 * spark.sparkContext.defaultParallelism)
+    assert "RocksDB" in (tmp_path / "progress" / "offsets" / "0").read_text()
+
+
+def test_stream_files_have_a_bounded_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(file_queries, "ROWS_PER_DOCUMENT", 10)
+    monkeypatch.setattr(file_queries, "STREAM_FILES", 4)
+    for rows, files in ((0, 0), (7, 1), (15, 2), (95, 4)):
+        orders = spark.range(rows).select(F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("o_orderkey"), F.col("id").alias("o_custkey"))
+        orders.write.parquet(str(tmp_path / str(rows) / "orders.parquet"))
+        path = file_queries._csv_stream(spark, str(tmp_path / str(rows))).removeprefix("file:")
+        found = spark.read.schema(orders.schema).option("header", True).csv(path)
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, orders.collect()), key=repr)
+        if rows:
+            assert len(list(Path(path).glob("part-*"))) == files
+
+
 def test_stream_keys_of_an_empty_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     found = check_folder_keys(spark, str(tmp_path / "in"), "id bigint", [R.unique("id")], str(tmp_path / "out"), str(tmp_path / "progress"))
