@@ -14,7 +14,7 @@ from sluicebox.operators.sinks import write_csv
 from sluicebox.scratch import scratch_path
 from sluicebox.showcase.registry import query, table
 from sluicebox.sources.bounds import page_bounds
-from sluicebox.sources.chunks import map_chunks, with_chunks
+from sluicebox.sources.chunks import BLOCK_BITS, map_chunks, with_chunks
 from sluicebox.sources.delimited import merged_options, read_csv, read_csv_quarantined
 from sluicebox.sources.inventory import file_inventory, oversized_files, record_guard
 from sluicebox.sources.jdbc import tables_of
@@ -23,6 +23,13 @@ from sluicebox.streaming.folders import check_folder
 from sluicebox.streaming.keys import check_folder_keys
 
 ROWS_PER_DOCUMENT = 5000
+#: A file of several blocks, which one task writes.
+FILE_BYTES = 256 << 20
+
+
+def _files(size: DataFrame, least: int) -> int:
+    """How many files of FILE_BYTES hold the bytes that ``size`` gives, ``least`` at the least."""
+    return max(least, math.ceil((size.first()[0] or 0) / FILE_BYTES))
 
 
 @query("csv_roundtrip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -327,23 +334,32 @@ def json_object_broken(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _one_document(spark: SparkSession, records: DataFrame, order: str, opening: str, closing: str) -> str:
-    """A single file with ``value`` of all records between the brackets, written record by record: one file has one writer."""
+def _documents(spark: SparkSession, records: DataFrame, order: str, opening: str, closing: str) -> str:
+    """Files of about FILE_BYTES with ``value`` of the records between the brackets, each one document in the order of ``order``.
+
+    A file has one writer, so more records make more files. Records of equal ``order`` stand in one document. Keys are dealt by
+    a hash: files differ little in size, whatever the sizes of neighbours. Records without a value are left out.
+    """
     path = scratch_path(spark, "json")
-    first, last = records.agg(F.min(order), F.max(order)).first()
-    text = F.concat(
-        F.when(F.col(order) == first, opening).otherwise(","), F.col("value"), F.when(F.col(order) == last, closing).otherwise("")
-    )
-    records.repartition(1).sortWithinPartitions(order).select(text.alias("value")).write.text(path)
+    known = records.where("value IS NOT NULL")
+    files = _files(known.agg(F.sum(F.octet_length("value") + 2)), 1)
+    dealt = known.select(F.pmod(F.xxhash64(order), F.lit(files)).cast("int").alias("file"), F.lit(False).alias("end"), order, "value")
+    nothing = F.lit(None).cast(records.schema[order].dataType).alias(order)
+    ends = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(True).alias("end"), nothing, F.lit(closing).alias("value"))
+    sorted_files = dealt.unionByName(ends).repartitionById(files, F.col("file")).sortWithinPartitions("end", order)
+    # The rows of a task are numbered from 0 in their order.
+    first = F.monotonically_increasing_id().bitwiseAND((1 << BLOCK_BITS) - 1) == 0
+    before = F.when(first, opening).when(F.col("end"), "").otherwise(",")
+    sorted_files.select(F.concat(before, "value").alias("value")).write.text(path)
     return path
 
 
 @query("json_split_array", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def json_split_array(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents as one array in one file, read in blocks."""
+    """All documents as arrays, each of many in one file, read in blocks."""
     documents = table(spark, folder, "documents")
     records = documents.select("doc_id", F.to_json(F.struct(*documents.columns)).alias("value"))
-    found = read_json(spark, _one_document(spark, records, "doc_id", "[", "]"), layout="array")
+    found = read_json(spark, _documents(spark, records, "doc_id", "[", "]"), layout="array")
     return found.select(*documents.columns)
 
 
@@ -353,13 +369,13 @@ def json_split_array(spark: SparkSession, folder: str) -> DataFrame:
        UNION ALL SELECT NULL, NULL, NULL, (length(doc_id::VARCHAR) + 16)::INT FROM documents WHERE doc_id % 7 = 0""",
 )
 def json_split_object(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents as one object in one file: every seventh value is broken, every fifth key comes again without its text."""
+    """All documents as objects, each of many in one file: every seventh value is broken, every fifth key comes again without its text."""
     documents = table(spark, folder, "documents")
     key = F.concat(F.lit('"k'), F.col("doc_id"), F.lit('": '))
     value = F.concat(key, F.to_json(F.struct("text", "n_chars")))
     again = F.when(F.col("doc_id") % 5 == 0, F.concat(value, F.lit(", "), key, F.to_json(F.struct("n_chars")))).otherwise(value)
     entry = F.when(F.col("doc_id") % 7 == 0, F.concat(key, F.lit('{"n": oops}'))).otherwise(again)
-    path = _one_document(spark, documents.select("doc_id", entry.alias("value")), "doc_id", "{", "}")
+    path = _documents(spark, documents.select("doc_id", entry.alias("value")), "doc_id", "{", "}")
     found = read_json(spark, path, layout="object", schema="text string, n_chars bigint, _corrupt_record string")
     broken = F.length(F.regexp_replace("_corrupt_record", r"^\s+|\s+$", ""))
     return found.select("_key", "text", "n_chars", broken.alias("broken_chars"))

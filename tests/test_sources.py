@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sluicebox.operators.sinks import write_csv
+from sluicebox.scratch import scratch_path
+from sluicebox.showcase import file_queries
 from sluicebox.sources import blocks, documents, quoted
 from sluicebox.sources.chunks import map_chunks, with_chunks
 from sluicebox.sources.delimited import CsvOptions, merged_options, read_csv, read_csv_quarantined, require_clean
@@ -498,3 +502,33 @@ def test_numbers_that_only_look_like_numbers(spark, tmp_path):
     for i, (cell, kind) in enumerate([(" 7 ", "bigint"), ("+7", "bigint"), ("7.", "double"), (".5e-3", "double"), ("-Infinity", "double")]):
         (tmp_path / f"n{i}.csv").write_text(f"a\n{cell}\n")
         assert types(read_csv(spark, str(tmp_path / f"n{i}.csv"))) == {"a": kind}, cell
+
+
+@pytest.fixture
+def many_documents(spark, tmp_path):
+    """Documents with line breaks and quotes; the first and the last one come twice, one has no text."""
+    rows = [(i, None if i == 7 else f'text "{i}"\n}}, {{' + "x" * (i % 50), "en", f"s{i}", i % 3) for i in [0, *range(300), 299]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path), rows
+
+
+def written_files(monkeypatch, size: int) -> list[str]:
+    """The folders that queries write from now on, in files of ``size`` bytes."""
+    made = []
+    monkeypatch.setattr(file_queries, "FILE_BYTES", size)
+    monkeypatch.setattr(file_queries, "scratch_path", lambda *args: made.append(scratch_path(*args)) or made[-1])
+    return made
+
+
+def sizes(folder: str) -> list[int]:
+    return [p.stat().st_size for p in Path(folder.removeprefix("file:")).glob("part-*")]
+
+
+@pytest.mark.parametrize("size, files", [(1 << 20, 1), (4000, 8)])
+def test_array_documents_have_a_bounded_size(spark, many_documents, monkeypatch, size, files):
+    folder, rows = many_documents
+    made = written_files(monkeypatch, size)
+    found = file_queries.json_split_array(spark, folder).collect()
+    assert files <= len(sizes(made[0])) <= 1.5 * files and max(sizes(made[0])) < 2 * size
+    assert sorted(map(tuple, found), key=repr) == sorted(rows, key=repr)
