@@ -532,3 +532,16 @@ def test_array_documents_have_a_bounded_size(spark, many_documents, monkeypatch,
     found = file_queries.json_split_array(spark, folder).collect()
     assert files <= len(sizes(made[0])) <= 1.5 * files and max(sizes(made[0])) < 2 * size
     assert sorted(map(tuple, found), key=repr) == sorted(rows, key=repr)
+
+
+@pytest.mark.parametrize("size, files", [(1 << 20, 1), (4000, 6)])
+def test_object_documents_have_a_bounded_size(spark, many_documents, monkeypatch, size, files):
+    """Equal keys stand in one document, whatever the number of documents: the last one counts."""
+    folder, rows = many_documents
+    made = written_files(monkeypatch, size)
+    found = file_queries.json_split_object(spark, folder).collect()
+    assert files <= len(sizes(made[0])) <= 1.5 * files + 1 and max(sizes(made[0])) < 2 * size
+    good = {f"k{i}": (None if i % 5 == 0 else text, n) for i, text, _, _, n in rows if i % 7}
+    assert len([r for r in found if r["_key"]]) == len(good)
+    assert {r["_key"]: (r["text"], r["n_chars"]) for r in found if r["_key"]} == good
+    assert sorted(r["broken_chars"] for r in found if not r["_key"]) == sorted(len(str(i)) + 16 for i, *_ in rows if i % 7 == 0)
