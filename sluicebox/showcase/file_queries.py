@@ -41,9 +41,11 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("csv_split_quoted", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def csv_split_quoted(spark: SparkSession, folder: str) -> DataFrame:
-    """Two files whose texts hold line breaks, read in blocks."""
+    """Files whose texts hold line breaks, two or as many as FILE_BYTES asks for, read in blocks."""
     path = scratch_path(spark, "csv")
-    write_csv(table(spark, folder, "documents").coalesce(2), path)
+    documents = table(spark, folder, "documents")
+    row = sum(F.octet_length(F.coalesce(F.col(c).cast("string"), F.lit(""))) + 1 for c in documents.columns)
+    write_csv(documents.repartition(_files(documents.agg(F.sum(row)), 2)), path)
     return read_csv(spark, path, split=True)
 
 

@@ -545,3 +545,12 @@ def test_object_documents_have_a_bounded_size(spark, many_documents, monkeypatch
     assert len([r for r in found if r["_key"]]) == len(good)
     assert {r["_key"]: (r["text"], r["n_chars"]) for r in found if r["_key"]} == good
     assert sorted(r["broken_chars"] for r in found if not r["_key"]) == sorted(len(str(i)) + 16 for i, *_ in rows if i % 7 == 0)
+
+
+@pytest.mark.parametrize("size, files", [(1 << 20, 2), (2000, 8)])
+def test_quoted_files_have_a_bounded_size(spark, many_documents, monkeypatch, size, files):
+    folder, rows = many_documents
+    made = written_files(monkeypatch, size)
+    found = file_queries.csv_split_quoted(spark, folder).collect()
+    assert files <= len(sizes(made[0])) <= 1.5 * files and max(sizes(made[0])) < 2 * size
+    assert sorted(map(tuple, found), key=repr) == sorted(rows, key=repr)
