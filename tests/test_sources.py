@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import json
+import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -7,9 +10,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sluicebox.operators.sinks import write_csv
-from sluicebox.scratch import scratch_path
+from sluicebox.scratch import scratch_path, written
 from sluicebox.showcase import file_queries
-from sluicebox.sources import blocks, documents, quoted
+from sluicebox.sources import blocks, documents, json_files, quoted
 from sluicebox.sources.chunks import map_chunks, with_chunks
 from sluicebox.sources.delimited import CsvOptions, merged_options, read_csv, read_csv_quarantined, require_clean
 from sluicebox.sources.inventory import file_inventory, guarded, oversized_files, record_guard
@@ -547,6 +550,43 @@ def test_object_documents_have_a_bounded_size(spark, many_documents, monkeypatch
     assert sorted(r["broken_chars"] for r in found if not r["_key"]) == sorted(len(str(i)) + 16 for i, *_ in rows if i % 7 == 0)
 
 
+def key_joins(df) -> list[str]:
+    """The joins of the plan that shuffle and sort rows by their keys."""
+    return [x for x in df._jdf.queryExecution().toString().splitlines() if "SortMergeJoin" in x and "_key" in x]
+
+
+def test_values_stay_where_they_are_if_keys_are_repeated(spark, tmp_path, monkeypatch):
+    """Too many keys for a broadcast: marks are looked up, and no copy of the values is written or shuffled."""
+    kept = []
+    monkeypatch.setattr(json_files, "written", lambda df, label: kept.append(written(df, label)) or kept[-1])
+    (tmp_path / "o.json").write_text("{" + ", ".join(f'"k{i % 700}": {{"id": {i}}}' for i in range(1000)) + "}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = read_json(spark, str(tmp_path), "object", schema="id int, _corrupt_record string")
+        assert key_joins(df) == [] and not any("_value" in x.columns for x in kept)
+        assert sorted(r.id for r in df.collect()) == list(range(300, 1000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("every", [1, 3, 50_000])
+def test_last_of_repeated_keys_in_many_records(spark, tmp_path, monkeypatch, every):
+    """Over 32,768 records in a block, and several blocks; records of several entries, of which only some come again."""
+    chance = random.Random(every)
+    for name, size in (("a", 40_000), ("b", 3000)):
+        keys = [f"k{chance.randrange(size)}" for _ in range(size)]
+        entries = [(k, {"id": i} if i % every == 0 or i + 1 == size else i) for i, k in enumerate(keys)]
+        (tmp_path / f"{name}.json").write_text("{" + ",".join(f'"{k}":{json.dumps(v)}' for k, v in entries) + "}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600k")
+    try:
+        found = read_json(spark, str(tmp_path), "object", schema="id int").groupBy("_key", "id").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    last = [json.loads((tmp_path / f"{name}.json").read_text()) for name in "ab"]
+    wanted = Counter((k, v["id"] if isinstance(v, dict) else None) for x in last for k, v in x.items())
+    assert {(r["_key"], r.id): r["count"] for r in found} == wanted
+
+
 @pytest.mark.parametrize("size, files", [(1 << 20, 2), (2000, 8)])
 def test_quoted_files_have_a_bounded_size(spark, many_documents, monkeypatch, size, files):
     folder, rows = many_documents
